@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from partigrid.llm.langid import op6_language
 from partigrid.llm.packing import op2_packing
+from partigrid.llm.quality import op4_quality
 from partigrid.llm.simhash import op3_simhash
 from partigrid.llm.token_store import op1_token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op2_packing, op3_simhash)}
+    return {f.__name__: f for f in (op1_token_store, op2_packing, op3_simhash, op4_quality, op6_language)}
 
 
 def oracle_sql() -> dict[str, str]:
