@@ -108,10 +108,10 @@ class CachedTokenizer:
     Both vocabularies cut a text before every space that stands between two other characters, so the ids of a text are
     the ids of its words one after another. Texts for which that cut isn't certain (runs of white space, white space
     other than a space or a line feed, control characters, what looks like a special token) are encoded whole.
-    At most ``max_words`` words are kept; when those are full, other words are encoded at each slice anew.
+    Once ``max_words`` words are kept, those met only once since the last time go.
     """
 
-    def __init__(self, path: str, max_words: int = 600_000):
+    def __init__(self, path: str, max_words: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -121,6 +121,7 @@ class CachedTokenizer:
         self.at = _Words()
         self.flat = np.empty(1 << 16, np.uint16)
         self.starts, self.lens, self.used = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64), 0
+        self.met = np.zeros(1 << 14, np.int32)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -136,17 +137,31 @@ class CachedTokenizer:
         lens = np.fromiter(map(len, got), np.int64, k)
         m = int(lens.sum())
         while n + k > len(self.starts):
-            self.starts, self.lens = np.concatenate((self.starts, np.empty_like(self.starts))), np.concatenate((self.lens, np.empty_like(self.lens)))
+            self.starts, self.lens, self.met = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.lens, self.met))
         while self.used + m > len(self.flat):
             self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
         self.flat[self.used : self.used + m] = np.fromiter(chain.from_iterable(got), np.uint16, m)
         self.lens[n : n + k] = lens
         self.starts[n : n + k] = self.used + np.cumsum(lens) - lens
-        if n + k <= self.max_words:
-            self.used += m
-            self.at.update(new)
+        self.used += m
+        self.at.update(new)
         self.at.new = {}
 
+    def _drop_rare(self) -> None:
+        n, least = len(self.at), 2
+        while (keep := np.flatnonzero(self.met[:n] >= least)).size > self.max_words * 2 // 3:
+            least *= 2
+        names, lens = list(self.at), self.lens[keep]
+        ends = np.cumsum(lens)
+        pos = np.repeat(self.starts[keep] - (ends - lens), lens) + np.arange(int(lens.sum()))
+        flat = self.flat[pos]
+        self.at = _Words()
+        self.at.update((names[i], j) for j, i in enumerate(keep.tolist()))
+        self.used, self.flat = len(flat), np.concatenate((flat, np.empty(1 << 16, np.uint16)))
+        self.lens[: len(keep)], self.starts[: len(keep)] = lens, ends - lens
+        self.met[: len(keep)] = self.met[keep] // 2
+        self.met[len(keep) :] = 0
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as unsigned 16-bit integers (both vocabularies are below 65,536)."""
         out: list[np.ndarray | None] = [None] * len(texts)
@@ -163,9 +178,12 @@ class CachedTokenizer:
             for w in words:
                 del w[0]
         n = sum(map(len, words))
+        if len(self.at) > self.max_words:
+            self._drop_rare()
         idx = np.fromiter(map(self.at.__getitem__, chain.from_iterable(words)), np.int64, n)
         if self.at.new:
             self._learn()
+        self.met[: len(self.at)] += np.bincount(idx, minlength=len(self.at)).astype(np.int32)
         lens = self.lens[idx]
         ends = np.cumsum(lens)
         pos = np.repeat(self.starts[idx] - (ends - lens), lens)

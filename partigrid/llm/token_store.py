@@ -372,7 +372,7 @@ def read_documents(spark: SparkSession, store: str, with_ids: bool = False) -> D
     uses = parts.mapInArrow(_read_recipes, "part int, pos long, doc_id long, start long, n_ids long, seq int, digest binary")
     value = F.struct("seq", "n", "crc", *(["payload"] if with_ids else []))
     value = F.when(F.col("digest").isNotNull(), value)
-    whole = uses.join(index, "digest", "left").groupBy("part", "pos", "doc_id", "start", "n_ids").agg(F.sort_array(F.collect_list(value)).alias("parts"))
+    whole = uses.join(index.hint("merge"), "digest", "left").groupBy("part", "pos", "doc_id", "start", "n_ids").agg(F.sort_array(F.collect_list(value)).alias("parts"))
     if with_ids:
         return whole.mapInArrow(_join_ids, "doc_id long, start long, n_tokens long, ids array<int>")
     return whole.mapInArrow(_combine, "doc_id long, start long, n_tokens long, ids_crc32 long, n_chunks int")
