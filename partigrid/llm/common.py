@@ -52,14 +52,14 @@ def write_file(path: str, data: bytes) -> None:
     fs, p = open_fs(path)
     fs.create_dir(p.rsplit("/", 1)[0], recursive=True)
     tmp = f"{p}.{uuid.uuid4().hex[:8]}.tmp"
-    with fs.open_output_stream(tmp) as f:
+    with fs.open_output_stream(tmp, compression=None) as f:
         f.write(data)
     fs.move(tmp, p)
 
 
 def read_file(path: str) -> bytes:
     fs, p = open_fs(path)
-    with fs.open_input_stream(p) as f:
+    with fs.open_input_stream(p, compression=None) as f:
         return f.read()
 
 
@@ -69,6 +69,14 @@ def remove_dir(path: str) -> None:
         fs.delete_dir(p)
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, with underscores in front until no column is called that (names are compared without case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that ``column`` holds about ``limit`` bytes in each (one row at least)."""
     for b in batches:

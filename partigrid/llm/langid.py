@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from partigrid.llm.common import slices
 
@@ -142,7 +143,7 @@ class Parser:
 _PARSERS: dict[int, Parser] = {}
 
 
-def _predictor(shared):
+def _predictor(shared, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         samples = shared.value
         key = hash(tuple((k, *v) for k, v in sorted(samples.items())))
@@ -151,7 +152,7 @@ def _predictor(shared):
             _PARSERS[key] = Parser(samples)
         for b in slices(batches, "text"):
             lang, score = _PARSERS[key].predict([t or "" for t in b.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(b.num_columns)] + [pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names, *names])
 
     return run
 
@@ -171,15 +172,19 @@ def sample_languages(docs: DataFrame, may_learn: F.Column, fit_chars: int = FIT_
     return {k: v for k, v in out.items() if v}
 
 
-def identify_languages(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Every row with its language: doc_id, text or the columns named in ``keep``, held_out, lang_pred, score."""
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
-    shared = docs.sparkSession.sparkContext.broadcast(sample_languages(docs, ~held))
-    rows = docs.select(*(keep or ["doc_id", "text"]))
-    out = rows.mapInArrow(_predictor(shared), rows.schema.simpleString()[7:-1].replace(":", " ") + ",lang_pred string,score double")
-    return out.withColumn("held_out", held)
+def held_out() -> F.Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+
+
+def identify_languages(docs: DataFrame, samples: dict[str, list[str]], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The rows of ``docs`` with their language and its score in two new columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(samples)
+    new = [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]
+    return docs.mapInArrow(_predictor(shared, list(names)), T.StructType([*docs.schema.fields, *new]))
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document: doc_id, held_out, lang_pred, score."""
-    return identify_languages(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "held_out", "lang_pred", "score")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = identify_languages(docs.select("doc_id", "text"), sample_languages(docs, ~held_out()))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

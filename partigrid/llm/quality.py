@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from partigrid.llm.common import slices
 
@@ -183,13 +184,13 @@ def fit(texts: list[str], labels: list[int], seed: int = 5) -> Model:
     return model
 
 
-def _scorer(shared):
+def _scorer(shared, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         kinds = Kinds(model.vocabulary, model.n_forms)
         for b in slices(batches, "text"):
             s = model.scores([t or "" for t in b.column("text").to_pylist()], kinds)
-            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(b.num_columns)] + [pa.array(s)], names=[*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, name])
 
     return run
 
@@ -203,17 +204,18 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, may_learn: F.Column, fit
     return [r.text for r in rows], [r.y for r in rows]
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Every row with its score: doc_id, text or the columns named in ``keep``, held_out, score, predicted."""
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
-    model = fit(*sample_labelled(docs, labels, ~held))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = keep or ["doc_id", "text"]
-    out = docs.select(*names).mapInArrow(_scorer(shared), docs.select(*names).schema.simpleString()[7:-1].replace(":", " ") + ",score double")
-    return out.withColumn("held_out", held).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+def held_out() -> F.Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, name: str = "score") -> DataFrame:
+    """The rows of ``docs`` with their score in a new column ``name``."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(*sample_labelled(docs, labels, ~held_out())))
+    return docs.mapInArrow(_scorer(shared, name), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document: doc_id, held_out, score, predicted."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    return score_quality(docs, labels).select("doc_id", "held_out", "score", "predicted")
+    scored = score_quality(docs.select("doc_id", "text"), labels)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

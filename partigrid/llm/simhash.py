@@ -20,10 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from partigrid.llm.common import remove_dir, slices, stage, work_dir
+from partigrid.llm.common import fresh, remove_dir, slices, stage, work_dir
 
 SEED, LEAF, FAN, LIMIT = 42, 32, 8, 3
 _LOW = np.uint64(0x0101010101010101)
@@ -56,7 +56,7 @@ def _fingerprints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 8_000_000):
             fps = np.array([simhash(t or b"", words) for t in b.column("text").cast(pa.binary()).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(fps.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
     return run
 
@@ -261,13 +261,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) of every row; component_id is the smallest id of the row's class."""
+    """(doc_id, text_hash, fp, class, component_id) of every row; component_id is the smallest id of the row's class."""
     if not 0 <= limit <= 3:
         raise ValueError("four blocks find differences of at most three bits")
     spark = docs.sparkSession
     base = work_dir(spark, "simhash")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    coded = stage(rows.mapInArrow(_fingerprints(words), "doc_id long, fp long"), f"{base}/fingerprints")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    coded = stage(rows.mapInArrow(_fingerprints(words), "doc_id long, text_hash long, fp long"), f"{base}/fingerprints")
     nodes = stage(coded.groupBy("fp").agg(F.min("doc_id").alias("least")), f"{base}/nodes")
     turned = nodes.select("fp", F.explode(F.array(*[F.struct(F.lit(t).alias("turn"), F.shiftrightunsigned("fp", 48 - 16 * t).bitwiseAND(0xFFFF).alias("block")) for t in range(4)])).alias("x"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -276,7 +276,21 @@ def near_duplicates(docs: DataFrame, words: int = 3, limit: int = LIMIT, id_col:
     placed = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     placed = stage(placed, f"{base}/placed")
     names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return coded.join(placed.join(names, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return coded.join(placed.join(names, "root").select("fp", F.col("root").alias("class"), "component_id"), "fp")
+
+
+def keep_first(docs: DataFrame, words: int = 3, limit: int = LIMIT) -> DataFrame:
+    """The rows of ``docs`` less all but one of each near-duplicate class: the one of smallest id, then text hash.
+
+    Only ids and hashes of the rows that stay are joined to the rows; equal rows of a class are one of them.
+    """
+    found = near_duplicates(docs, words, limit)
+    first = found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("x"))
+    first = first.select(F.col("x.doc_id").alias("first_id"), F.col("x.text_hash").alias("first_hash"))
+    h, n = fresh("text_hash", docs.columns), fresh("place", docs.columns)
+    rows = docs.withColumn(h, F.xxhash64("text"))
+    rows = rows.join(first.hint("merge"), (F.col(h) == F.col("first_hash")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
+    return rows.withColumn(n, F.row_number().over(Window.partitionBy(h, "doc_id").orderBy("doc_id"))).where(F.col(n) == 1).select(*docs.columns)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
