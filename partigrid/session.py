@@ -27,3 +27,14 @@ def ship_package(spark: SparkSession) -> None:
     Path(path).write_bytes(buf.getvalue())
     sc.addPyFile(path)
     _SHIPPED.add(sc.applicationId)
+
+
+def materialise(df):
+    """Cut the lineage of ``df`` with a checkpoint in the folder that all executors share."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        conf = sc.getConf().get("spark.checkpoint.dir")
+        if not conf and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(conf or tempfile.mkdtemp(prefix="partigrid-"))
+    return df.checkpoint()
