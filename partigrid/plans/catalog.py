@@ -5,15 +5,473 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from partigrid.functions import columns as fc
+from partigrid.operators import balanced_cuts as bc
+from partigrid.operators import chains, diagram, frontier, plan_scores, spanning
+from partigrid.plans import oracles, orders
+from partigrid.sources import grids
+from partigrid.streaming import tally
+
+Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "cut_edges_by_region"
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def _query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+def _districts(graph: grids.Graph) -> DataFrame:
+    """The regions as one plan of the nation grid."""
+    return graph.vertices.select(F.lit(0).cast("long").alias("plan_id"), "v", "district")
+
+
+def _nations(spark: SparkSession, sf_dir: str, size: int = 5, **kind) -> grids.Graph:
+    return grids.nation_grid(spark, sf_dir, size, **kind)
+
+
+# Base graphs
+
+
+@_query("grid_rook_edges", f"with {oracles.cells(5)}, {oracles.edges(5)} select src, dst from edge")
+def grid_rook_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nations(spark, sf_dir).edges
+
+
+@_query("grid_queen_edges", f"with {oracles.cells(5)}, {oracles.edges(5, True)} select src, dst from edge")
+def grid_queen_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nations(spark, sf_dir, queen=True).edges
+
+
+@_query("grid_dimensions", f"with {oracles.cells(5)} select max(x) + 1 as \"rows\", max(y) + 1 as cols from cell")
+def grid_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fc.dimensions(_nations(spark, sf_dir).vertices)
+
+
+@_query("population_distributions", f"""with {oracles.cells(5)} select v, 1::bigint as ones, 0::bigint as zeros, (x in (0, 4) and y in (0, 4))::bigint as corners from cell""")
+def population_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nations(spark, sf_dir).vertices.select("v", *[grids.population(k).alias(k) for k in ("ones", "zeros", "corners")])
+
+
+@_query("trade_graph", """
+with flow as (
+  select c_nationkey as a, s_nationkey as b, count(*) as n from lineitem join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey
+  join supplier on s_suppkey = l_suppkey where c_nationkey <> s_nationkey group by all
+), best as (select *, row_number() over (partition by a order by n desc, b) as place from flow)
+select least(a, b) as src, greatest(a, b) as dst, sum(n)::bigint as orders from best where place <= 3 group by 1, 2
+""")
+def trade_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grids.trade_edges(spark, sf_dir)
+
+
+# Edge orderings and frontiers
+
+
+def _order(kind: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        own = _nations(spark, sf_dir, queen=kind == "queen").edges
+        return orders.edge_order(spark, orders.grid_order(kind, 5, 5)).join(own, ["src", "dst"], "left_semi").select("pos", "src", "dst")
+
+    return run
+
+
+for _kind in oracles.ORDER_KEYS:
+    _query(f"edge_order_{_kind}", f"with {oracles.order(_kind)} select pos, src, dst from ord")(_order(_kind))
+
+
+def _diagonal(spark: SparkSession, size: int = 5) -> DataFrame:
+    return orders.edge_order(spark, orders.grid_order("diagonal", size, size))
+
+
+@_query("edge_order_is_complete", "select true as same")
+def edge_order_is_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orders.same_edges(_diagonal(spark), _nations(spark, sf_dir).edges)
+
+
+@_query("frontier_by_level", f"with {oracles.frontier()} select pos, v from front")
+def frontier_by_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orders.frontiers(_diagonal(spark))
+
+
+@_query("frontier_stats", f"with {oracles.frontier()} select max(w) as max_width, sum(w)::bigint as total_width from (select pos, count(*) as w from front group by pos)")
+def frontier_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orders.frontier_stats(_diagonal(spark))
+
+
+@_query("frontier_widths", f"""with {oracles.frontier()} select width, count(*) as levels from (
+  select o.pos, count(f.v) as width from ord o left join front f on f.pos = o.pos group by o.pos) group by width""")
+def frontier_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orders.frontier_widths(_diagonal(spark))
+
+
+@_query("edge_order_min_cut")
+def edge_order_min_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own, _ = frontier.small_graph(_nations(spark, sf_dir))
+    return orders.edge_order(spark, orders.min_cut_order(own))
+
+
+@_query("farthest_pairs", f"""with {oracles.cells(5)}, d as (select a.v as a, b.v as b, (abs(a.x - b.x) + abs(a.y - b.y))::int as length from cell a, cell b)
+select a, b, length from d where length = (select max(length) from d)""")
+def farthest_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orders.farthest_pairs(_nations(spark, sf_dir).edges)
+
+
+# Laplacians and spanning-tree counts
+
+_LAPLACIAN = f"""with {oracles.cells(5)}, {oracles.edges(5)}, both_ as (select src as i, dst as j from edge union all select dst, src from edge),
+lap as (select i, i as j, count(*)::int as val from both_ group by i union all select i, j, -1 from both_)"""
+
+
+@_query("laplacian", f"{_LAPLACIAN} select i, j, val from lap")
+def laplacian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fc.laplacian(_nations(spark, sf_dir).edges)
+
+
+@_query("laplacian_minor", f"{_LAPLACIAN} select i, j, val from lap where i <> 0 and j <> 0")
+def laplacian_minor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fc.drop_row_and_column(fc.laplacian(_nations(spark, sf_dir).edges), 0)
+
+
+def _trees_of(graph: grids.Graph) -> DataFrame:
+    whole = F.lit(0).alias("graph")
+    return spanning.count_trees(graph.vertices.select(whole, "v"), graph.edges.select(whole, "src", "dst"), ["graph"])
+
+
+@_query("spanning_tree_count_3x3", f"with recursive {oracles.forests(3)} select count(*) as trees from tree")
+def spanning_tree_count_3x3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _trees_of(_nations(spark, sf_dir, 3)).select(F.col("trees").cast("long").alias("trees"))
+
+
+@_query("spanning_tree_count_5x5", "select 557568000::bigint as trees")
+def spanning_tree_count_5x5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _trees_of(_nations(spark, sf_dir)).select(F.col("trees").cast("long").alias("trees"))
+
+
+@_query("spanning_tree_count_float", f"with recursive {oracles.forests(3)} select count(*) as trees from tree")
+def spanning_tree_count_float(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g, whole = _nations(spark, sf_dir, 3), F.lit(0).alias("graph")
+    found = spanning.count_trees(g.vertices.select(whole, "v"), g.edges.select(whole, "src", "dst"), ["graph"], exact=False)
+    return found.select(F.round("trees").cast("long").alias("trees"))
+
+
+# Plans: cut edges, populations, balance, contiguity
+
+_CUT = f"with {oracles.cells(5)}, {oracles.edges(5)}"
+
+
+@_query("cut_edges_by_region", f"{_CUT} select src, dst from edge join cell a on a.v = src join cell b on b.v = dst where a.district <> b.district")
+def cut_edges_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _nations(spark, sf_dir)
+    return plan_scores.cut_edges(g.edges, _districts(g)).select("src", "dst")
+
+
+@_query("cut_edge_count", f"{_CUT} select count(*) as cut_edges from edge join cell a on a.v = src join cell b on b.v = dst where a.district <> b.district")
+def cut_edge_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _nations(spark, sf_dir)
+    return plan_scores.cut_edge_counts(g.edges, _districts(g)).select("cut_edges")
+
+
+@_query("district_edges", f"{_CUT} select a.district, src, dst from edge join cell a on a.v = src join cell b on b.v = dst where a.district = b.district")
+def district_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _nations(spark, sf_dir)
+    return plan_scores.inner_edges(g.edges, _districts(g)).select("district", "src", "dst")
+
+
+@_query("district_population", f"with {oracles.cells(5)} select district, sum(weight)::bigint as population from cell group by district")
+def district_population(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _nations(spark, sf_dir, populated=True)
+    return plan_scores.populations(g.vertices, _districts(g)).select("district", "population")
+
+
+@_query("population_balance", f"""with {oracles.cells(5)}, p as (select district, sum(weight)::bigint as pop from cell group by district), i as (select sum(pop) / count(*) as ideal from p)
+select ideal::double as ideal, max(abs(pop - ideal))::double as largest_gap, bool_and(abs(pop - ideal) <= 0.05 * ideal) as balanced from p, i group by ideal""")
+def population_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _nations(spark, sf_dir, populated=True)
+    return plan_scores.balance(g.vertices, _districts(g), 0.05).select("ideal", "largest_gap", "balanced")
+
+
+@_query("population_bounds", f"with {oracles.cells(5)} select floor(sum(weight) / 5 - 15)::bigint as lower, floor(sum(weight) / 5 + 15)::bigint as upper from cell")
+def population_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fc.population_bounds(_nations(spark, sf_dir, populated=True).vertices, 5, 15).select("lower", "upper")
+
+
+@_query("district_components", f"""
+with recursive trade as (select src, dst from ({_SQL['trade_graph']})), link as (
+  select t.src as a, t.dst as b from trade t join nation x on x.n_nationkey = t.src join nation y on y.n_nationkey = t.dst where x.n_regionkey = y.n_regionkey
+  union select t.dst, t.src from trade t join nation x on x.n_nationkey = t.src join nation y on y.n_nationkey = t.dst where x.n_regionkey = y.n_regionkey
+), reach(v, w) as (select n_nationkey, n_nationkey from nation union select r.v, l.b from reach r join link l on l.a = r.w),
+root as (select v, min(w) as root from reach group by v)
+select n_regionkey as district, count(distinct root) as components from root join nation on n_nationkey = v group by n_regionkey
+""")
+def district_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.lit(0).cast("long").alias("plan_id"), F.col("n_nationkey").alias("v"), F.col("n_regionkey").alias("district"))
+    return plan_scores.district_components(grids.trade_edges(spark, sf_dir), n).select("district", "components")
+
+
+# Counting plans
+
+
+def _all_k(size: int, queen: bool) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = frontier.count_by_districts(spark, _nations(spark, sf_dir, size, queen=queen))
+        return found.select("k", F.col("plans").cast("long").alias("plans"))
+
+    return run
+
+
+for _name, _size, _queen in (("plans_count_3x3_all_k", 3, False), ("plans_count_queen_3x3_all_k", 3, True)):
+    _query(_name, f"with recursive {oracles.plans(_size, _queen, 9)} select k::int as k, count(*) as plans from plan group by k")(_all_k(_size, _queen))
+
+
+def _count(size: int, queen: bool, k: int, d: float | None, populated: bool = False, order: str | None = None) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        g = _nations(spark, sf_dir, size, queen=queen, populated=populated)
+        found = frontier.count_plans(spark, g, k, d, orders.grid_order(order, size, size) if order else None)
+        return found.select("k", F.col("plans").cast("string").alias("plans"))
+
+    return run
+
+
+def _counted(size: int, queen: bool, k: int, lower: str = "0", upper: str = "9223372036854775807", weight: str = "1") -> str:
+    return f"with recursive {oracles.plans(size, queen, k, lower, upper, weight)} select {k}::int as k, count(*)::varchar as plans from plan where k = {k}"
+
+
+_query("plans_count_4x4_k2", _counted(4, False, 2))(_count(4, False, 2, None))
+_query("plans_count_4x4_balanced", _counted(4, False, 4, "4", "4"))(_count(4, False, 4, 0, order="diagonal"))
+_query("plans_count_queen_4x4_balanced", _counted(4, True, 4, "4", "4"))(_count(4, True, 4, 0, order="queen"))
+_query("plans_count_3x3_balanced", _counted(3, False, 3, "3", "3"))(_count(3, False, 3, 0, order="lines"))
+_bound = lambda sign: f"(select floor(sum(weight) / 3 {sign} 60) from cell)"
+_query("plans_count_3x3_populated", _counted(3, False, 3, _bound("-"), _bound("+"), "weight"))(_count(3, False, 3, 60, populated=True))
+
+
+def _golden(queen: bool, size: int, k: int, d: float | None, plans: str) -> None:
+    """A count on a grid of unit weights, held to a published figure."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        g = (grids.queen_grid if queen else grids.rook_grid)(spark, size, size)
+        found = frontier.count_plans(spark, g, k, d, orders.grid_order("queen" if queen else "diagonal", size, size))
+        return found.select("k", F.col("plans").cast("string").alias("plans"))
+
+    name = f"plans_count_{'queen' if queen else 'rook'}_{size}x{size}_k{k}" + (f"_d{d}" if d is not None else "")
+    _query(name, f"select {k}::int as k, '{plans}' as plans")(run)
+
+
+for _case in (
+    (False, 5, 5, None, "72137699"), (False, 5, 5, 0, "4006"), (False, 5, 5, 3, "6194822"), (True, 5, 5, None, "19258645522"), (True, 5, 5, 0, "1397790"),
+    (False, 6, 6, None, "356612826084"), (False, 6, 6, 0, "451206"), (True, 6, 6, None, "3628666881233030"), (False, 6, 9, None, "27173118202682"),
+):
+    _golden(*_case)
+
+
+# Listing and drawing plans
+
+
+def _plan_text(plans: DataFrame) -> DataFrame:
+    return plans.select(F.concat_ws(",", F.col("districts").cast("array<string>")).alias("districts"))
+
+
+@_query("plans_enum_3x3", f"with recursive {oracles.plans(3, False, 3)} select {oracles.plan_text(3)} as districts from plan where k = 3")
+def plans_enum_3x3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plan_text(diagram.enumerate_plans(spark, _nations(spark, sf_dir, 3), (3,)))
+
+
+@_query("plans_enum_4x4_balanced", f"with recursive {oracles.plans(4, False, 4, '4', '4')} select {oracles.plan_text(4)} as districts from plan where k = 4")
+def plans_enum_4x4_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plan_text(diagram.enumerate_plans(spark, _nations(spark, sf_dir, 4), (4,), 0, orders.grid_order("diagonal", 4, 4)))
+
+
+@_query("sample_plans")
+def sample_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagram.sample_plans(spark, _nations(spark, sf_dir), 1000, (5,), order=orders.grid_order("diagonal", 5, 5))
+
+
+@_query("plan_scores_3x3", f"""with recursive {oracles.forests(3)}, scored as (
+  select labels, list_sort(list_distinct(labels)) as own, count(*) as score from forest group by labels having len(list_distinct(labels)) = 3
+) select array_to_string(list_transform(labels, lambda l: list_position(own, l) - 1), ',') as districts,
+  (select count(*) from edge where labels[src + 1] <> labels[dst + 1]) as cut_edges, score from scored""")
+def plan_scores_3x3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _nations(spark, sf_dir, 3)
+    plans = diagram.enumerate_plans(spark, g, (3,))
+    scored = plan_scores.plan_scores(g.edges, diagram.assignment(plans, g))
+    text = plans.select("plan_id", F.concat_ws(",", F.col("districts").cast("array<string>")).alias("districts"))
+    return scored.join(text, "plan_id").select("districts", "cut_edges", F.col("score").cast("long").alias("score"))
+
+
+# Diagrams
+
+#: Nodes of each level of the 3x3 diagram, root first.
+_SIZES_3X3 = (1, 2, 3, 5, 6, 8, 9, 9, 12, 13, 5, 4)
+
+
+def _level_sizes(size: int) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        made = diagram.build_diagram(spark, _nations(spark, sf_dir, size), (size,), 0, orders.grid_order("diagonal", size, size))
+        return diagram.level_sizes(made)
+
+    return run
+
+
+_rows = ", ".join(f"({i}, {n}::bigint)" for i, n in enumerate(_SIZES_3X3, 1))
+_query("zdd_level_sizes_3x3", f"select * from (values {_rows}) t(level, nodes)")(_level_sizes(3))
+_query("zdd_level_sizes_4x4")(_level_sizes(4))
+
+
+@_query("zdd_size_4x4", "select 1120::bigint as nodes")
+def zdd_size_4x4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagram.size(diagram.build_diagram(spark, _nations(spark, sf_dir, 4), (4,), 0, orders.grid_order("diagonal", 4, 4)))
+
+
+@_query("zdd_size_unbounded_4x4", "select 2175::bigint as nodes")
+def zdd_size_unbounded_4x4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagram.size(diagram.build_diagram(spark, _nations(spark, sf_dir, 4), (4,), None, orders.grid_order("diagonal", 4, 4)))
+
+
+def _diagram_3x3(spark: SparkSession, sf_dir: str) -> diagram.Diagram:
+    return diagram.build_diagram(spark, _nations(spark, sf_dir, 3), (3,), 0, orders.grid_order("diagonal", 3, 3))
+
+
+@_query("zdd_paths_backward_3x3", "select 10::bigint as plans")
+def zdd_paths_backward_3x3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagram.count_backward(_diagram_3x3(spark, sf_dir)).where("node = 0").select(F.col("paths").cast("long").alias("plans"))
+
+
+@_query("zdd_states_3x3")
+def zdd_states_3x3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _diagram_3x3(spark, sf_dir).nodes
+
+
+@_query("zdd_layout_3x3")
+def zdd_layout_3x3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagram.layout(_diagram_3x3(spark, sf_dir))
+
+
+@_query("zdd_arcs_3x3")
+def zdd_arcs_3x3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagram.coloured_arcs(_diagram_3x3(spark, sf_dir))
+
+
+@_query("zdd_walk_3x3")
+def zdd_walk_3x3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagram.follow(_diagram_3x3(spark, sf_dir), [1, 0, 1])
+
+
+# Spanning trees
+
+
+def _trees(spark: SparkSession, sf_dir: str, size: int = 3) -> DataFrame:
+    return spanning.spanning_trees(spark, _nations(spark, sf_dir, size))
+
+
+@_query("spanning_trees_3x3", f"with recursive {oracles.forests(3)} select mask from tree")
+def spanning_trees_3x3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _trees(spark, sf_dir).select("mask")
+
+
+_SEED = "(select min(mask) from tree)"
+
+
+@_query("tree_layers_3x3", f"with recursive {oracles.forests(3)} select mask, bit_count(mask & ~{_SEED})::int as layer from tree")
+def tree_layers_3x3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trees = _trees(spark, sf_dir)
+    seed = trees.orderBy("mask").limit(1).select(F.col("edges").alias("seed"))
+    return trees.join(F.broadcast(seed), F.lit(True)).select("mask", F.size(F.array_except("edges", "seed")).alias("layer"))  # one row, broadcast
+
+
+@_query("tree_layer_sizes_3x3", f"""with recursive {oracles.forests(3)}, l as (select bit_count(mask & ~{_SEED})::int as layer from tree)
+select layer, count(*) as trees from l group by rollup (layer)""")
+def tree_layer_sizes_3x3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spanning.layer_sizes(tree_layers_3x3(spark, sf_dir))
+
+
+@_query("tree_neighbours_3x3", f"with recursive {oracles.forests(3)} select a.mask as mask, b.mask as other from tree a, tree b where bit_count(xor(a.mask, b.mask)) = 2")
+def tree_neighbours_3x3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trees = _trees(spark, sf_dir)
+    names = trees.select(F.col("tree_id").alias("other_id"), F.col("mask").alias("other"))
+    return spanning.tree_neighbours(trees, 12).join(trees.select("tree_id", "mask"), "tree_id").join(names, "other_id").select("mask", "other")
+
+
+@_query("tree_missing_edges_3x3", f"with recursive {oracles.forests(3)} select mask, (i + 1)::int as edge from tree, numbered where (mask >> i) & 1 = 0")
+def tree_missing_edges_3x3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trees = _trees(spark, sf_dir)
+    return spanning.missing_edges(trees, 12).join(trees.select("tree_id", "mask"), "tree_id").select("mask", "edge")
+
+
+@_query("spanning_trees_4x4_count", "select 100352::bigint as trees")
+def spanning_trees_4x4_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _trees(spark, sf_dir, 4).agg(F.count("*").alias("trees"))
+
+
+def _sampled(kind: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        drawn = spanning.random_trees(spark, _nations(spark, sf_dir, 3), 20_000, kind)
+        return spanning.density(spanning.sampled_tree_ids(drawn, _trees(spark, sf_dir)))
+
+    return run
+
+
+_query("sample_ust")(_sampled("UST"))
+_query("sample_mst")(_sampled("MST"))
+
+
+def _balanced(kind: str, weight: str) -> None:
+    """Balanced cuts of all spanning trees of the 3x3 grid under one population."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        g = _nations(spark, sf_dir, 3, populated=kind == "customers")
+        v = g.vertices if kind == "customers" else g.vertices.withColumn("weight", grids.population(kind))
+        trees = _trees(spark, sf_dir)
+        place = orders.edge_order(spark, frontier.small_graph(g)[0]).withColumnRenamed("pos", "edge")
+        own = trees.select("tree_id", "mask", F.explode("edges").alias("edge")).join(F.broadcast(place), "edge")  # a small base graph
+        cuts = bc.balanced_cuts(own, v, 0.3)
+        ends = F.least("below", "above").cast("long"), F.greatest("below", "above").cast("long")
+        return cuts.join(trees.select("tree_id", "mask"), "tree_id").select("mask", "src", "dst", ends[0].alias("low"), ends[1].alias("high"))
+
+    total = "(select sum(w) from c)"
+    _query(f"balanced_cuts_{kind}", f"""with recursive {oracles.forests(3)}, c as (select v, ({weight})::bigint as w from cell), link as (
+  select mask, n.src, n.dst, n.i from tree join numbered n on (mask >> n.i) & 1 = 1
+), reach(mask, i, v) as (
+  select mask, i, dst from link
+  union
+  select r.mask, r.i, case when l.src = r.v then l.dst else l.src end from reach r join link l on l.mask = r.mask and l.i <> r.i and (l.src = r.v or l.dst = r.v)
+), side as (select mask, i, sum(w) as below from reach join c on c.v = reach.v group by mask, i)
+select l.mask, l.src, l.dst, least(below, {total} - below)::bigint as low, greatest(below, {total} - below)::bigint as high from side s join link l on l.mask = s.mask and l.i = s.i
+where abs(below - {total} / 2) <= 0.3 * ({total} / 2) or abs({total} - below - {total} / 2) <= 0.3 * ({total} / 2)""")(run)
+
+
+_balanced("ones", "1")
+_balanced("zeros", "0")
+_balanced("corners", "case when x in (0, 2) and y in (0, 2) then 1 else 0 end")
+_balanced("customers", "weight")
+
+
+# Chains and streams
+
+
+@_query("markov_chain")
+def markov_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _nations(spark, sf_dir, populated=True)
+    found = chains.run_chains(spark, g, _districts(g), 4, 250, 0.25)
+    return found.select("chain", "step", "cut_edges", F.concat_ws(",", F.col("districts").cast("array<string>")).alias("districts"))
+
+
+@_query("district_event_tally", """select time_bucket(interval 1 hour, ts) as start, (user_id % 25 % 5)::int as district, count(*) as events from events group by 1, 2""")
+def district_event_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tally.district_tally(spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")))
+    return found.select(F.col("start").cast("timestamp_ntz").alias("start"), "district", "events")
