@@ -95,41 +95,105 @@ def crc_ids(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-class _Words(dict):
-    """Word to index; a word that isn't known gets the next free index in ``new``."""
+class WordTable:
+    """Words of a buffer to entry numbers, all words of a slice at once: a hash table in numpy arrays.
 
-    def __init__(self) -> None:
-        super().__init__()
-        self.new: dict[str, int] = {}
+    A word's key is its length, its first and last eight bytes and a 64-bit hash of all of it. The key settles words of up
+    to sixteen bytes; two longer words would have to share all of it to be taken for one.
+    """
+
+    def __init__(self, bits: int = 22):
+        self.bits, self.n = bits, 0
+        self.slots = np.full(1 << bits, -1, np.int32)
+        self.keys = np.zeros((3, 1 << 16), np.uint64)
+
+    @staticmethod
+    def key(buffer: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Keys (hash, first, last) of the words buffer[starts:ends]; eight bytes must stand before and behind them."""
+        at = np.ndarray((len(buffer) - 7,), "<u8", buffer, strides=(1,))
+        size = ends - starts
+        short = np.minimum(size, 8).astype(np.uint64) * np.uint64(8)
+        full = np.uint64(0xFFFFFFFFFFFFFFFF)
+        first = at[starts] & np.where(short == 64, full, (np.uint64(1) << (short & np.uint64(63))) - np.uint64(1))
+        last = np.where(size > 8, at[ends - 8], np.uint64(0))
+        mul = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
+        with np.errstate(over="ignore"):
+            h = (size.astype(np.uint64) * mul[1] ^ first) * mul[0]
+            h ^= h >> np.uint64(29)
+            h = (h ^ last) * mul[1]
+            h ^= h >> np.uint64(32)
+            more, k = np.flatnonzero(size > 16), 8
+            while len(more):
+                x = (h[more] ^ at[starts[more] + k]) * mul[0]
+                h[more] = x ^ (x >> np.uint64(31))
+                k += 8
+                more = more[size[more] > k + 8]
+            h *= mul[0]
+        return np.stack((h, first, last))
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Entry of each key, -1 for none."""
+        out = np.full(keys.shape[1], -1, np.int64)
+        todo, mask = np.arange(keys.shape[1]), (1 << self.bits) - 1
+        slot = (keys[0] >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(todo):
+            entry = self.slots[slot]
+            there = entry >= 0
+            todo, slot, entry = todo[there], slot[there], entry[there]
+            same = self.keys[0][entry] == keys[0][todo]
+            same &= (self.keys[1][entry] == keys[1][todo]) & (self.keys[2][entry] == keys[2][todo])
+            out[todo[same]] = entry[same]
+            todo, slot = todo[~same], (slot[~same] + 1) & mask
+        return out
 
-    def __missing__(self, word: str) -> int:
-        new = self.new
-        i = new.get(word)
-        if i is None:
-            i = new[word] = len(self) + len(new)
-        return i
+    def add(self, keys: np.ndarray) -> None:
+        """New entries for keys that are distinct and not in the table."""
+        n, mask = keys.shape[1], (1 << self.bits) - 1
+        while self.n + n > self.keys.shape[1]:
+            self.keys = np.concatenate((self.keys, np.zeros_like(self.keys)), axis=1)
+        self.keys[:, self.n : self.n + n] = keys
+        todo = np.arange(self.n, self.n + n)
+        slot = (keys[0] >> np.uint64(64 - self.bits)).astype(np.int64)
+        self.n += n
+        while len(todo):
+            free = np.flatnonzero(self.slots[slot] < 0)
+            _, one = np.unique(slot[free], return_index=True)
+            placed = free[one]
+            self.slots[slot[placed]] = todo[placed]
+            rest = np.ones(len(todo), bool)
+            rest[placed] = False
+            todo, slot = todo[rest], (slot[rest] + 1) & mask
 
 
 class CachedTokenizer:
     """Exact ids of a public tokenizer, frequent words encoded once.
 
-    Both vocabularies cut a text before every space that stands between two other characters, so the ids of a text are
-    the ids of its words one after another. Texts for which that cut isn't certain (runs of white space, white space
-    other than a space or a line feed, control characters, what looks like a special token) are encoded whole.
-    Once ``max_words`` words are kept, those met only once since the last time go.
+    Both vocabularies cut a text before every space or line feed that stands between two other characters, so the ids of a
+    text are the ids of its words one after another. Texts for which that cut isn't certain (runs of white space, white
+    space other than a space or a line feed, control characters, words of over 512 bytes, what looks like a special token)
+    are encoded whole. New words are encoded JOINED at a time: where a word starts is told from its first id, which begins
+    with the space or line feed, or by a separator's id if the vocabulary drops white space. Once ``max_words`` words are
+    kept, those met only once since the last time go.
     """
 
-    def __init__(self, path: str, max_words: int = 700_000):
+    JOINED, LONG = 64, 512
+
+    def __init__(self, path: str, max_words: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.tok.model._resize_cache(0)  # words are kept here
         self.drops_space = self._ids([" a"]) == self._ids(["a"])
-        self.lead = "" if self.drops_space else " "
+        names = self.tok.get_vocab()
+        self.starts_word = np.zeros(1 << 16, bool)
+        if not self.drops_space:
+            space, feed = (self.tok.pre_tokenizer.pre_tokenize_str(x)[0][0] for x in (" ", "\n"))
+            self.starts_word[[i for n, i in names.items() if n[0] in (space, feed)]] = True
+        self.separator = self._ids(["\x01"])[0] if self.drops_space else []
         self.max_words = max_words
-        self.at = _Words()
-        self.flat = np.empty(1 << 16, np.uint16)
-        self.starts, self.lens, self.used = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64), 0
-        self.met = np.zeros(1 << 14, np.int32)
+        self.table = WordTable()
+        self.flat, self.used = np.empty(1 << 16, np.uint16), 0
+        self.starts, self.lens, self.met = (np.zeros(1 << 16, np.int32) for _ in range(3))
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -138,69 +202,105 @@ class CachedTokenizer:
         line = text.replace("\n", " ")
         return not line.isprintable() or "<|" in line or not self.drops_space and ("  " in line or line[:1] == " " or line[-1:] == " ")
 
-    def _learn(self) -> None:
-        new = self.at.new
-        got = self._ids([self.lead + w for w in new])
-        n, k = len(self.at), len(new)
-        lens = np.fromiter(map(len, got), np.int64, k)
-        m = int(lens.sum())
-        while n + k > len(self.starts):
+    def _split(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words one after another, and how many each has; a word stands behind a space, or begins with a line feed."""
+        groups = [words[i : i + self.JOINED] for i in range(0, len(words), self.JOINED)]
+        if self.drops_space:
+            got = self._ids([" \x01 ".join(g) + " \x01" for g in groups]) if len(self.separator) == 1 else []
+            ids = np.fromiter(chain.from_iterable(got), np.uint16)
+            ends = np.flatnonzero(ids == self.separator[0])
+            lens = np.diff(np.concatenate(([-1], ends))) - 1
+            flat = ids[ids != self.separator[0]]
+        else:
+            got = self._ids([f" {' '.join(g)}".replace(" \n", "\n") for g in groups])
+            flat = np.fromiter(chain.from_iterable(got), np.uint16)
+            begins = np.flatnonzero(self.starts_word[flat])
+            lens = np.diff(np.append(begins, len(flat)))
+        if len(lens) != len(words):  # should a word hold what marks a start: one by one
+            return self._alone([w if self.drops_space or w[:1] == "\n" else f" {w}" for w in words])
+        return flat, lens.astype(np.int32)
+
+    def _alone(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        one = self._ids(texts)
+        return np.fromiter(chain.from_iterable(one), np.uint16), np.fromiter(map(len, one), np.int32, len(one))
+
+    def _learn(self, words: list[bytes], keys: np.ndarray) -> None:
+        """New entries; a word that begins with \\x02 is a text's first, which nothing stands before."""
+        first = np.fromiter((w[:1] == b"\x02" for w in words), bool, len(words))
+        order = np.concatenate((np.flatnonzero(~first), np.flatnonzero(first)))
+        a, n = self._split([w.decode() for w, f in zip(words, first, strict=True) if not f])
+        b, m = self._alone([w[1:].decode() for w, f in zip(words, first, strict=True) if f])
+        flat, lens, at = np.concatenate((a, b)), np.concatenate((n, m)), self.table.n
+        self.table.add(keys[:, order])
+        while self.table.n > len(self.starts):
             self.starts, self.lens, self.met = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.lens, self.met))
-        while self.used + m > len(self.flat):
+        while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
-        self.flat[self.used : self.used + m] = np.fromiter(chain.from_iterable(got), np.uint16, m)
-        self.lens[n : n + k] = lens
-        self.starts[n : n + k] = self.used + np.cumsum(lens) - lens
-        self.used += m
-        self.at.update(new)
-        self.at.new = {}
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.lens[at : self.table.n] = lens
+        self.starts[at : self.table.n] = self.used + np.cumsum(lens) - lens
+        self.used += len(flat)
 
     def _drop_rare(self) -> None:
-        n, least = len(self.at), 2
+        n, least = self.table.n, 2
         while (keep := np.flatnonzero(self.met[:n] >= least)).size > self.max_words * 2 // 3:
             least *= 2
-        names, lens = list(self.at), self.lens[keep]
-        ends = np.cumsum(lens)
-        pos = np.repeat(self.starts[keep] - (ends - lens), lens) + np.arange(int(lens.sum()))
-        flat = self.flat[pos]
-        self.at = _Words()
-        self.at.update((names[i], j) for j, i in enumerate(keep.tolist()))
-        self.used, self.flat = len(flat), np.concatenate((flat, np.empty(1 << 16, np.uint16)))
-        self.lens[: len(keep)], self.starts[: len(keep)] = lens, ends - lens
+        flat, lens = self._gather(keep)
+        self.flat, self.used = np.concatenate((flat, np.empty(1 << 16, np.uint16))), len(flat)
+        self.starts[: len(keep)], self.lens[: len(keep)] = np.cumsum(lens) - lens, lens
         self.met[: len(keep)] = self.met[keep] // 2
         self.met[len(keep) :] = 0
+        old, self.table = self.table, WordTable()
+        self.table.add(old.keys[:, keep])
+
+    def _gather(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of entries one after another, and how many each has."""
+        lens = self.lens[entries]
+        ends = np.cumsum(lens, dtype=np.int64)
+        pos = np.repeat(self.starts[entries] - (ends - lens), lens)
+        pos += np.arange(len(pos))
+        return self.flat[pos], lens
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as unsigned 16-bit integers (both vocabularies are below 65,536)."""
         out: list[np.ndarray | None] = [None] * len(texts)
-        whole = [i for i, t in enumerate(texts) if self._unsure(t)]
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
-            out[i] = np.array(ids, np.uint16)
-        rest = [i for i in range(len(texts)) if out[i] is None]
-        if not rest:
-            return out
-        words = [texts[i].split() if self.drops_space else texts[i].split(" ") for i in rest]
-        first = [np.empty(0, np.uint16)] * len(rest)
-        if not self.drops_space:
-            first = [np.array(ids, np.uint16) for ids in self._ids([w[0] for w in words])]
-            for w in words:
-                del w[0]
-        n = sum(map(len, words))
-        if len(self.at) > self.max_words:
+        sure = [i for i, t in enumerate(texts) if not self._unsure(t)]
+        data = [(texts[i].replace("\n", " ") if self.drops_space else "\x02" + texts[i].replace("\n", " \n")).encode() for i in sure]
+        buffer = b"        " + b" ".join(data) + b"         "
+        spaces = np.flatnonzero(np.frombuffer(buffer, np.uint8) == 32)
+        spaces = spaces[7:-8]  # the one before the first word, to the one behind the last
+        starts, ends = spaces[:-1] + 1, spaces[1:]
+        behind = np.searchsorted(spaces, 7 + np.cumsum([len(d) + 1 for d in data]))  # words up to the end of each text
+        wide = np.flatnonzero(ends - starts > self.LONG)
+        if len(wide):
+            for j in np.unique(np.searchsorted(behind, wide, side="right")).tolist():
+                out[sure[j]] = np.array(self._ids([texts[sure[j]]])[0], np.uint16)
+        for i in set(range(len(texts))).difference(sure):
+            out[i] = np.array(self._ids([texts[i]])[0], np.uint16)
+        held = np.flatnonzero((ends > starts) & (ends - starts <= self.LONG))
+        starts, ends, behind = starts[held], ends[held], np.searchsorted(held, behind)
+        if self.table.n > self.max_words:
             self._drop_rare()
-        idx = np.fromiter(map(self.at.__getitem__, chain.from_iterable(words)), np.int64, n)
-        if self.at.new:
-            self._learn()
-        self.met[: len(self.at)] += np.bincount(idx, minlength=len(self.at)).astype(np.int32)
-        lens = self.lens[idx]
-        ends = np.cumsum(lens)
-        pos = np.repeat(self.starts[idx] - (ends - lens), lens)
-        pos += np.arange(len(pos))
-        ids = self.flat[pos]
-        cuts = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(list(map(len, words)))))]
-        for j, i in enumerate(rest):
-            own = ids[cuts[j] : cuts[j + 1]]
-            out[i] = np.concatenate((first[j], own)) if len(first[j]) else own
+        keys = WordTable.key(buffer, starts, ends)
+        entry = self.table.find(keys)
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            _, one, label = np.unique(keys[0][new], return_index=True, return_inverse=True)
+            own = keys[:, new[one]]
+            if (own[:, label] != keys[:, new]).any():  # two words with one hash: nothing of this slice is kept
+                return [np.array(x, np.uint16) for x in self._ids(texts)]
+            at, words = self.table.n, [buffer[s:e] for s, e in zip(starts[new[one]].tolist(), ends[new[one]].tolist(), strict=True)]
+            self._learn(words, own)
+            first = np.fromiter((w[:1] == b"\x02" for w in words), bool, len(words))
+            place = np.empty(len(words), np.int64)
+            place[np.concatenate((np.flatnonzero(~first), np.flatnonzero(first)))] = np.arange(at, self.table.n)
+            entry[new] = place[label]
+        self.met[: self.table.n] += np.bincount(entry, minlength=self.table.n).astype(np.int32)
+        ids, lens = self._gather(entry)
+        upto = np.concatenate(([0], np.cumsum(lens, dtype=np.int64)))[np.concatenate(([0], behind))]
+        for j, i in enumerate(sure):
+            if out[i] is None:
+                out[i] = ids[upto[j] : upto[j + 1]]
         return out
 
 
