@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from partigrid.operators import states as st
-from partigrid.operators.frontier import bounds, count_by_districts, small_graph
+from partigrid.operators.frontier import bounds, count_problem, small_graph
 from partigrid.session import materialise
 from partigrid.sources.grids import Graph
 
@@ -231,9 +231,8 @@ def _plans(problem: st.Problem, total: int | None, seed: int):
     return run
 
 
-def total_plans(spark: SparkSession, graph: Graph, problem: st.Problem) -> int:
-    order = [(x.src, x.dst) for x in problem.levels]
-    return int(count_by_districts(spark, graph, problem.ks, problem.lower, problem.upper, order).agg(F.sum("plans")).first()[0] or 0)
+def total_plans(spark: SparkSession, problem: st.Problem) -> int:
+    return int(count_problem(spark, problem).agg(F.sum("plans")).first()[0] or 0)
 
 
 _PLAN = "plan_id long, rank string, edges array<int>, districts array<int>"
@@ -245,7 +244,7 @@ def enumerate_plans(spark: SparkSession, graph: Graph, ks: tuple[int, ...] | Non
     Each plan is found from its rank alone, so any number of tasks list them without talking to one another.
     """
     problem = make_problem(graph, ks, d, order)
-    n = total_plans(spark, graph, problem)
+    n = total_plans(spark, problem)
     if not problem.levels:
         raise ValueError("a graph without edges has one plan at most; see count_by_districts")
     return spark.range(n).mapInArrow(_plans(problem, None, 0), _PLAN)
@@ -254,7 +253,7 @@ def enumerate_plans(spark: SparkSession, graph: Graph, ks: tuple[int, ...] | Non
 def sample_plans(spark: SparkSession, graph: Graph, draws: int, ks: tuple[int, ...] | None, d: float | None = None, order: list[tuple[int, int]] | None = None, seed: int = 0) -> DataFrame:
     """Uniform independent plans: draw i is the plan of a random rank, the same in every run with one seed."""
     problem = make_problem(graph, ks, d, order)
-    n = total_plans(spark, graph, problem)
+    n = total_plans(spark, problem)
     return spark.range(draws if n else 0).mapInArrow(_plans(problem, n, seed), _PLAN)
 
 

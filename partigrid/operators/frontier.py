@@ -24,11 +24,13 @@ _SCHEMA = "level int, state binary, l0 long, l1 long, l2 long, l3 long"
 
 def small_graph(graph: Graph, order: list[tuple[int, int]] | None = None) -> tuple[list[tuple[int, int]], dict[int, int]]:
     """Edges in order and vertex weights at the driver; a base graph is held to MAX_EDGES edges."""
-    edges = graph.edges.select("src", "dst").limit(MAX_EDGES + 1).collect()
-    if len(edges) > MAX_EDGES:
-        raise ValueError(f"a base graph of more than {MAX_EDGES} edges")
-    weights = {r.v: r.weight for r in graph.vertices.select("v", "weight").limit(2 * MAX_EDGES).collect()}
-    own = sorted((min(r), max(r)) for r in edges)
+    both = graph.edges.select("src", "dst", F.lit(None).cast("long").alias("weight"))
+    both = both.union(graph.vertices.select("v", F.lit(None).cast("int"), F.col("weight").cast("long")))
+    rows = both.limit(MAX_EDGES + 1).collect()
+    if len(rows) > MAX_EDGES:
+        raise ValueError(f"a base graph of more than {MAX_EDGES} vertices and edges")
+    weights = {r.src: r.weight for r in rows if r.dst is None}
+    own = sorted((min(r.src, r.dst), max(r.src, r.dst)) for r in rows if r.dst is not None)
     if order is not None and sorted((min(e), max(e)) for e in order) != own:
         raise ValueError("the ordering does not hold the graph's edges")
     return list(order or own), weights
@@ -88,10 +90,14 @@ def count_by_districts(spark: SparkSession, graph: Graph, ks: tuple[int, ...] |
     hold for every district, also for one of a single vertex.
     """
     edges, weights = small_graph(graph, order)
-    problem = st.make_problem(edges, weights, lower, upper, ks)
+    return count_problem(spark, st.make_problem(edges, weights, lower, upper, ks))
+
+
+def count_problem(spark: SparkSession, problem: st.Problem) -> DataFrame:
+    """(k, plans) of a problem whose graph is at the driver already."""
     first = st.start(problem)
     rows = st.encode(problem, first)
-    df = spark.createDataFrame([(0, bytearray(r.tobytes()), 1, 0, 0, 0) for r in rows] if weights else [], _SCHEMA).coalesce(1)
+    df = spark.createDataFrame([(0, bytearray(r.tobytes()), 1, 0, 0, 0) for r in rows] if problem.weights else [], _SCHEMA).coalesce(1)
     total = len(problem.levels)
     done = materialise(df.mapInArrow(_advance(problem, total, LOCAL_STATES), _SCHEMA)) if total else df
     while True:
@@ -105,12 +111,12 @@ def count_by_districts(spark: SparkSession, graph: Graph, ks: tuple[int, ...] |
     byte = lambda i: F.conv(F.hex(F.substring("state", i, 1)), 16, 10).cast("int")
     k = (byte(1) + 256 * byte(2)).alias("k")
     counts = done.groupBy(k).agg(sum(digits[1:], digits[0]).cast("decimal(38,0)").alias("plans"))
-    return counts.where(F.col("k").isin(list(ks))) if ks else counts
+    return counts.where(F.col("k").isin(list(problem.ks))) if problem.ks else counts
 
 
 def count_plans(spark: SparkSession, graph: Graph, k: int, d: float | None = None, order: list[tuple[int, int]] | None = None) -> DataFrame:
     """One row (k, plans): partitions into k connected districts, each within ``d`` of the mean weight (None: any)."""
-    _, weights = small_graph(graph)
+    edges, weights = small_graph(graph, order)
     lower, upper = bounds(weights, k, d) if weights else (None, None)
-    found = count_by_districts(spark, graph, (k,), lower, upper, order)
+    found = count_problem(spark, st.make_problem(edges, weights, lower, upper, (k,)))
     return found.agg(F.lit(k).alias("k"), F.coalesce(F.sum("plans"), F.lit(0)).cast("decimal(38,0)").alias("plans"))
