@@ -38,23 +38,28 @@ def _valid(scale: float) -> F.Column:
 
 
 def _pack(limit: int):
-    """Rows (vec_id, v) to packed rows (part, seq, n, dims, ids, data)."""
+    """Rows (vec_id, v, qb), sorted by qb, to packed rows (qb, part, seq, n, dims, ids, data) of one qb each."""
 
     def flush(rows: list[pa.RecordBatch], part: int, seq: int) -> pa.RecordBatch:
+        qb = rows[0].column("qb")[0].as_py()
         ids = np.concatenate([b.column("vec_id").to_numpy() for b in rows])
         lists = [x for b in rows for x in b.column("v").to_pylist()]
         dims = max(map(len, lists), default=0)
         data = np.zeros((len(lists), dims), "<i4")
         for i, v in enumerate(lists):
             data[i, : len(v)] = v
-        cols = [[part], [seq], [len(ids)], [dims], [ids.astype("<i8").tobytes()], [data.tobytes()]]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["part", "seq", "n", "dims", "ids", "data"])
+        cols = [[qb], [part], [seq], [len(ids)], [dims], [ids.astype("<i8").tobytes()], [data.tobytes()]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (*[pa.int32()] * 5, pa.binary(), pa.binary()), strict=True)], names=["qb", "part", "seq", "n", "dims", "ids", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
         for b in batches:
             while b.num_rows:
-                take = b.slice(0, limit - size)
+                qb = b.column("qb").to_numpy()
+                if held and held[0].column("qb")[0].as_py() != qb[0]:
+                    yield flush(held, part, seq)
+                    seq, held, size = seq + 1, [], 0
+                take = b.slice(0, min(limit - size, int(np.searchsorted(qb, qb[0], side="right"))))
                 b = b.slice(take.num_rows)
                 held.append(take)
                 size += take.num_rows
@@ -67,7 +72,7 @@ def _pack(limit: int):
     return run
 
 
-_PACKED = "part int, seq int, n int, dims int, ids binary, data binary"
+_PACKED = "qb int, part int, seq int, n int, dims int, ids binary, data binary"
 
 
 class Search:
@@ -148,12 +153,12 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = 20, scale: float = 64
     spark = vectors.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     valid = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(_valid(scale))
-    queries = valid.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).select("vec_id", _floors(scale).alias("v"))
     blocks = max(1, -(-vectors.select("vec_id").where(is_query).count() // BLOCK))
+    queries = valid.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).select("vec_id", _floors(scale).alias("v"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("qb"))
     salts = max(1, n // blocks)
-    packed_q = queries.repartition(blocks, "vec_id").mapInArrow(_pack(1 << 30), _PACKED)
-    packed_q = packed_q.select(F.col("part").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.col("n").alias("q_n"), F.col("dims").alias("q_dims"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-    shards = valid.select("vec_id", _floors(scale).alias("v")).mapInArrow(_pack(SHARD), _PACKED)
+    packed_q = queries.repartition(blocks, "qb").sortWithinPartitions("qb").mapInArrow(_pack(1 << 30), _PACKED)
+    packed_q = packed_q.select("qb", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.col("n").alias("q_n"), F.col("dims").alias("q_dims"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+    shards = valid.select("vec_id", _floors(scale).alias("v"), F.lit(0).alias("qb")).mapInArrow(_pack(SHARD), _PACKED)
     shards = shards.withColumn("salt", F.pmod(F.col("part") * 7919 + F.col("seq"), F.lit(salts))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).drop("part", "seq")
     both = shards.repartition(n, "qb", "salt").join(packed_q.repartition(n, "qb", "salt").hint("merge"), ["qb", "salt"])
     found = both.mapInArrow(_search(k), "query_id long, vec_id long, score long")
