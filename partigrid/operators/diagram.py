@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from partigrid.functions.columns import keep_probability, readable_count, readable_edge, readable_pairs
 from partigrid.operators import states as st
 from partigrid.operators.frontier import bounds, count_problem, small_graph
 from partigrid.session import materialise
@@ -160,6 +161,22 @@ def count_backward(diagram: Diagram) -> DataFrame:
     return out
 
 
+def keep_probabilities(diagram: Diagram) -> DataFrame:
+    """(node, level, probability): the share of plans below a node that keep its edge; nodes without plans are left out."""
+    below = diagram.nodes.select(F.col("node").alias("child"), F.col("suffix").alias("inner"))
+    kept = diagram.arcs.where("bit = 1").join(below, "child", "left")
+    kept = kept.select(F.col("parent").alias("node"), F.when(F.col("child") == ACCEPT, 1).otherwise(F.coalesce("inner", F.lit(0))).cast("decimal(38,0)").alias("paths"))
+    return diagram.nodes.where("suffix > 0").join(kept, "node").select("node", "level", keep_probability(F.col("paths"), F.col("suffix")).alias("probability"))
+
+
+def summary(diagram: Diagram) -> DataFrame:
+    """(node, text): one readable line for each node."""
+    n = diagram.nodes
+    labels = F.concat_ws(" ", F.zip_with("open", "labels", lambda v, c: F.format_string("%d:%d", v, c)))
+    text = F.format_string("e_%d %s cc=%d [%s] {%s} paths=%s", "level", readable_edge(n.src, n.dst), "cc", labels, readable_pairs(n.pairs), readable_count(n.suffix))
+    return n.select("node", text.alias("text"))
+
+
 def follow(diagram: Diagram, bits: list[int]) -> DataFrame:
     """(node): where a sequence of decisions leads from the root; a terminal ends the walk early."""
     spark = diagram.nodes.sparkSession

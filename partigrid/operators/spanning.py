@@ -161,6 +161,15 @@ def spanning_trees(spark: SparkSession, graph: Graph, depth: int = 8) -> DataFra
     return listed.select((F.col("base") + F.col("place")).alias("tree_id"), "mask", held.alias("edges"))
 
 
+def write_trees(trees: DataFrame, path: str) -> None:
+    trees.write.mode("overwrite").parquet(path)
+
+
+def read_trees(spark: SparkSession, path: str) -> DataFrame:
+    """Trees that were listed before, (tree_id, mask, edges)."""
+    return spark.read.schema("tree_id long, mask long, edges array<int>").parquet(path)
+
+
 def tree_layers(trees: DataFrame, seed_id: int = 0) -> DataFrame:
     """(tree_id, layer): how many exchanges part a tree from the seed, the number of its edges that the seed lacks."""
     seed = trees.where(F.col("tree_id") == seed_id).select(F.col("edges").alias("seed"))

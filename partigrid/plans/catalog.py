@@ -372,6 +372,17 @@ def zdd_walk_3x3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagram.follow(_diagram_3x3(spark, sf_dir), [1, 0, 1])
 
 
+@_query("zdd_summary_3x3")
+def zdd_summary_3x3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagram.summary(_diagram_3x3(spark, sf_dir))
+
+
+@_query("zdd_root_keep_probability_3x3", f"""with recursive {oracles.plans(3, False, 3, '3', '3')}
+select count_if(len(list_filter(blocks, lambda b: (b & 3) = 3)) = 1) / count(*) as probability from plan where k = 3""")
+def zdd_root_keep_probability_3x3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagram.keep_probabilities(_diagram_3x3(spark, sf_dir)).where("node = 0").select("probability")
+
+
 # Spanning trees
 
 

@@ -56,6 +56,13 @@ def nation_grid(spark: SparkSession, sf_dir: str, size: int = 5, queen: bool = F
     return Graph(v, neighbour_edges(v, queen))
 
 
+def read_graph(spark: SparkSession, vertices_path: str, edges_path: str) -> Graph:
+    """A graph from Parquet tables (v, weight, ..) and (src, dst, ..), whatever their other columns."""
+    e = spark.read.parquet(edges_path)
+    ends = F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")
+    return Graph(spark.read.parquet(vertices_path), e.where("src <> dst").select(*ends).distinct())
+
+
 def trade_edges(spark: SparkSession, sf_dir: str, top: int = 3) -> DataFrame:
     """(src, dst, orders): each customer nation's ``top`` supplier nations by line count, undirected, without loops."""
     from pyspark.sql import Window

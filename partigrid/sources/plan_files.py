@@ -13,7 +13,7 @@ def read_plans(spark: SparkSession, path: str) -> DataFrame:
 
     Lines are independent, so any number of files is read in parallel and no global numbering is needed.
     """
-    line = F.split(F.trim("value"), r"\s*,\s*").cast("array<int>")
+    line = F.transform(F.split(F.trim("value"), r"\s*,\s*"), lambda x: x.try_cast("int"))
     plans = spark.read.text(path).where(F.trim("value") != "").select(canonical_districts(line).alias("d"))
     return plans.select(F.xxhash64("d").alias("plan_id"), F.posexplode("d").alias("v", "district")).distinct()
 
