@@ -5,8 +5,8 @@ current place the longest match that occurs anywhere in the sample is one phrase
 language whose sample needs the fewest phrases per character wins. Texts are normalised to lower-case letters with one
 separator for what stands between them, and cut into segments that are all parsed at once, a character a step.
 
-Only fitting uses a sample: for each language whole texts of smallest id hash, until ``fit_chars`` characters or
-``fit_docs`` texts. Parsing reads every whole text.
+Only fitting uses a sample: for each of the ``MAX_LANGUAGES`` languages with most labelled rows, whole texts of smallest id
+hash, until ``fit_chars`` characters or ``fit_docs`` texts. Parsing reads every whole text.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; without any labelled text all rows are ``und``;
 with one language its score is 1; equal phrase counts go to the language first in code point order; rows with a null
@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from partigrid.llm.common import slices
+from partigrid.llm.common import fresh, slices
 
-FIT_CHARS, FIT_DOCS, SEGMENT, ALPHABET = 60_000, 200, 256, 60
+FIT_CHARS, FIT_DOCS, MAX_LANGUAGES, SEGMENT, ALPHABET = 60_000, 200, 200, 256, 60
 _LETTERS: list[np.ndarray] = []
 
 
@@ -160,6 +160,8 @@ def _predictor(shared, names: list[str]):
 def sample_languages(docs: DataFrame, may_learn: F.Column, fit_chars: int = FIT_CHARS, fit_docs: int = FIT_DOCS) -> dict[str, list[str]]:
     """Whole texts for each language in order of their ids' hash, the last cut where ``fit_chars`` characters are reached."""
     own = docs.where("lang is not null and doc_id is not null").where(may_learn).select("doc_id", F.col("lang").alias("label"))
+    most = own.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(MAX_LANGUAGES).select("label")
+    own = own.join(F.broadcast(most), "label")
     first = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = own.withColumn("place", F.row_number().over(first)).where(F.col("place") <= fit_docs)
     rows = docs.select("doc_id", "lang", "text").join(F.broadcast(ids), (F.col("lang") == F.col("label")) & (docs.doc_id == ids.doc_id)).select("place", "label", "text").collect()
@@ -177,7 +179,8 @@ def held_out() -> F.Column:
 
 
 def identify_languages(docs: DataFrame, samples: dict[str, list[str]], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """The rows of ``docs`` with their language and its score in two new columns."""
+    """The rows of ``docs`` with their language and its score in two new columns; a name that is taken gets underscores in front."""
+    names = tuple(fresh(n, docs.columns) for n in names)
     shared = docs.sparkSession.sparkContext.broadcast(samples)
     new = [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]
     return docs.mapInArrow(_predictor(shared, list(names)), T.StructType([*docs.schema.fields, *new]))

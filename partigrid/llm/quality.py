@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from partigrid.llm.common import slices
+from partigrid.llm.common import fresh, slices
 
 FIT_ROWS, FORMS, SHAPES, DIM, HIDDEN, THRESHOLD = 4000, 1500, 400, 64, 32, 0.7
 _RUN = re.compile(r"(.)\1+")
@@ -209,7 +209,8 @@ def held_out() -> F.Column:
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, name: str = "score") -> DataFrame:
-    """The rows of ``docs`` with their score in a new column ``name``."""
+    """The rows of ``docs`` with their score in a new column ``name``, with underscores in front if that is taken."""
+    name = fresh(name, docs.columns)
     shared = docs.sparkSession.sparkContext.broadcast(fit(*sample_labelled(docs, labels, ~held_out())))
     return docs.mapInArrow(_scorer(shared, name), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
