@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from partigrid.llm.common import slices, stage, work_dir
+from partigrid.llm.common import fresh, slices, stage, work_dir
 
 WEIGHTS, MOST, GROUP, MAX_SOURCES = (5.0, 2.0, 1.0), 3, 2048, 1_000_000
 
@@ -173,19 +173,20 @@ def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: i
 
 
 def mixed_rows(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it."""
-    mixed = mix_documents(docs).groupBy("doc_id", "text_hash", "source").agg(F.sum("copies").alias("copies"), F.count("*").alias("alike"))
-    names = [f"_{c}" for c in ("id", "hash", "source", "copies", "alike")]
-    while any(n.lower() in {c.lower() for c in docs.columns} for n in names):
-        names = [f"_{n}" for n in names]
-    mixed = mixed.toDF(*names)
-    i, h, s, copies, alike = names
-    rows = docs.join(mixed.hint("merge"), (F.xxhash64("text") == F.col(h)) & F.col("doc_id").eqNullSafe(F.col(i)) & F.col("source").eqNullSafe(F.col(s)))
-    place = F.row_number().over(Window.partitionBy(h, i, s).orderBy(i))  # equal rows share their copies out among them
-    own = F.floor((F.col(copies) + F.col(alike) - place) / F.col(alike)).cast("int")
-    n = f"_{alike}"
-    rows = rows.withColumn(n, own).where(F.col(n) > 0).withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n))))
-    return rows.select(*docs.columns)
+    """The rows of ``docs``, each as often as the mix takes it; equal rows share their copies out among them."""
+    h, z, k, y, s, copies, alike = keys = [fresh(c, docs.columns) for c in ("text_hash", "no_id", "id_or_zero", "no_source", "source_or_none", "copies", "alike")]
+
+    def keyed(df: DataFrame, text_hash: F.Column) -> DataFrame:
+        own = (text_hash, F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.col("source").isNull(), F.coalesce("source", F.lit("")))
+        return df.select("*", *[c.alias(n) for c, n in zip(own, keys, strict=False)])
+
+    mixed = keyed(mix_documents(docs).select("doc_id", "source", F.col("text_hash").alias("of_text"), F.col("copies").alias("times")), F.col("of_text"))
+    mixed = mixed.groupBy(*keys[:5]).agg(F.sum("times").alias(copies), F.count("*").alias(alike))
+    rows = keyed(docs, F.xxhash64("text")).join(mixed.hint("merge"), keys[:5])
+    place = F.row_number().over(Window.partitionBy(*keys[:5]).orderBy(k))  # partitioned as the join: no other exchange
+    n = fresh("times", [*docs.columns, *keys])
+    rows = rows.withColumn(n, F.floor((F.col(copies) + F.col(alike) - place) / F.col(alike)).cast("int")).where(F.col(n) > 0)
+    return rows.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
 
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,23 +26,26 @@ from pyspark.sql import functions as F
 from partigrid.llm.common import fresh, remove_dir, slices, stage, work_dir
 
 SEED, LEAF, FAN, LIMIT = 42, 32, 8, 3
+SIDES, SAMPLE, WIDE_LIMIT = 4, 32, 46
 _LOW = np.uint64(0x0101010101010101)
 
 
-def simhash(data: bytes, words: int = 3) -> int:
-    """Fingerprint of a UTF-8 text: majority bits of the XXH64 hashes of its word shingles, repeats included."""
+def _shingle_hashes(data: bytes, words: int) -> np.ndarray:
+    """XXH64 of the word shingles of a UTF-8 text, repeats included; of all its words if they are fewer; none without words."""
     from xxhash import xxh64_intdigest as xx
 
     found = data.lower().split()
-    if not found:
-        return 0
     line = b" ".join(found)
     if len(found) <= words:
-        return xx(line, SEED)
+        return np.array([xx(line, SEED)] if found else [], np.uint64)
     gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 32).tolist()
     starts = [0, *[g + 1 for g in gaps[: len(gaps) - words + 1]]]
     ends = [*gaps[words - 1 :], len(line)]
-    h = np.array([xx(line[s:e], SEED) for s, e in zip(starts, ends, strict=True)], np.uint64)
+    return np.array([xx(line[s:e], SEED) for s, e in zip(starts, ends, strict=True)], np.uint64)
+
+
+def _majority(h: np.ndarray) -> int:
+    """Bits that are set in over half of the hashes."""
     n = len(h)
     h = np.concatenate((h, np.zeros(-n % 255, np.uint64))).reshape(-1, 255)
     counts = np.empty(64, np.int64)
@@ -52,13 +55,26 @@ def simhash(data: bytes, words: int = 3) -> int:
     return sum(1 << int(i) for i in np.flatnonzero(2 * counts > n))
 
 
-def _fingerprints(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 8_000_000):
-            fps = np.array([simhash(t or b"", words) for t in b.column("text").cast(pa.binary()).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(fps.view(np.int64))], names=["doc_id", "text_hash", "fp"])
+def simhash(data: bytes, words: int = 3) -> int:
+    """Fingerprint of a UTF-8 text: majority bits of the XXH64 hashes of its word shingles, repeats included."""
+    return _majority(_shingle_hashes(data, words))
 
-    return run
+
+def _remixed(h: np.ndarray, k: int) -> np.ndarray:
+    """Another 64 bits of each hash."""
+    with np.errstate(over="ignore"):
+        x = h + np.uint64((0x9E3779B97F4A7C15 * k) % (1 << 64))
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def sketch(data: bytes, words: int) -> tuple[list[int], np.ndarray]:
+    """SIDES fingerprints of a text, the first its own, and its routing keys: one in SAMPLE of its shingles and the smallest."""
+    h = _shingle_hashes(data, words)
+    if not len(h):
+        return [0] * SIDES, h
+    return [_majority(h), *[_majority(_remixed(h, k)) for k in range(1, SIDES)]], np.unique(np.append(h[h % np.uint64(SAMPLE) == 0], h.min()))
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -260,18 +276,18 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return roots.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, fp, class, component_id) of every row; component_id is the smallest id of the row's class."""
+def _gray_links(nodes: DataFrame, limit: int) -> DataFrame:
+    """Links (a, b) between fingerprints of nodes(fp) that differ in ``limit`` bits or fewer: a spanning forest of each task."""
     if not 0 <= limit <= 3:
         raise ValueError("four blocks find differences of at most three bits")
-    spark = docs.sparkSession
-    base = work_dir(spark, "simhash")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    coded = stage(rows.mapInArrow(_fingerprints(words), "doc_id long, text_hash long, fp long"), f"{base}/fingerprints")
-    nodes = stage(coded.groupBy("fp").agg(F.min("doc_id").alias("least")), f"{base}/nodes")
-    turned = nodes.select("fp", F.explode(F.array(*[F.struct(F.lit(t).alias("turn"), F.shiftrightunsigned("fp", 48 - 16 * t).bitwiseAND(0xFFFF).alias("block")) for t in range(4)])).alias("x"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    links = turned.select("fp", "x.turn", "x.block").repartition(n, "turn", "block").select("turn", "fp").mapInArrow(_links(limit), "a long, b long")
+    blocks = [F.struct(F.lit(t).alias("turn"), F.shiftrightunsigned("fp", 48 - 16 * t).bitwiseAND(0xFFFF).alias("block")) for t in range(4)]
+    turned = nodes.select("fp", F.explode(F.array(*blocks)).alias("x"))
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return turned.select("fp", "x.turn", "x.block").repartition(n, "turn", "block").select("turn", "fp").mapInArrow(_links(limit), "a long, b long")
+
+
+def _classes(coded: DataFrame, nodes: DataFrame, links: DataFrame, base: str) -> DataFrame:
+    """``coded`` (doc_id, .., fp) with class, the smallest fingerprint that is linked, and component_id, the smallest id there."""
     roots = connected_components(links)
     placed = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     placed = stage(placed, f"{base}/placed")
@@ -279,18 +295,63 @@ def near_duplicates(docs: DataFrame, words: int = 3, limit: int = LIMIT, id_col:
     return coded.join(placed.join(names, "root").select("fp", F.col("root").alias("class"), "component_id"), "fp")
 
 
-def keep_first(docs: DataFrame, words: int = 3, limit: int = LIMIT) -> DataFrame:
-    """The rows of ``docs`` less all but one of each near-duplicate class: the one of smallest id, then text hash.
+def near_duplicates(docs: DataFrame, words: int = 3, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_hash, fp, class, component_id) of every row; component_id is the smallest id of the row's class."""
+    base = work_dir(docs.sparkSession, "simhash")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    coded = stage(rows.mapInArrow(_fingerprints(words), "doc_id long, text_hash long, fp long"), f"{base}/fingerprints")
+    nodes = stage(coded.groupBy("fp").agg(F.min("doc_id").alias("least")), f"{base}/nodes")
+    return _classes(coded, nodes, _gray_links(nodes, limit), base)
+
+
+def _sketches(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text", 8_000_000):
+            got = [sketch(t or b"", words) for t in b.column("text").cast(pa.binary()).to_pylist()]
+            sides = np.array([g[0] for g in got], np.uint64).view(np.int64)
+            keys = pa.array([g[1].view(np.int64) for g in got], pa.list_(pa.int64()))
+            cols = [b.column("doc_id"), b.column("text_hash"), *[pa.array(np.ascontiguousarray(sides[:, k])) for k in range(SIDES)], keys]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_hash", "fp", *[f"side{k}" for k in range(1, SIDES)], "keys"])
+
+    return run
+
+
+def similar_documents(docs: DataFrame, words: int = 5, most_bits: int = WIDE_LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_hash, fp, class, component_id) as near_duplicates, for texts that differ in more than a few shingles.
+
+    Three bits of one fingerprint only find texts that are almost equal. Here each text has SIDES fingerprints, and two texts
+    are linked if those differ in ``most_bits`` bits or fewer all together (46 of 256: about 0.8 of the five-word shingles in
+    common). Texts meet where they share a sampled shingle: with the least and with the greatest fingerprint there, so a
+    shingle that very many texts hold costs two rows each and not all pairs. What the Gray index links is linked as well.
+    """
+    base = work_dir(docs.sparkSession, "similar")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    names = [f"side{k}" for k in range(1, SIDES)]
+    coded = stage(rows.mapInArrow(_sketches(words), "doc_id long, text_hash long, fp long, " + "".join(f"{n} long, " for n in names) + "keys array<long>"), f"{base}/sketches")
+    nodes = stage(coded.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct(*names)).alias("sides")), f"{base}/nodes")
+    held = coded.select("fp", F.explode("keys").alias("key")).distinct()
+    ends = held.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high")
+    met = held.join(ends, "key").select("fp", F.explode(F.array("low", "high")).alias("to")).where("fp <> to").distinct()
+    a = nodes.select("fp", F.col("sides").alias("a"))
+    b = nodes.select(F.col("fp").alias("to"), F.col("sides").alias("b"))
+    bits = F.bit_count(F.col("fp").bitwiseXOR(F.col("to")))
+    for n in names:
+        bits = bits + F.bit_count(F.col(f"a.{n}").bitwiseXOR(F.col(f"b.{n}")))
+    wide = met.join(a, "fp").join(b, "to").where(bits <= most_bits).select(F.col("fp").alias("a"), F.col("to").alias("b"))
+    return _classes(coded.select("doc_id", "text_hash", "fp"), nodes, _gray_links(nodes, LIMIT).union(wide), base)
+
+
+def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` less all but one of each class of ``found``: the one of smallest id, then text hash.
 
     Only ids and hashes of the rows that stay are joined to the rows; equal rows of a class are one of them.
     """
-    found = near_duplicates(docs, words, limit)
     first = found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("x"))
-    first = first.select(F.col("x.doc_id").alias("first_id"), F.col("x.text_hash").alias("first_hash"))
-    h, n = fresh("text_hash", docs.columns), fresh("place", docs.columns)
-    rows = docs.withColumn(h, F.xxhash64("text"))
-    rows = rows.join(first.hint("merge"), (F.col(h) == F.col("first_hash")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
-    return rows.withColumn(n, F.row_number().over(Window.partitionBy(h, "doc_id").orderBy("doc_id"))).where(F.col(n) == 1).select(*docs.columns)
+    h, z, k, n = (fresh(c, docs.columns) for c in ("text_hash", "no_id", "id_or_zero", "place"))
+    first = first.select(F.col("x.text_hash").alias(h), F.col("x.none").alias(z), F.coalesce("x.doc_id", F.lit(0)).alias(k))
+    rows = docs.withColumn(h, F.xxhash64("text")).withColumn(z, F.col("doc_id").isNull()).withColumn(k, F.coalesce("doc_id", F.lit(0)))
+    rows = rows.join(first.hint("merge"), [h, z, k], "left_semi")  # the window below needs no other exchange
+    return rows.withColumn(n, F.row_number().over(Window.partitionBy(h, z, k).orderBy(k))).where(F.col(n) == 1).select(*docs.columns)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
