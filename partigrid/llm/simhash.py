@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from partigrid.llm.common import fresh, remove_dir, slices, stage, work_dir
 
 SEED, LEAF, FAN, LIMIT = 42, 32, 8, 3
-SIDES, SAMPLE, WIDE_LIMIT = 4, 32, 46
+SIDES, SAMPLE, WIDE_LIMIT = 4, 32, 48
 _LOW = np.uint64(0x0101010101010101)
 
 
@@ -77,6 +77,15 @@ def sketch(data: bytes, words: int) -> tuple[list[int], np.ndarray]:
     return [_majority(h), *[_majority(_remixed(h, k)) for k in range(1, SIDES)]], np.unique(np.append(h[h % np.uint64(SAMPLE) == 0], h.min()))
 
 
+def _fingerprints(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text", 8_000_000):
+            fps = np.array([simhash(t or b"", words) for t in b.column("text").cast(pa.binary()).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(fps.view(np.int64))], names=["doc_id", "text_hash", "fp"])
+
+    return run
+
+
 def gray_rank(x: np.ndarray) -> np.ndarray:
     """Rank of each 64-bit code in the order of the binary reflected Gray code."""
     for s in (1, 2, 4, 8, 16, 32):
@@ -320,7 +329,7 @@ def similar_documents(docs: DataFrame, words: int = 5, most_bits: int = WIDE_LIM
     """(doc_id, text_hash, fp, class, component_id) as near_duplicates, for texts that differ in more than a few shingles.
 
     Three bits of one fingerprint only find texts that are almost equal. Here each text has SIDES fingerprints, and two texts
-    are linked if those differ in ``most_bits`` bits or fewer all together (46 of 256: about 0.8 of the five-word shingles in
+    are linked if those differ in ``most_bits`` bits or fewer all together (48 of 256: about 0.8 of the five-word shingles in
     common). Texts meet where they share a sampled shingle: with the least and with the greatest fingerprint there, so a
     shingle that very many texts hold costs two rows each and not all pairs. What the Gray index links is linked as well.
     """
