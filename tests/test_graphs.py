@@ -149,3 +149,28 @@ def test_streamed_tally_equals_the_table(spark, tmp_path):
     q.stop()
     table = tally.district_tally(spark.read.parquet(f"{DATA}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")))
     assert spark.table("tally").exceptAll(table).count() == 0 and table.count() == spark.table("tally").count()
+
+
+def test_rooted_trees(spark):
+    trees = spark.createDataFrame([(1, 0, 1), (1, 1, 2), (1, 1, 3), (2, 4, 5)], "tree_id int, src int, dst int")
+    rows = {(r.tree_id, r.v): (r.parent, r.depth) for r in bc.rooted(trees).collect()}
+    assert rows == {(1, 0): (None, 0), (1, 1): (0, 1), (1, 2): (1, 2), (1, 3): (1, 2), (2, 4): (None, 0), (2, 5): (4, 1)}
+    above = sorted((r.v, r.ancestor) for r in bc.ancestors(trees).where("tree_id = 1").collect())
+    assert above == [(0, 0), (1, 0), (1, 1), (2, 0), (2, 1), (2, 2), (3, 0), (3, 1), (3, 3)]
+
+
+def test_readable_nodes(spark):
+    made = diagram.build_diagram(spark, grid(spark, "rook", 3), (3,), 0, orders.grid_order("diagonal", 3, 3))
+    text = {r.node: r.text for r in diagram.summary(made).collect()}
+    assert text[0] == "e_1 0 - 1 cc=0 [] {} paths=10" and len(text) == 77
+
+
+def test_saved_tables(spark, tmp_path):
+    g = grid(spark, "rook", 3)
+    trees = spanning.spanning_trees(spark, g)
+    spanning.write_trees(trees, str(tmp_path / "trees"))
+    assert spanning.read_trees(spark, str(tmp_path / "trees")).exceptAll(trees).count() == 0
+    g.vertices.write.parquet(str(tmp_path / "v"))
+    g.edges.union(g.edges.select("dst", "src")).write.parquet(str(tmp_path / "e"))
+    again = grids.read_graph(spark, str(tmp_path / "v"), str(tmp_path / "e"))
+    assert [int(r.plans) for r in frontier.count_plans(spark, again, 3, 0).collect()] == [10]
