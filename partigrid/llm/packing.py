@@ -159,14 +159,15 @@ def _pack(capacity: int, with_ids: bool):
 def pack_documents(docs: DataFrame, tokens: str, end_id: int | None = None, capacity: int = 2048, seed: int = 7, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, ids.
 
-    The number of groups follows the number of rows, so a group holds about GROUP_DOCS documents whatever the input.
+    The number of groups follows the number of rows, so a group holds about GROUP_DOCS documents whatever the input, and a
+    task holds one group.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     groups = max(1, round(docs.select(id_col).count() / GROUP_DOCS))
     coded = rows.mapInArrow(_tokenise(tokens, end_id), "doc_id long, ids binary, crc long")
-    coded = coded.withColumn("group", F.pmod(F.xxhash64("doc_id", "crc", F.lit(seed)), F.lit(groups)))
+    coded = coded.withColumn("group", F.pmod(F.xxhash64("doc_id", "crc", F.lit(seed)), F.lit(groups)).cast("int"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    return coded.groupBy("group").applyInArrow(_pack(capacity, with_ids), schema)
+    return coded.repartitionById(groups, F.col("group")).groupBy("group").applyInArrow(_pack(capacity, with_ids), schema)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
