@@ -102,7 +102,7 @@ class WordTable:
     to sixteen bytes; two longer words would have to share all of it to be taken for one.
     """
 
-    def __init__(self, bits: int = 22):
+    def __init__(self, bits: int = 21):
         self.bits, self.n = bits, 0
         self.slots = np.full(1 << bits, -1, np.int32)
         self.keys = np.zeros((3, 1 << 16), np.uint64)
@@ -178,7 +178,7 @@ class CachedTokenizer:
 
     JOINED, LONG = 64, 512
 
-    def __init__(self, path: str, max_words: int = 1_000_000):
+    def __init__(self, path: str, max_words: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
