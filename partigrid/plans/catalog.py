@@ -357,7 +357,13 @@ def zdd_states_3x3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _diagram_3x3(spark, sf_dir).nodes
 
 
-@_query("zdd_layout_3x3")
+@_query("zdd_layout_3x3", f"""with sizes(level, nodes) as (values {_rows}), placed as (
+  select level, nodes, unnest(range(1, nodes + 1)) as place from sizes
+), inner_ as (
+  select row_number() over (order by level, place) - 1 as node, level, place * 100.0::double / (nodes + 1) as x, level::double as y, 'e_' || level as label from placed
+)
+select node, level, x, y, label from inner_
+union all select -2, 13, 100.0::double / 3, 13, '0' union all select -1, 13, 200.0::double / 3, 13, '1'""")
 def zdd_layout_3x3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagram.layout(_diagram_3x3(spark, sf_dir))
 
