@@ -1,4 +1,4 @@
-"""SimHash fingerprints and near-duplicate classes (operator 3).
+"""SimHash fingerprints and near-duplicate classes (operator 3); classes of similar shingle sets (pipeline).
 
 Distinct fingerprints are searched with a Gray-order hierarchical index. Four rotated copies of each fingerprint bring each
 16-bit block to the front once; two fingerprints that differ in three bits or fewer agree in one block at least, so they
@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from partigrid.llm.common import fresh, remove_dir, slices, stage, work_dir
 
 SEED, LEAF, FAN, LIMIT = 42, 32, 8, 3
-SIDES, SAMPLE, WIDE_LIMIT = 4, 32, 48
+#: Sampled texts and common shingles that order keys; sets of a key whose pairs are all candidates at once; sets that each of
+#: more is compared with first; sets of a block; bits of a set.
+SAMPLE, MOST_COMMON, FEW, ENDS, BLOCK, BITS = 50_000, 200_000, 32, 4, 512, 1024
 _LOW = np.uint64(0x0101010101010101)
 
 
@@ -60,23 +62,6 @@ def simhash(data: bytes, words: int = 3) -> int:
     return _majority(_shingle_hashes(data, words))
 
 
-def _remixed(h: np.ndarray, k: int) -> np.ndarray:
-    """Another 64 bits of each hash."""
-    with np.errstate(over="ignore"):
-        x = h + np.uint64((0x9E3779B97F4A7C15 * k) % (1 << 64))
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
-
-
-def sketch(data: bytes, words: int) -> tuple[list[int], np.ndarray]:
-    """SIDES fingerprints of a text, the first its own, and its routing keys: one in SAMPLE of its shingles and the smallest."""
-    h = _shingle_hashes(data, words)
-    if not len(h):
-        return [0] * SIDES, h
-    return [_majority(h), *[_majority(_remixed(h, k)) for k in range(1, SIDES)]], np.unique(np.append(h[h % np.uint64(SAMPLE) == 0], h.min()))
-
-
 def _fingerprints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 8_000_000):
@@ -313,41 +298,201 @@ def near_duplicates(docs: DataFrame, words: int = 3, limit: int = LIMIT, id_col:
     return _classes(coded, nodes, _gray_links(nodes, limit), base)
 
 
-def _sketches(words: int):
+def _set_of(data: bytes, words: int) -> np.ndarray:
+    """The distinct shingle hashes of a UTF-8 text, sorted."""
+    return np.unique(_shingle_hashes(data, words))
+
+
+def _shingle_rows(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text", 2_000_000):
+            sets = [_set_of(t or b"", words) for t in b.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64))], names=["key"])
+
+    return run
+
+
+def _common_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that at least four of about SAMPLE texts hold, sorted, and in how many. They only order keys: any sample is right."""
+    every = max(1, rows.count() // SAMPLE)
+    texts = rows.where(F.pmod("text_hash", F.lit(every)) == 0).select("text_hash", "text").dropDuplicates(["text_hash"])
+    counts = texts.mapInArrow(_shingle_rows(words), "key long").groupBy("key").agg(F.count("*").alias("n")).where("n >= 4")
+    got = counts.orderBy(F.desc("n"), "key").limit(MOST_COMMON).toArrow()
+    keys = got.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], got.column("n").to_numpy()[order]
+
+
+def _prefixes(words: int, common: np.ndarray, held: np.ndarray):
+    """Rows to a hash of the text's shingle set, the set's size, and its rarest shingles: one more than a fifth of them."""
+
+    def prefix(h: np.ndarray) -> np.ndarray:
+        if len(common):
+            at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+            h = h[np.lexsort((h, np.where(common[at] == h, held[at], 0)))]
+        return h[: len(h) // 5 + 1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest as xx
+
         for b in slices(batches, "text", 8_000_000):
-            got = [sketch(t or b"", words) for t in b.column("text").cast(pa.binary()).to_pylist()]
-            sides = np.array([g[0] for g in got], np.uint64).view(np.int64)
-            keys = pa.array([g[1].view(np.int64) for g in got], pa.list_(pa.int64()))
-            cols = [b.column("doc_id"), b.column("text_hash"), *[pa.array(np.ascontiguousarray(sides[:, k])) for k in range(SIDES)], keys]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_hash", "fp", *[f"side{k}" for k in range(1, SIDES)], "keys"])
+            sets = [_set_of(t or b"", words) for t in b.column("text").cast(pa.binary()).to_pylist()]
+            fps = np.array([xx(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
+            n = pa.array([len(h) for h in sets], pa.int32())
+            keys = pa.array([prefix(h).view(np.int64) for h in sets], pa.list_(pa.int64()))
+            cols = [b.column("doc_id"), b.column("text_hash"), b.column("mark"), pa.array(fps), n, keys]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_hash", "mark", "fp", "n", "keys"])
 
     return run
 
 
-def similar_documents(docs: DataFrame, words: int = 5, most_bits: int = WIDE_LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _may_link(n: np.ndarray, at: np.ndarray, m: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m shingles can have a similarity of 0.8 if places ``at`` and ``to`` are the first they share."""
+    return 9 * np.minimum(n - at, m - to) >= 4 * (n + m)
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, fp, n, at), whole keys, to candidate pairs (a, b): all of a key with FEW sets or fewer; of another each
+    with a few of its sets, and also its sets themselves (key, a, n, at)."""
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return
+    key, fp, n, at = (np.concatenate([b.column(c).to_numpy() for b in got]) for c in ("key", "fp", "n", "at"))
+    n, at = n.astype(np.int64), at.astype(np.int64)
+    order = np.lexsort((fp, key))
+    starts, sizes = _runs(key[order])
+    size = np.repeat(sizes, sizes)
+    order, size, run = order[size > 1], size[size > 1], np.repeat(np.arange(len(sizes)), sizes)[size > 1]
+    key, fp, n, at = key[order], fp[order], n[order], at[order]
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    few = np.flatnonzero(size <= FEW)
+    for d in range(1, min(FEW, len(few))):
+        i, j = few[:-d], few[d:]
+        hit = (run[i] == run[j]) & _may_link(n[i], at[i], n[j], at[j])
+        left.append(i[hit])
+        right.append(j[hit])
+    many = np.flatnonzero(size > FEW)
+    with np.errstate(over="ignore"):
+        for s, z in zip(*(x.tolist() for x in _runs(run[many])), strict=True) if len(many) else ():
+            i = many[s : s + z]
+            for k in range(ENDS):
+                x = fp[i].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0x632BE59BD9B4E019 & (1 << 64) - 1)
+                j = np.full(z, i[np.argmin(x ^ (x >> np.uint64(29)))])
+                hit = (i != j) & _may_link(n[i], at[i], n[j], at[j])
+                left.append(i[hit])
+                right.append(j[hit])
+    i, j = np.concatenate(left), np.concatenate(right)
+    pairs = np.unique(np.stack((np.minimum(fp[i], fp[j]), np.maximum(fp[i], fp[j])), 1), axis=0)
+    names = ["key", "a", "b", "n", "at"]
+    for s in range(0, len(pairs), 100_000):
+        p = pairs[s : s + 100_000]
+        none = pa.nulls(len(p), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, pa.array(p[:, 0]), pa.array(p[:, 1]), none, none], names=names)
+    for s in range(0, len(many), 100_000):
+        i = many[s : s + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(key[i]), pa.array(fp[i]), pa.nulls(len(i), pa.int64()), pa.array(n[i]), pa.array(at[i])], names=names)
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of whole pairs of blocks of a key, to the pairs of sets of two classes that may be similar by places, sizes and bits."""
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return
+    names = ("key", "low", "high", "block", "fp", "root", "n", "at")
+    key, low, high, block, fp, root, n, at = (np.concatenate([b.column(c).to_numpy() for b in got]).astype(np.int64) for c in names)
+    bits = np.concatenate([np.frombuffer(b"".join(b.column("bits").to_pylist()), "<u8").reshape(-1, BITS // 64) for b in got])
+    order = np.lexsort((high, low, key))
+    cuts = np.flatnonzero((np.diff(key[order]) != 0) | (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)) + 1
+    for part in np.split(order, cuts):
+        first = part[block[part] == low[part]]
+        for i in first.tolist():
+            j = part[(block[part] == high[part]) & (root[part] != root[i])]
+            j = j[(fp[j] > fp[i]) | (high[j] != low[j])]
+            j = j[_may_link(n[i], at[i], n[j], at[j])]
+            apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+            j = j[9 * (n[i] + n[j] - apart) >= 8 * (n[i] + n[j])]  # shingles that one set alone holds are as many at least
+            if len(j):
+                x = np.full(len(j), fp[i])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, fp[j])), pa.array(np.maximum(x, fp[j]))], names=["a", "b"])
+
+
+def _sets(words: int, marked: np.ndarray):
+    """Rows whose mark is among ``marked`` bits, to their shingle sets and which of BITS bits these set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest as xx
+
+        for b in batches:
+            at = b.column("mark").to_numpy().view(np.uint64) & np.uint64(64 * len(marked) - 1)
+            b = b.filter(pa.array((marked[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1))
+            for c in slices(iter([b]), "text", 2_000_000):
+                sets = [_set_of(t or b"", words) for t in c.column("text").cast(pa.binary()).to_pylist()]
+                fps = np.array([xx(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
+                held = np.zeros((len(sets), BITS), np.uint8)
+                for i, h in enumerate(sets):
+                    held[i, (h % np.uint64(BITS)).astype(np.int64)] = 1
+                bits = [x.tobytes() for x in np.packbits(held, axis=1, bitorder="little")]
+                cols = [pa.array(fps), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64())), pa.array(bits, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["fp", "shingles", "bits"])
+
+    return run
+
+
+def _sets_of(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(fp, shingles, bits) of wanted(fp, mark). Marks go to the rows as a table of bits: only texts that are wanted are cut again."""
+    size = 1 << min(26, max(16, (8 * wanted.count()).bit_length()))
+    at = F.col("mark").bitwiseAND(size - 1)
+    got = wanted.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(mark & 63))")).alias("bits")).toArrow()
+    marked = np.zeros(size // 64, np.uint64)
+    marked[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    found = rows.select("mark", "text").mapInArrow(_sets(words, marked), "fp long, shingles array<long>, bits binary")
+    return found.join(wanted.select("fp"), "fp", "left_semi").dropDuplicates(["fp"])
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets have a similarity of 0.8 or more, counted over all their shingles."""
+    a = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x"))
+    b = sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    return pairs.join(b, "b").join(a, "a").where(9 * both >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
+
+
+def similar_documents(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, fp, class, component_id) as near_duplicates, for texts that differ in more than a few shingles.
 
-    Three bits of one fingerprint only find texts that are almost equal. Here each text has SIDES fingerprints, and two texts
-    are linked if those differ in ``most_bits`` bits or fewer all together (48 of 256: about 0.8 of the five-word shingles in
-    common). Texts meet where they share a sampled shingle: with the least and with the greatest fingerprint there, so a
-    shingle that very many texts hold costs two rows each and not all pairs. What the Gray index links is linked as well.
+    Two texts are linked if 0.8 or more of their distinct shingles are in common (Jaccard similarity), counted exactly; ``fp``
+    is a hash of the set. Of two such sets each has one of the common shingles among its rarest fifth and one more, in any
+    order of all shingles, so the texts meet under those. Where at most FEW sets meet, all pairs are candidates. Where more
+    do, each is first compared with a few of them; then all that are still in different classes are, in pairs of blocks.
+    Places, sizes and bits only drop pairs that can't be similar enough. No pair is left out, whatever is frequent.
     """
     base = work_dir(docs.sparkSession, "similar")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    names = [f"side{k}" for k in range(1, SIDES)]
-    coded = stage(rows.mapInArrow(_sketches(words), "doc_id long, text_hash long, fp long, " + "".join(f"{n} long, " for n in names) + "keys array<long>"), f"{base}/sketches")
-    nodes = stage(coded.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct(*names)).alias("sides")), f"{base}/nodes")
-    held = coded.select("fp", F.explode("keys").alias("key")).distinct()
-    ends = held.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high")
-    met = held.join(ends, "key").select("fp", F.explode(F.array("low", "high")).alias("to")).where("fp <> to").distinct()
-    a = nodes.select("fp", F.col("sides").alias("a"))
-    b = nodes.select(F.col("fp").alias("to"), F.col("sides").alias("b"))
-    bits = F.bit_count(F.col("fp").bitwiseXOR(F.col("to")))
-    for n in names:
-        bits = bits + F.bit_count(F.col(f"a.{n}").bitwiseXOR(F.col(f"b.{n}")))
-    wide = met.join(a, "fp").join(b, "to").where(bits <= most_bits).select(F.col("fp").alias("a"), F.col("to").alias("b"))
-    return _classes(coded.select("doc_id", "text_hash", "fp"), nodes, _gray_links(nodes, LIMIT).union(wide), base)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.withColumn("text_hash", F.xxhash64("text")).withColumn("mark", F.xxhash64("text_hash", "doc_id"))
+    shape = "doc_id long, text_hash long, mark long, fp long, n int, keys array<long>"
+    coded = stage(rows.mapInArrow(_prefixes(words, *_common_shingles(rows, words)), shape), f"{base}/prefixes")
+    firsts = [F.min("doc_id").alias("least"), F.min("mark").alias("mark"), F.first("n").alias("n"), F.first("keys").alias("keys")]
+    nodes = stage(coded.groupBy("fp").agg(*firsts), f"{base}/nodes")
+    held = nodes.select("fp", "n", F.posexplode("keys").alias("at", "key")).repartition(parts, "key").select("key", "fp", "n", "at")
+    met = stage(held.mapInArrow(_meet, "key long, a long, b long, n long, at long"), f"{base}/met")
+    pairs = stage(met.where("key is null").select("a", "b").distinct(), f"{base}/pairs")
+    many = met.where("key is not null").select("key", F.col("a").alias("fp"), "n", "at")
+    seen = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).union(many.select("fp")).distinct()
+    wanted = stage(nodes.select("fp", "mark").join(seen, "fp", "left_semi"), f"{base}/wanted")
+    sets = stage(_sets_of(rows, wanted, words), f"{base}/sets")
+    links = stage(_similar(pairs, sets), f"{base}/links")
+    if not many.isEmpty():
+        roots = connected_components(links).withColumnRenamed("node", "fp")
+        rest = stage(many.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), f"{base}/many")
+        open_ = rest.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+        rest = rest.join(open_.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "key")
+        rest = rest.withColumn("block", F.pmod(F.xxhash64("fp"), "blocks").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        rest = rest.join(sets.select("fp", "bits"), "fp")
+        rest = rest.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "fp", "root", "n", "at", "bits")
+        across = stage(rest.repartition(parts, "key", "low", "high").mapInArrow(_across, "a long, b long").distinct(), f"{base}/across")
+        links = links.union(stage(_similar(across, sets), f"{base}/more"))
+    return _classes(coded.select("doc_id", "text_hash", "fp"), nodes.select("fp", "least"), links, base)
 
 
 def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:

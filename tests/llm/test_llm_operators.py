@@ -184,6 +184,48 @@ def test_similar_documents(spark, docs, no_docs):
     assert kept.columns == docs.columns and kept.where("text = 'same text here again'").count() == 1
 
 
+def shingle_classes(texts):
+    """Least place of each text's class by brute force: links where 4/5 of all five-word shingles of two texts are in both."""
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in texts]
+    up = list(range(len(texts)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])):
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))]
+
+
+def edited(rng, words, n):
+    words = list(words)
+    for at in rng.choice(len(words), n, replace=False):
+        words[at] = f"x{rng.integers(10**9)}"
+    return words
+
+
+def test_similar_documents_of_a_shared_passage(spark):
+    rng = np.random.default_rng(9)
+    passage = [f"p{i}" for i in range(150)]
+    texts = []
+    for i in range(60):  # each pair shares the passage with all texts and most of its own words with one
+        own = [*passage, *[f"q{i}x{k}" for k in range(150)]]
+        texts += [" ".join(own), " ".join(edited(rng, own, int(rng.integers(2, 9))))]
+    base = [f"b{i}" for i in range(200)]
+    texts += [" ".join(edited(rng, base, int(rng.integers(2, 8)))) for _ in range(600)]  # some are linked by others only
+    texts += [" ".join([*passage, f"e{i}"]) for i in range(40)]
+    rows = spark.createDataFrame([(int(i), texts[i]) for i in rng.permutation(len(texts))], "doc_id long, text string").repartition(5)
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(rows).collect()}
+    want = shingle_classes(texts)
+    assert len(set(want[:120])) > 60 and len(set(want[120:720])) > 1
+    assert [found[i] for i in range(len(texts))] == want
+
+
 def test_fingerprint_of_words():
     import xxhash
 
