@@ -492,6 +492,8 @@ def similar_documents(docs: DataFrame, words: int = 5, id_col: str = "doc_id", t
         rest = rest.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "fp", "root", "n", "at", "bits")
         across = stage(rest.repartition(parts, "key", "low", "high").mapInArrow(_across, "a long, b long").distinct(), f"{base}/across")
         links = links.union(stage(_similar(across, sets), f"{base}/more"))
+    for done in ("met", "sets"):
+        remove_dir(f"{base}/{done}")
     return _classes(coded.select("doc_id", "text_hash", "fp"), nodes.select("fp", "least"), links, base)
 
 
