@@ -3,7 +3,9 @@
 import base64
 import datetime
 import hashlib
+import math
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -306,19 +308,55 @@ def test_quartile_digests(spark, docs, no_docs):
     assert quartile.fingerprint_neighbours(docs.limit(1)).count() == 1
 
 
-def test_top_k_is_exact(spark):
+def brute_top_k(rows, k, kind):
+    """(query_id, rank, vec_id, score) by exact integers over all pairs of rows; lists in ``kind``, as the column holds them."""
+    vecs = []
+    for i, v in rows:
+        v = None if v is None else [None if x is None else float(kind(x)) for x in v]
+        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
+            vecs.append((i, [math.floor(Fraction(x) * 64) for x in v]))
+    out = []
+    for at, (q, v) in enumerate(vecs):
+        if q % 20 == 0:
+            best = sorted((-sum(x * y for x, y in zip(v, w, strict=False)), i) for j, (i, w) in enumerate(vecs) if j != at)[:k]
+            out += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+@pytest.mark.parametrize("size", [0.2, 3e4, 1e7])
+def test_top_k_is_exact(spark, kind, size):
     rng = np.random.default_rng(2)
-    rows = [(i, [float(x) for x in rng.normal(0, 0.2, 16)]) for i in range(300)]
-    rows += [(400, None), (420, [None] * 16), (440, [float("nan")] * 16), (460, [1.0]), (480, rows[5][1]), (None, rows[0][1]), (500, [])]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("x"))
-    got = {}
-    for r in maxscore.top_k(table, F.col("vec_id") % 20 == 0, 7).collect():
-        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
-    vecs = {i: np.floor(64 * np.pad(np.array(v, np.float32).astype(float), (0, 16 - len(v)))).astype(int) for i, v in rows if i is not None and i not in (400, 420, 440)}
-    for q in (i for i in vecs if i % 20 == 0):
-        best = sorted(((-int(vecs[q] @ v), i) for i, v in vecs.items() if i != q))[:7]
-        assert sorted(got.pop(q)) == [(n, i, -s) for n, (s, i) in enumerate(best, 1)]
-    assert not got and maxscore.top_k(table.where("false"), F.col("vec_id") % 20 == 0).count() == 0
+    rows = [(i, [float(x) for x in rng.normal(0, size, 16)]) for i in range(300)]
+    rows += [(400, None), (420, [None] * 16), (440, [float("nan")] * 16), (445, [float("-inf")] * 16), (460, [1.0]), (480, rows[5][1]), (None, rows[0][1]), (500, [])]
+    rows += [(20, rows[20][1]), (20, rows[7][1]), (31, rows[31][1]), (1, [1.0, 2.0])]  # repeated rows, repeated ids
+    table = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").withColumn("score", F.lit("x")).withColumn("v", F.lit(1)).repartition(3)
+    for k in (1, 7, 400):
+        got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in maxscore.top_k(table, F.col("vec_id") % 20 == 0, k).collect())
+        assert got == brute_top_k(rows, k, np.float32 if kind == "float" else float)
+    assert maxscore.top_k(table.where("false"), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_top_k_keeps_large_vectors(spark):
+    rng = np.random.default_rng(3)
+    rows = [(0, [4e7, 5e7, 0.0]), (1, [5e7, 1.0, 0.0]), (20, [0.0, 0.0, 1e9]), (3, [1.0, 2.0, 1.0]), (40, [1.0, 1.0, 0.0]), (5, [-1e9, 1.0, 0.5])]
+    rows += [(100 + i, [float(x) for x in rng.integers(-9, 9, 3)]) for i in range(50)]
+    found = maxscore.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0, 3)
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found.collect()) == brute_top_k(rows, 3, np.float32)
+    far = spark.createDataFrame([(20, [1e200, 0.0]), (1, [0.0, 1e308]), (2, [0.0, -7.0])], "vec_id long, embedding array<double>")
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in maxscore.top_k(far, F.col("vec_id") % 20 == 0, 3).collect()) == [(20, 1, 1, 0), (20, 2, 2, 0)]
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        maxscore.top_k(spark.createDataFrame([(20, [1e10]), (1, [1e10])], "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
+
+
+def test_top_k_equals_its_sql(spark):
+    import duckdb
+
+    table = spark.read.parquet(f"{DATA}/embeddings.parquet")
+    db = duckdb.connect()
+    db.sql(f"create view embeddings as select * from '{DATA}/embeddings.parquet'")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in maxscore.top_k(table, F.col("vec_id") % 20 == 0).collect())
+    assert got == sorted(db.sql(maxscore.ORACLE_SQL).select("query_id, rank, vec_id, score").fetchall())
 
 
 def test_url_rules(spark):
