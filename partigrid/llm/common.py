@@ -44,17 +44,24 @@ def stage(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
 
 
 def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path and the path in it; Spark's names of S3 are known too."""
+    for name in ("s3a://", "s3n://"):
+        if path.startswith(name):
+            path = f"s3://{path[len(name):]}"
     return pafs.FileSystem.from_uri(path)
 
 
-def write_file(path: str, data: bytes) -> None:
-    """Write under a name of this attempt and move it into place: a repeated task replaces the file with equal bytes."""
+def new_file(path: str) -> pa.NativeFile:
+    """A stream to a file that isn't there yet. Tasks write under names of their own and hand those on, so what a lost
+    attempt has left is never read and no store needs an atomic move."""
     fs, p = open_fs(path)
     fs.create_dir(p.rsplit("/", 1)[0], recursive=True)
-    tmp = f"{p}.{uuid.uuid4().hex[:8]}.tmp"
-    with fs.open_output_stream(tmp, compression=None) as f:
+    return fs.open_output_stream(p, compression=None)
+
+
+def write_file(path: str, data: bytes) -> None:
+    with new_file(path) as f:
         f.write(data)
-    fs.move(tmp, p)
 
 
 def read_file(path: str) -> bytes:
