@@ -1,22 +1,29 @@
-"""Language identification by cross-parsing (operator 6).
+"""Language identification by cross-parsing entropy (operator 6).
 
 For each language a suffix automaton is built over a sample of its labelled texts. A text is parsed against it: from the
-current place the longest match that occurs anywhere in the sample is one phrase, then the parse goes on behind it. The
-language whose sample needs the fewest phrases per character wins. Texts are normalised to lower-case letters with one
-separator for what stands between them, and cut into segments that are all parsed at once, a character a step.
+current place the longest match that occurs anywhere in the sample is one phrase (a letter that the sample lacks is a phrase
+of its own), then the parse goes on behind it. The phrases times the binary logarithm of the sample's length, over the length
+of the text, estimate the text's entropy in bits a character under that language; the language that needs fewest wins. Texts
+are normalised to lower-case letters with one separator for what stands between them. Every language has an alphabet of its
+own: all the letters of its sample.
 
-Only fitting uses a sample: for each of the ``MAX_LANGUAGES`` languages with most labelled rows, whole texts of smallest id
-hash, until ``fit_chars`` characters or ``fit_docs`` texts. Parsing reads every whole text.
+A text is parsed from its first character to its last, without a cut. All texts of a slice go a character a step at once;
+when few are left, those are parsed to their ends one by one.
+
+Only fitting uses a sample. A language's labelled documents stand in order of their ids' hash, one text an id, those over an
+eighth of the limit behind the others; whole texts are taken as long as they fit into ``fit_chars`` characters (only a first
+one that is longer than that is cut), at most ``fit_docs``. With many languages these limits are divided so that TOTAL_CHARS
+and TOTAL_DOCS hold in all; no language is left out. As many characters again, of the texts behind those, calibrate what a
+text of a learned language costs at most (``accepts``). Parsing reads every whole text.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; without any labelled text all rows are ``und``;
-with one language its score is 1; equal phrase counts go to the language first in code point order; rows with a null
-``lang`` are predicted, not learned from; a null id is held out from nothing and never learned from; an empty table gives no
-rows.
+with one language its score is 1; equal costs go to the language first in code point order; rows with a null ``lang`` are
+predicted, not learned from; a null id is held out from nothing and never learned from; an id that is repeated gives one text
+(that of the least hash) to each of its languages; more than TOTAL_DOCS languages are an error; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +34,12 @@ from pyspark.sql import types as T
 
 from partigrid.llm.common import fresh, slices
 
-FIT_CHARS, FIT_DOCS, MAX_LANGUAGES, SEGMENT, ALPHABET = 60_000, 200, 200, 256, 60
+FIT_CHARS, FIT_DOCS, TOTAL_CHARS, TOTAL_DOCS = 60_000, 200, 2_000_000, 20_000
+#: Transitions of an automaton that are held as a table; texts below which the others go on one by one; characters of a slice.
+DENSE, FEW, SLICE = 8_000_000, 160, 4_000_000
+#: Characters from which a text is long enough to be rejected for its cost, and how many times what the dearest of the
+#: calibrating texts costs it must cost: other scripts and noise do, texts of rare words and of two languages do not.
+JUDGED, MARGIN = 100, 2.5
 _LETTERS: list[np.ndarray] = []
 
 
@@ -38,8 +50,8 @@ def letters() -> np.ndarray:
     return _LETTERS[0]
 
 
-def suffix_automaton(codes: list[int], classes: int) -> np.ndarray:
-    """Transitions (state, class) to state, -1 for none, of the automaton that accepts all substrings; state 0 is the root."""
+def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
+    """Transitions of the states of the automaton that accepts all substrings of ``codes``; state 0 is the root."""
     nxt: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in codes:
@@ -65,129 +77,189 @@ def suffix_automaton(codes: list[int], classes: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    table = np.full((len(nxt), classes), -1, np.int32)
-    for s, row in enumerate(nxt):
-        for c, t in row.items():
-            table[s, c] = t
-    return table
+    return nxt
+
+
+class Language:
+    """The automaton of one language over its own alphabet. Behind a letter that it lacks comes a state without transitions,
+    which is also where a text starts, so each step without a transition begins a phrase."""
+
+    def __init__(self, codes: np.ndarray, classes: int):
+        own = np.unique(codes)
+        self.local = np.full(classes, len(own), np.int32)
+        self.local[own] = np.arange(len(own))
+        self.bits = float(np.log2(max(len(codes), 2)))
+        nxt = suffix_automaton(self.local[codes].tolist())
+        self.dead, self.width = len(nxt), len(own) + 1
+        nxt.append({})
+        self.to: np.ndarray | None = None
+        self.nxt: list[dict[int, int]] = []
+        if len(nxt) * self.width <= DENSE:
+            to = np.full((len(nxt), self.width), -1, np.int32)
+            for s, row in enumerate(nxt):
+                for c, t in row.items():
+                    to[s, c] = t * self.width
+            self.to, self.dead = to.ravel(), self.dead * self.width
+            self.root = np.where(to[0] < 0, self.dead, to[0]).astype(np.int32)
+        else:
+            self.nxt, self.root = nxt, np.array([nxt[0].get(c, self.dead) for c in range(self.width)], np.int32)
+
+    def finish(self, codes: np.ndarray, state: int) -> int:
+        """Phrases that begin in ``codes``, parsed from ``state``."""
+        n, root = 0, self.root.tolist()
+        if self.to is not None:
+            to = memoryview(self.to)
+            for c in codes.tolist():
+                state = to[state + c]
+                if state < 0:
+                    n += 1
+                    state = root[c]
+            return n
+        nxt = self.nxt
+        for c in codes.tolist():
+            t = nxt[state].get(c)
+            if t is None:
+                n += 1
+                t = root[c]
+            state = t
+        return n
 
 
 class Parser:
-    """Automata of all languages over one alphabet."""
+    """The languages of ``samples``, and what texts cost in them."""
 
-    def __init__(self, samples: dict[str, list[str]]):
+    def __init__(self, samples: dict[str, list[str]], held: dict[str, list[str]] | None = None):
         self.langs = sorted(samples)
-        seen: Counter = Counter()
-        for texts in samples.values():
-            for t in texts:
-                seen.update(t.lower())
-        alphabet = [c for c, _ in sorted(((c, n) for c, n in seen.items() if c.isalpha()), key=lambda x: (-x[1], x[0]))][:ALPHABET]
+        alphabet = sorted({c for texts in samples.values() for t in texts for c in set(t.lower()) if c.isalpha()})
         self.classes = len(alphabet) + 2
-        self.code = np.where(letters(), self.classes - 1, 0).astype(np.uint8)
-        for i, c in enumerate(alphabet):
-            self.code[ord(c)] = i + 1
-        self.tables = []
-        for lang in self.langs:
-            joined = np.concatenate([np.append(self.codes(t), np.uint8(0)) for t in samples[lang]]) if samples[lang] else np.empty(0, np.uint8)
-            self.tables.append(suffix_automaton(joined.tolist(), self.classes))
+        self.code = np.where(letters(), self.classes - 1, 0).astype(np.int32)
+        self.code[[ord(c) for c in alphabet]] = np.arange(1, len(alphabet) + 1)
+        self.languages = [Language(self.codes("\n".join(samples[x])), self.classes) for x in self.langs]
+        costs = [self.costs(texts) for _, texts in sorted((held or {}).items()) if texts]
+        judged = [c.min(axis=1)[n >= JUDGED] for c, n in costs if c.size]
+        self.limit = MARGIN * float(np.concatenate(judged).max()) if sum(map(len, judged)) else np.inf
 
     def codes(self, text: str) -> np.ndarray:
         c = self.code[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")]
         return c[np.append(True, (c[1:] != 0) | (c[:-1] != 0))] if len(c) else c
 
-    def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Phrases of each text for each language, and whether it has a letter."""
+    def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Phrases of each text for each language, the normalised text's length, and whether it has a letter."""
         codes = [self.codes(t) for t in texts]
-        has = np.array([bool(c.any()) for c in codes], bool)
-        doc = np.repeat(np.arange(len(texts)), [-(-len(c) // SEGMENT) for c in codes])
+        has, size = np.array([bool(c.any()) for c in codes], bool), np.array([len(c) for c in codes], np.int64)
         out = np.zeros((len(texts), len(self.langs)), np.int64)
-        if not len(doc):
-            return out, has
-        lens = np.concatenate([np.append(np.full(len(c) // SEGMENT, SEGMENT), [len(c) % SEGMENT][: bool(len(c) % SEGMENT)]) for c in codes]).astype(np.int64)
-        flat = np.concatenate([*codes, np.zeros(SEGMENT, np.uint8)])
-        starts = np.cumsum(lens) - lens
-        order = np.argsort(-lens, kind="stable")
-        lens, starts, doc = lens[order], starts[order], doc[order]
-        active = len(lens) - np.searchsorted(lens[::-1], np.arange(SEGMENT), side="right")
-        step = [flat[starts[:n] + t].astype(np.int64) for t, n in enumerate(active.tolist())]
-        for k, table in enumerate(self.tables):
-            to, root = table.ravel(), np.maximum(table[0], 0)
-            state, count = np.zeros(len(lens), np.int64), np.ones(len(lens), np.int64)
-            for c in step:
-                n = len(c)
-                if not n:
-                    break
-                f = to[state[:n] * self.classes + c]
+        order = np.argsort(-size, kind="stable")
+        lens = size[order]
+        steps = int(lens[FEW]) if len(lens) > FEW else 0  # as long as more than FEW texts are left
+        active = len(lens) - np.searchsorted(lens[::-1], np.arange(steps), side="right")
+        flat, starts = np.concatenate([np.empty(0, np.int32), *codes]), (np.cumsum(size) - size)[order]
+        ends = np.cumsum(active)
+        by_step = np.empty(int(ends[-1]) if steps else 0, np.int32)
+        for t, (n, e) in enumerate(zip(active.tolist(), ends.tolist(), strict=True)):
+            by_step[e - n : e] = flat[starts[:n] + t]
+        tails = [codes[i][steps:] for i in order[: np.searchsorted(-lens, -steps)].tolist()]
+        for k, lang in enumerate(self.languages):
+            count = np.zeros(len(lens), np.int64)
+            if lang.to is None:
+                out[order, k] = [lang.finish(lang.local[codes[i]], lang.dead) for i in order.tolist()]
+                continue
+            state, own = np.full(len(lens), lang.dead, np.int32), lang.local[by_step]
+            to, root = lang.to, lang.root
+            for n, e in zip(active.tolist(), ends.tolist(), strict=True):
+                c = own[e - n : e]
+                f = to[state[:n] + c]
                 miss = np.flatnonzero(f < 0)
                 f[miss] = root[c[miss]]
                 count[miss] += 1
                 state[:n] = f
-            out[:, k] = np.bincount(doc, count, len(texts)).astype(np.int64)
-        return out, has
+            for i, c in enumerate(tails):
+                count[i] += lang.finish(lang.local[c], int(state[i]))
+            out[order, k] = count
+        return out, size, has
+
+    def costs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Bits a character of each text in each language, and the normalised text's length."""
+        n, size, _ = self.phrases(texts)
+        return n * np.array([x.bits for x in self.languages]) / np.maximum(size, 1)[:, None], size
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """Language and score of each text; the score is the share by which the next language needs more phrases."""
-        n, has = self.phrases(texts)
+    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Language, score, bits a character, and whether the text costs what the learned languages' texts do; the score is
+        the share by which the next language costs more. A text without a letter is never accepted; texts of less than JUDGED
+        characters, and all others where nothing was learned, are accepted at any cost."""
+        n, size, has = self.phrases(texts)
         if not self.langs:
-            return ["und"] * len(texts), np.zeros(len(texts))
-        best = n.argmin(axis=1)
-        low = n[np.arange(len(texts)), best]
-        if len(self.langs) == 1:
-            score = np.ones(len(texts))
-        else:
-            second = np.partition(n, 1, axis=1)[:, 1]
-            score = 1 - low / np.maximum(second, 1)
-        return [self.langs[b] if h else "und" for b, h in zip(best.tolist(), has, strict=True)], np.where(has, score, 0.0)
+            return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), has
+        cost = n * np.array([x.bits for x in self.languages]) / np.maximum(size, 1)[:, None]
+        best = cost.argmin(axis=1)
+        low = cost[np.arange(len(texts)), best]
+        score = np.ones(len(texts))
+        if len(self.langs) > 1:
+            second = np.partition(cost, 1, axis=1)[:, 1]
+            score = 1 - np.divide(low, second, out=np.ones(len(texts)), where=second > 0)
+        accepts = has & ((size < JUDGED) | (low <= self.limit))
+        return [self.langs[b] if h else "und" for b, h in zip(best.tolist(), has, strict=True)], np.where(has, score, 0.0), low, accepts
 
 
-_PARSERS: dict[int, Parser] = {}
+_PARSERS: dict[str, Parser] = {}
 
 
 def _predictor(shared, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        samples = shared.value
-        key = hash(tuple((k, *v) for k, v in sorted(samples.items())))
+        key, samples, held = shared.value
         if key not in _PARSERS:
             _PARSERS.clear()
-            _PARSERS[key] = Parser(samples)
-        for b in slices(batches, "text"):
-            lang, score = _PARSERS[key].predict([t or "" for t in b.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names, *names])
+            _PARSERS[key] = Parser(samples, held)
+        for b in slices(batches, "text", SLICE):
+            lang, score, cost, accepts = _PARSERS[key].predict([t or "" for t in b.column("text").to_pylist()])
+            new = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(cost, pa.float64()), pa.array(accepts, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *names])
 
     return run
 
 
-def sample_languages(docs: DataFrame, may_learn: F.Column, fit_chars: int = FIT_CHARS, fit_docs: int = FIT_DOCS) -> dict[str, list[str]]:
-    """Whole texts for each language in order of their ids' hash, the last cut where ``fit_chars`` characters are reached."""
-    own = docs.where("lang is not null and doc_id is not null").where(may_learn).select("doc_id", F.col("lang").alias("label"))
-    most = own.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(MAX_LANGUAGES).select("label")
-    own = own.join(F.broadcast(most), "label")
+def sample_languages(docs: DataFrame, may_learn: F.Column, fit_chars: int = FIT_CHARS, fit_docs: int = FIT_DOCS) -> tuple[dict[str, list[str]], dict[str, list[str]]]:
+    """Texts for each language to learn from, and others to calibrate with; at most twice TOTAL_CHARS characters in all."""
+    own = docs.where("lang is not null and doc_id is not null").where(may_learn).select("doc_id", F.col("lang").cast("string").alias("label"))
+    n = own.select("label").distinct().limit(TOTAL_DOCS + 1).count()
+    if n > TOTAL_DOCS:
+        raise ValueError(f"more than {TOTAL_DOCS} languages")
+    fit_chars, fit_docs = min(fit_chars, TOTAL_CHARS // max(n, 1)), min(fit_docs, TOTAL_DOCS // max(n, 1))
     first = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = own.withColumn("place", F.row_number().over(first)).where(F.col("place") <= fit_docs)
-    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(ids), (F.col("lang") == F.col("label")) & (docs.doc_id == ids.doc_id)).select("place", "label", "text").collect()
-    out: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r.label, r.place, r.text or "")):
-        have = out.setdefault(r.label, [])
-        left = fit_chars - sum(map(len, have))
-        if left > 0 and r.text:
-            have.append(r.text[:left])
-    return {k: v for k, v in out.items() if v}
+    ids = own.distinct().withColumn("place", F.row_number().over(first)).where(F.col("place") <= fit_docs)  # TOTAL_DOCS rows at most
+    rows = docs.select("doc_id", F.col("lang").cast("string").alias("label"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), ["label", "doc_id"])
+    one = rows.groupBy("label", "place").agg(F.min_by("text", F.xxhash64("text")).alias("text")).where("text <> ''")
+    by_place = Window.partitionBy("label").orderBy(F.length("text") > fit_chars // 8, "place")
+    one = one.withColumn("upto", F.sum(F.length("text")).over(by_place.rowsBetween(Window.unboundedPreceding, 0))).withColumn("at", F.row_number().over(by_place))
+    got = one.where((F.col("upto") <= 2 * fit_chars) | (F.col("at") == 1)).select("label", "at", "upto", F.substring("text", 1, fit_chars).alias("text")).collect()
+    samples: dict[str, list[str]] = {}
+    held: dict[str, list[str]] = {}
+    for r in sorted(got, key=lambda r: (r.label, r.at)):
+        (samples if r.upto <= fit_chars or r.at == 1 else held).setdefault(r.label, []).append(r.text)
+    return samples, held
 
 
 def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
-def identify_languages(docs: DataFrame, samples: dict[str, list[str]], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """The rows of ``docs`` with their language and its score in two new columns; a name that is taken gets underscores in front."""
-    names = tuple(fresh(n, docs.columns) for n in names)
-    shared = docs.sparkSession.sparkContext.broadcast(samples)
-    new = [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]
-    return docs.mapInArrow(_predictor(shared, list(names)), T.StructType([*docs.schema.fields, *new]))
+NAMES = ("lang_pred", "score", "bits", "accepted")
+
+
+def identify_languages(docs: DataFrame, samples: dict[str, list[str]], held: dict[str, list[str]] | None = None, names: tuple[str, str, str, str] = NAMES) -> DataFrame:
+    """The rows of ``docs`` with their language, its score, the bits a character, and whether those are what texts of the
+    learned languages cost, in four new columns; a name that is taken gets underscores in front."""
+    taken: list[str] = list(docs.columns)
+    for n in names:
+        taken.append(fresh(n, taken))
+    new = taken[len(docs.columns) :]
+    key = repr(hash((tuple((k, *v) for k, v in sorted(samples.items())), tuple((k, *v) for k, v in sorted((held or {}).items())))))
+    shared = docs.sparkSession.sparkContext.broadcast((key, samples, held))
+    fields = [T.StructField(c, t) for c, t in zip(new, (T.StringType(), T.DoubleType(), T.DoubleType(), T.BooleanType()), strict=True)]
+    return docs.mapInArrow(_predictor(shared, new), T.StructType([*docs.schema.fields, *fields]))
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language of every document: doc_id, held_out, lang_pred, score."""
+    """Language of every document: doc_id, held_out, lang_pred, score, bits."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = identify_languages(docs.select("doc_id", "text"), sample_languages(docs, ~held_out()))
-    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    found = identify_languages(docs.select("doc_id", "text"), *sample_languages(docs, ~held_out()))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "bits")

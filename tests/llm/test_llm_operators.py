@@ -3,7 +3,10 @@
 import base64
 import datetime
 import hashlib
+import io
 import math
+import re
+import time
 import zlib
 from fractions import Fraction
 
@@ -271,26 +274,80 @@ def test_quality_is_learned(spark, docs, no_docs):
 
 def test_languages_are_learned(spark, docs, no_docs):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    samples = langid.sample_languages(rows, ~langid.held_out())
-    found = langid.identify_languages(rows, samples, ("guess", "sure")).where(langid.held_out() & (F.length("text") > 40))
-    assert found.where("guess = lang").count() > 0.97 * found.count()
-    out = {r.text: r for r in langid.identify_languages(docs, samples, ("guess", "sure")).collect()}
-    assert out[""].guess == out[None].guess == "und" and out[None].sure == 0 and len(out[""]) == 8
-    assert langid.identify_languages(no_docs, samples, ("guess", "sure")).count() == 0
+    samples, held = langid.sample_languages(rows, ~langid.held_out())
+    names = ("guess", "sure", "cost", "ok")
+    found = langid.identify_languages(rows, samples, held, names).where(langid.held_out() & (F.length("text") > 40))
+    assert found.where("guess = lang").count() > 0.97 * found.count() and found.where("not ok").count() == 0
+    out = {r.text: r for r in langid.identify_languages(docs, samples, held, names).collect()}
+    assert out[""].guess == out[None].guess == "und" and out[None].sure == 0 and not out[""].ok and len(out[""]) == 10
+    assert langid.identify_languages(no_docs, samples, held, names).count() == 0
     none = langid.identify_languages(docs, {})
-    assert none.columns == [*docs.columns, "lang_pred", "_score"] and {r.lang_pred for r in none.collect()} == {"und"}
+    assert none.columns == [*docs.columns, "lang_pred", "_score", "bits", "accepted"] and {r.lang_pred for r in none.collect()} == {"und"}
 
 
-def test_cross_parsing_counts_longest_matches():
-    sample, text = "abracadabra alakazam", "cadabracalakax"
-    parser = langid.Parser({"x": [sample]})
-    n, at = 0, 0
+def phrases_by_brute_force(samples, text):
+    plain = lambda t: re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in t.lower()))
+    sample, text, n, at = plain("\n".join(samples)), plain(text), 0, 0
     while at < len(text):
         m = 1
         while at + m < len(text) and text[at : at + m + 1] in sample:
             m += 1
         n, at = n + 1, at + m
-    assert parser.phrases([text])[0].tolist() == [[n]]
+    return n
+
+
+def written_in(rng, letters, n):
+    syllables = ["".join(rng.choice(letters, rng.integers(1, 4))) for _ in range(60)]
+    return lambda size: " ".join("".join(rng.choice(syllables, rng.integers(1, 4))) for _ in range(size // 6 + n))[:size]
+
+
+def test_cross_parsing_equals_brute_force_in_three_scripts(monkeypatch):
+    rng = np.random.default_rng(6)
+    scripts = {"la": [chr(c) for c in range(97, 123)], "ko": [chr(c) for c in range(0xAC00, 0xAC00 + 900)], "zh": [chr(c) for c in range(0x4E00, 0x4E00 + 1500)]}
+    write = {k: written_in(rng, v, 1) for k, v in scripts.items()}
+    samples = {k: [f(3000), f(40) + ". ", f(2500)] for k, f in write.items()}
+    texts = [write[k](n) for k in scripts for n in (3, 250, 2600, 5000)] + [samples["ko"][0], write["la"](1500) + write["zh"](1500) + "é?ß", "", "...", "abracadabra" * 300]
+    want = [[phrases_by_brute_force(samples[k], t) for k in sorted(samples)] for t in texts]
+    for few, dense in ((160, 8_000_000), (2, 8_000_000), (2, 0), (0, 200_000)):
+        monkeypatch.setattr(langid, "FEW", few)
+        monkeypatch.setattr(langid, "DENSE", dense)
+        parser = langid.Parser(samples)
+        assert parser.phrases(texts)[0].tolist() == want
+    assert parser.phrases([samples["ko"][0]])[0][0, 0] == 1  # a text of the sample is one phrase
+    assert parser.predict(texts[:12])[0] == [k for k in scripts for _ in range(4)]
+
+
+def test_languages_of_many_scripts_and_what_is_rejected(spark):
+    rng = np.random.default_rng(7)
+    scripts = {"la": "abcdefghijklm", "el": "αβγδεζηθικλμ", "ru": "абвгдежзиклм", "zh": [chr(c) for c in range(0x4E00, 0x5400)]}
+    write = {k: written_in(rng, list(v), 1) for k, v in scripts.items()}
+    rows = [(i, k, write[k](600)) for i, k in enumerate(list(scripts) * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    samples, held = langid.sample_languages(docs, ~langid.held_out(), fit_chars=6000)
+    assert sorted(samples) == sorted(held) == sorted(scripts)
+    other = [(1000, None, written_in(rng, list("ابتثجحخدذرزسش"), 1)(800)), (1001, None, "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 800))), (1002, None, "абв")]
+    found = {r.doc_id: r for r in langid.identify_languages(docs.union(spark.createDataFrame(other, docs.schema)), samples, held).collect()}
+    assert all(found[i].lang_pred == k and found[i].accepted for i, k, _ in rows)
+    assert [found[i].accepted for i in (1000, 1001, 1002)] == [False, False, True] and found[1002].lang_pred == "ru"
+
+
+def test_language_samples_are_bounded(spark):
+    rows = [(7, "en", f"words of the text number {i} here") for i in range(1000)] + [(8, "en", "x" * 5000), (9, "de", "y" * 9000), (10, "fr", None), (None, "fr", "a b"), (11, None, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    samples, held = langid.sample_languages(docs, F.lit(True), fit_chars=4000)
+    assert sorted(samples) == ["de", "en"] and samples["de"] == ["y" * 4000] and len(samples["en"]) == 1 and sorted(held) == ["en"]
+    again, _ = langid.sample_languages(docs.repartition(5), F.lit(True), fit_chars=4000)
+    assert again == samples
+
+
+def test_more_languages_than_once(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i * 10 + j, f"l{i:03d}", t) for i in range(260) for f in [written_in(rng, list("abcdefghijklmnop"), 1)] for j, t in enumerate([f(400), f(400)])]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    samples, held = langid.sample_languages(docs, F.col("doc_id") % 10 == 0)
+    assert len(samples) == 260
+    found = langid.identify_languages(docs.where("doc_id % 10 = 1 and doc_id < 400"), samples, held)
+    assert found.where("lang_pred = lang").count() == 40
 
 
 def test_quartile_digests(spark, docs, no_docs):
@@ -393,12 +450,54 @@ def test_archives_round_trip(spark, tmp_path):
         kept = top[html or ""]
         want.append((str(i), len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if kept in (i, None) else "revisit", None if kept in (i, None) else kept))
     assert got == sorted(want)
+    archives = [open(f, "rb") for f in sorted(tmp_path.glob("w/archives/*.warc.gz"))]
+    records = [fields for f in archives for fields, _ in warc.parse_records(f)]
+    ids = [r["warc-record-id"] for r in records]
+    assert len(set(ids)) == len(ids) and {r["warc-refers-to"] for r in records if r["warc-type"] == "revisit"} <= set(ids)
+    assert sorted(p.name for p in (tmp_path / "w").iterdir()) == ["archives", "manifest"]
     warc.write_archives(pages.where("false"), f"file://{tmp_path}/none")
     assert warc.read_archives(spark, f"file://{tmp_path}/none").count() == 0
     warc.write_archives(pages.where("page_id is not null"), f"file://{tmp_path}/long", least=100)
     assert {r.payload_bytes for r in warc.read_archives(spark, f"file://{tmp_path}/long").where("record_type = 'revisit'").collect()} == set()
 
 
+def test_hot_payloads_over_many_files(spark, tmp_path, monkeypatch):
+    rows = [(i, f"u{i}", "hot" if i % 3 else f"own {i}") for i in range(3000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    warc.write_archives(pages, f"file://{tmp_path}/h")
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.read_archives(spark, f"file://{tmp_path}/h").collect()}
+    assert got == {i: ("revisit", 2999) if i % 3 and i != 2999 else ("response", None) for i in range(3000)}
+
+
+def test_archives_are_read_in_linear_time():
+    def seconds(n):
+        rng = np.random.default_rng(0)
+        made = [warc.make_record("response", warc.new_id(), "d", warc._http(3000) + rng.bytes(3000), warc._page(i, "u", "x")) for i in range(n)]
+        data, best = b"".join(made), 1e9
+        for _ in range(3):
+            began = time.process_time()
+            assert sum(1 for _ in warc.parse_records(io.BytesIO(data))) == n
+            best = min(best, time.process_time() - began)
+        return best
+
+    assert seconds(6000) < 2.5 * seconds(3000)
+
+
+def test_damaged_archives_are_noticed(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"text {i % 5}") for i in range(20)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, f"file://{tmp_path}/d")
+    path = next(tmp_path.glob("d/archives/*.warc.gz"))
+    whole = path.read_bytes()
+    records = list(warc.parse_records(io.BytesIO(whole)))
+    kept = [r for r in records if r[0]["warc-type"] != "response"]
+    path.write_bytes(b"".join(warc.make_record(f["warc-type"], f["warc-record-id"], "d", b, [(k, v) for k, v in f.items() if k not in ("warc-type", "warc-record-id", "warc-date", "content-length")]) for f, b in kept))
+    with pytest.raises(Exception, match="without its response"):
+        warc.read_archives(spark, f"file://{tmp_path}/d").collect()
+    path.write_bytes(whole[:-20])
+    with pytest.raises(Exception, match="ends within a record"):
+        warc.read_archives(spark, f"file://{tmp_path}/d").collect()
+
+
 def test_targets_are_capped_and_reshared():
     assert cube.targets([10, 1000, 10], [5, 2, 1]) == [30.0, 960.0, 30.0]
     got = cube.targets([100, 100, 100], [5, 2, 1])
