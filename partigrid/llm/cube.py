@@ -5,119 +5,117 @@ again by weight. A document is taken floor(target / words of its source) times f
 remains. Those last copies are drawn by the cube method: probabilities move along directions of the null space of two
 constraints, the words and the number of documents taken, until each is 0 or 1 but for two at most.
 
-The flight runs in randomised groups of about GROUP rows of a source; what stays undecided goes on to a next round in fewer
-groups, so no task ever holds more than a group, and only the last one or two rows of a source are rounded, to the nearest
-word total. Draws come from hashes of the rows and a seed, so reruns agree.
+The flight runs in randomised groups of about GROUP rows of a source. Each move is led by the largest row that is undecided
+and balanced by all others, so the last to be decided are small. What stays undecided goes on to a next round in fewer
+groups, so no task ever holds more than a group. The last two rows of a source are the landing problem: of the joint draws
+that keep both probabilities, the one with the least expected error in words and documents is taken, so every row is drawn
+with its own probability to the end. Draws come from hashes of the rows and a seed, so reruns agree.
+
+Equal rows are counted, numbered and dealt to groups one by one; a row that is repeated very often is numbered in chunks by
+many tasks. Sources are ranked and their targets found by aggregates over a table of sources, never at the driver.
 
 Defined cases: a null text has size 0; a null source is a source of its own, the last; documents of size 0 take part with 0
-words; repeated rows are drawn each; a source without words has target 0; an empty table gives no rows. The number of sources
-is held to MAX_SOURCES, the bound of what is gathered at the driver and broadcast.
+words; repeated rows are drawn each; a source without words has target 0; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from partigrid.llm.common import fresh, slices, stage, work_dir
-
-WEIGHTS, MOST, GROUP, MAX_SOURCES = (5.0, 2.0, 1.0), 3, 2048, 1_000_000
-
-
-def targets(sizes: list[int], weights: list[float], most: float = MOST) -> list[float]:
-    """Shares of the sum of ``sizes`` by weight, none above ``most`` times its size."""
-    out, left, free = [0.0] * len(sizes), float(sum(sizes)), list(range(len(sizes)))
-    while free:
-        total = sum(weights[i] for i in free)
-        over = [i for i in free if left * weights[i] / total > most * sizes[i]]
-        if not over:
-            for i in free:
-                out[i] = left * weights[i] / total
-            break
-        for i in over:
-            out[i] = float(most * sizes[i])
-            left -= out[i]
-        free = [i for i in free if i not in set(over)]
-    return out
-
-
-def flight(x: list[float], p: list[float], rng: np.random.Generator) -> list[float]:
-    """Move probabilities to 0 or 1 with Σp and Σx·p unchanged, until two rows at most are undecided."""
-    p, draws = list(p), iter(())
-    active: list[int] = []
-    at, n, eps = 0, len(p), 1e-9
-    while True:
-        while len(active) < 3 and at < n:
-            if eps < p[at] < 1 - eps:
-                active.append(at)
-            else:
-                p[at] = float(round(p[at]))
-            at += 1
-        if len(active) < 2:
-            return p
-        i, j = active[0], active[1]
-        if x[i] == x[j]:
-            u = (1.0, -1.0, 0.0)
-        elif len(active) == 3:
-            k = active[2]
-            u = (x[k] - x[j], x[i] - x[k], x[j] - x[i])
-        else:
-            return p
-        up = down = float("inf")
-        for m, d in zip(active, u, strict=False):
-            if d > 0:
-                up, down = min(up, (1 - p[m]) / d), min(down, p[m] / d)
-            elif d < 0:
-                up, down = min(up, p[m] / -d), min(down, (1 - p[m]) / -d)
-        draw = next(draws, None)
-        if draw is None:
-            draws = iter(rng.random(1024).tolist())
-            draw = next(draws)
-        step = up if draw * (up + down) < down else -down
-        for m, d in zip(active, u, strict=False):
-            p[m] += step * d
-        still = []
-        for m in active:
-            if eps < p[m] < 1 - eps:
-                still.append(m)
-            else:
-                p[m] = float(round(p[m]))
-        active = still
-
-
-def land(x: list[float], p: list[float], flips: int = 16) -> list[float]:
-    """Round what is undecided to the word total nearest to Σx·p, then turn over single rows while that comes nearer.
-
-    What lingers in a flight are large rows, so the nearest rounding alone may be off by half of one.
-    """
-    open_ = [i for i, v in enumerate(p) if 0 < v < 1]
-    goal = sum(x[i] * p[i] for i in open_)
-    sums = [sum(x[i] for k, i in enumerate(open_) if b >> k & 1) - goal for b in range(1 << len(open_))]
-    best = min(range(len(sums)), key=lambda b: (abs(sums[b]), b))
-    for k, i in enumerate(open_):
-        p[i] = float(best >> k & 1)
-    off, size, taken = sums[best], np.array(x), np.array(p)
-    for _ in range(flips):
-        after = np.abs(off + np.where(taken == 1, -size, size))
-        i = int(after.argmin()) if len(after) else -1
-        if i < 0 or after[i] >= abs(off):
-            break
-        off += -size[i] if taken[i] else size[i]
-        taken[i] = 1 - taken[i]
-    return taken.tolist()
+from partigrid.llm.common import fresh, stage, work_dir
 
+#: Rows of a group; equal rows that one task numbers; sources up to which their table is broadcast.
+WEIGHTS, MOST, GROUP, CHUNK, FEW_SOURCES = (5.0, 2.0, 1.0), 3, 2048, 1024, 100_000
+_WORD = r"[^\x20\x09-\x0D]+"
 
-def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches, "text"):
-        n = [len(t.split()) if t else 0 for t in b.column("text").cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), b.column("text_hash"), pa.array(n, pa.int64())], names=["doc_id", "source", "text_hash", "size"])
 
+def flight(x: list[float], p: list[float], rng: np.random.Generator, eps: float = 1e-9) -> list[float]:
+    """Move probabilities to 0 or 1 with Σp and Σx·p unchanged, until two rows at most are undecided.
 
-_ROW = "doc_id long, text_hash long, source_id int, size long, p double"
+    A move is the projection of the first undecided row's direction on the null space, with p(1-p) as the metric.
+    """
+    p, x = np.array(p, float), np.array(x, float)
+    at = np.flatnonzero((p > eps) & (p < 1 - eps))
+    p[(p <= eps) | (p >= 1 - eps)] = np.round(p[(p <= eps) | (p >= 1 - eps)])
+    q, y, lead = p[at], x[at], 0
+    while len(at) > 1:
+        w = q * (1 - q)
+        total = w.sum()
+        z = y - (w @ y) / total
+        wz = w * z
+        spread = wz @ z
+        u = -w * (w[lead] / total)
+        if spread > 1e-9 * total:
+            u -= wz * (wz[lead] / spread)
+        u[lead] += w[lead]
+        largest = np.abs(u).max()
+        if largest < 1e-9 * w[lead]:  # all others are of one size: it can't move, they can
+            if lead or len(at) < 3:
+                break
+            lead = 1
+            continue
+        u[np.abs(u) < 1e-9 * largest] = 0
+        with np.errstate(divide="ignore"):
+            to_one, to_zero = (1 - q) / np.abs(u), q / np.abs(u)
+        up, down = np.where(u > 0, to_one, to_zero).min(), np.where(u > 0, to_zero, to_one).min()
+        q = q + u * (up if rng.random() * (up + down) < down else -down)
+        still = (q > eps) & (q < 1 - eps)
+        p[at] = np.where(still, q, np.round(q))
+        lead = 1 if lead and still[0] else 0
+        at, q, y = at[still], q[still], y[still]
+    return p.tolist()
+
+
+def land(x: list[float], p: list[float], rng: np.random.Generator) -> list[float]:
+    """Decide the rows that a flight leaves open, each with its own probability. They are two at most (others would go one by
+    one before them); of the joint draws of two the one with the least expected error is taken: words, in sizes of the rows,
+    and documents."""
+    p, open_ = list(p), [i for i, v in enumerate(p) if 0 < v < 1]
+    while len(open_) > 2 or len(open_) == 1:
+        i = open_.pop(0)
+        p[i] = float(rng.random() < p[i])
+    if open_:
+        i, j = open_
+        words, n, size = x[i] * p[i] + x[j] * p[j], p[i] + p[j], max((x[i] + x[j]) / 2, 1.0)
+        cost = lambda a, b: abs(a * x[i] + b * x[j] - words) / size + abs(a + b - n)
+        slope = cost(1, 1) + cost(0, 0) - cost(1, 0) - cost(0, 1)
+        both = max(0.0, n - 1) if slope > 0 else min(p[i], p[j])
+        edges = np.cumsum([both, p[i] - both, p[j] - both])
+        p[i], p[j] = [(1.0, 1.0), (1.0, 0.0), (0.0, 1.0), (0.0, 0.0)][int(np.searchsorted(edges, rng.random(), side="right"))]
+    return p
+
+
+def _source_plan(sized: DataFrame, weights: tuple[float, ...], most: float, base: str) -> tuple[DataFrame, int]:
+    """(source_id, name, source_size, target) of the sources in code point order, null last, and how many there are."""
+    spark = sized.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sums = sized.groupBy(F.col("source").alias("name")).agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    order = [F.col("name").isNull(), F.col("name")]
+    dealt = stage(sums.repartitionByRange(n, *order).withColumn("bucket", F.spark_partition_id()), f"{base}/dealt")
+    offsets, before = [], 0
+    for r in sorted(dealt.groupBy("bucket").count().collect()):  # a row for each partition
+        offsets.append((r[0], before))
+        before += r[1]
+    known = spark.createDataFrame(offsets, "bucket int, before long")
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy(*order)) - 1
+    ranked = dealt.join(F.broadcast(known), "bucket").withColumn("source_id", F.col("before") + place)
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("source_id") % len(weights) + 1).cast("int"))
+    ranked = stage(ranked.select("source_id", "name", "source_size", weight.alias("weight")), f"{base}/sources")
+    limit = F.lit(float(most)) * F.col("source_size")
+    total, free = (float(v or 0) for v in ranked.agg(F.sum("source_size"), F.sum("weight")).first())
+    left, capped = total, 0
+    while True:  # what is above its limit is held there, the rest shares again; that only raises the others
+        share = F.col("weight") * F.lit(left) / F.lit(free or 1.0)
+        held, others, now = ranked.agg(F.sum(F.when(share > limit, limit)), F.sum(F.when(share > limit, 0.0).otherwise(F.col("weight"))), F.count_if(share > limit)).first()
+        if now <= capped or not others:
+            return ranked.select("source_id", "name", "source_size", F.least(limit, share).alias("target")), before
+        left, free, capped = total - held, others, now
+
+
+_ROW = "doc_id long, text_hash long, source_id long, size long, p double"
 
 
 def _fly(seed: int):
@@ -125,68 +123,73 @@ def _fly(seed: int):
         source_id, group, last, step = (k.as_py() for k in key)
         table = table.sort_by([("size", "descending"), ("draw", "ascending"), ("doc_id", "ascending"), ("text_hash", "ascending"), ("p", "ascending")])
         x, p = table.column("size").to_numpy().astype(float).tolist(), table.column("p").to_pylist()
-        p = flight(x, p, np.random.default_rng([seed, source_id, group, step]))
+        rng = np.random.default_rng([seed, source_id, group, step])
+        p = flight(x, p, rng)
         if last:
-            p = land(x, p)
+            p = land(x, p, rng)
         return table.select(["doc_id", "text_hash", "source_id", "size"]).append_column("p", pa.array(p, pa.float64()))
 
     return run
 
 
+def one_by_one(counted: DataFrame, n: str, number: str, keys: list[str]) -> DataFrame:
+    """Each row of ``counted`` as often as its column ``n`` says, ``number`` counting from 0; rows that come more than CHUNK
+    times are first split into chunks and dealt out."""
+    parts = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    few = counted.where(F.col(n) <= CHUNK).withColumn(number, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)))
+    chunks = counted.where(F.col(n) > CHUNK).withColumn(number, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / CHUNK))))
+    first = F.col(number) * CHUNK
+    many = chunks.repartition(parts, *keys, number).withColumn(number, F.explode(F.sequence(first, F.least(first + CHUNK, F.col(n)) - 1)))
+    return few.unionByName(many)
+
+
 def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, seed: int = 11) -> DataFrame:
     """(doc_id, text_hash, source, size, source_size, target, copies, taken) of every row; weights repeat over the sources."""
     spark = docs.sparkSession
     base = work_dir(spark, "cube")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    sized = stage(rows.mapInArrow(_sizes, "doc_id long, source string, text_hash long, size long"), f"{base}/sizes")
-    totals = sized.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    totals.sort(key=lambda r: (r.source is None, r.source or ""))
-    goals = targets([r.n for r in totals], [weights[i % len(weights)] for i in range(len(totals))], most)
-    plan = []
-    for i, (r, goal) in enumerate(zip(totals, goals, strict=True)):
-        ratio = goal / r.n if r.n else 0.0
-        sure = min(int(ratio + 1e-9), most)
-        plan.append((i, r.source, r.n, goal, sure, max(0.0, ratio - sure) if sure < most else 0.0))
-    plan_df = spark.createDataFrame(plan, "source_id int, name string, source_size long, target double, sure int, rest double")
-    open_ = sized.join(F.broadcast(plan_df), sized.source.eqNullSafe(plan_df.name)).select("doc_id", "text_hash", "source_id", "size", F.col("rest").alias("p"))
+    text = F.col("text").cast("string")
+    size = F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("long").alias("size")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(text).alias("text_hash"), size)
+    sized = stage(rows.groupBy(*rows.columns).agg(F.count("*").alias("n")), f"{base}/sizes")
+    plan, n_sources = _source_plan(sized, weights, most, base)
+    ratio = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
+    sure = F.least(F.floor(ratio + 1e-9), F.lit(most)).cast("int")
+    plan = plan.withColumn("sure", sure).withColumn("rest", F.when(sure < most, F.greatest(ratio - sure, F.lit(0.0))).otherwise(0.0))
+    checked = lambda df: F.broadcast(df) if n_sources <= FEW_SOURCES else df
+    named = sized.join(checked(plan.select("source_id", "name", F.col("rest").alias("p"))), sized.source.eqNullSafe(F.col("name"))).select("doc_id", "text_hash", "source_id", "size", "p", "n")
+    open_ = one_by_one(named, "n", "number", ["doc_id", "text_hash"]).drop("n")
     decided: DataFrame | None = None
     step = 0
     while True:
-        counts = {r.source_id: r.n for r in open_.groupBy("source_id").agg(F.count("*").alias("n")).collect()}
-        if not counts:
-            break
-        groups = spark.createDataFrame([(s, max(1, round(n / GROUP))) for s, n in counts.items()], "source_id int, groups int")
-        draw = F.xxhash64("doc_id", "text_hash", "size", F.lit(seed), F.lit(step))
-        dealt = open_.join(F.broadcast(groups), "source_id").withColumn("draw", draw)
+        counts = open_.groupBy("source_id").agg(F.greatest(F.lit(1), F.round(F.count("*") / GROUP)).cast("int").alias("groups"))
+        draw = F.xxhash64("doc_id", "text_hash", "size", *(["number"] if not step else ["p"]), F.lit(seed), F.lit(step))
+        dealt = open_.join(checked(counts), "source_id").withColumn("draw", draw)
         dealt = dealt.withColumn("group", F.pmod(F.shiftrightunsigned("draw", 20), F.col("groups")).cast("int"))
         flown = dealt.groupBy("source_id", "group", (F.col("groups") == 1).alias("last"), F.lit(step).alias("step")).applyInArrow(_fly(seed), _ROW)
         flown = stage(flown, f"{base}/round-{step}")
         done = flown.where("p in (0.0, 1.0)")
         decided = done if decided is None else decided.union(done)
         open_, step = flown.where("p not in (0.0, 1.0)"), step + 1
-    if decided is None:
-        decided = open_
-    out = decided.join(F.broadcast(plan_df), "source_id").withColumn("copies", F.col("sure") + F.col("p").cast("int"))
+        if open_.isEmpty():
+            break
+    out = decided.join(checked(plan), "source_id").withColumn("copies", F.col("sure") + F.col("p").cast("int"))
     return out.select("doc_id", "text_hash", F.col("name").alias("source"), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mixed_rows(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it; equal rows share their copies out among them."""
-    h, z, k, y, s, copies, alike = keys = [fresh(c, docs.columns) for c in ("text_hash", "no_id", "id_or_zero", "no_source", "source_or_none", "copies", "alike")]
-
-    def keyed(df: DataFrame, text_hash: F.Column) -> DataFrame:
-        own = (text_hash, F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.col("source").isNull(), F.coalesce("source", F.lit("")))
-        return df.select("*", *[c.alias(n) for c, n in zip(own, keys, strict=False)])
-
-    mixed = keyed(mix_documents(docs).select("doc_id", "source", F.col("text_hash").alias("of_text"), F.col("copies").alias("times")), F.col("of_text"))
-    mixed = mixed.groupBy(*keys[:5]).agg(F.sum("times").alias(copies), F.count("*").alias(alike))
-    rows = keyed(docs, F.xxhash64("text")).join(mixed.hint("merge"), keys[:5])
-    place = F.row_number().over(Window.partitionBy(*keys[:5]).orderBy(k))  # partitioned as the join: no other exchange
-    n = fresh("times", [*docs.columns, *keys])
-    rows = rows.withColumn(n, F.floor((F.col(copies) + F.col(alike) - place) / F.col(alike)).cast("int")).where(F.col(n) > 0)
-    return rows.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
+    """The rows of ``docs``, each as often as the mix takes it; of equal rows (id, source and text) one is taken as often as
+    the mix takes all of them. Copies of a row meet before they are shuffled, and what comes very often is dealt out again."""
+    names = [fresh(c, docs.columns) for c in ("text_hash", "no_id", "id_or_zero", "no_source", "source_or_none")]
+    row, times, number = (fresh(c, [*docs.columns, *names]) for c in ("row", "times", "number"))
+
+    def keyed(text_hash: F.Column) -> list[F.Column]:
+        own = (text_hash, F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("source").isNull(), F.coalesce(F.col("source").cast("string"), F.lit("")))
+        return [c.alias(n) for c, n in zip(own, names, strict=True)]
+
+    mixed = mix_documents(docs).select("doc_id", "source", F.col("text_hash").alias("of_text"), F.col("copies").alias("m"))
+    mixed = mixed.where("m > 0").select(*keyed(F.col("of_text")), "m").groupBy(*names).agg(F.sum("m").alias(times))
+    rows = docs.select(*keyed(F.xxhash64(F.col("text").cast("string"))), F.struct(*docs.columns).alias(row)).groupBy(*names).agg(F.first(row).alias(row))
+    return one_by_one(rows.join(mixed.hint("merge"), names), times, number, names).select(f"{row}.*")
 
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

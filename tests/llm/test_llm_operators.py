@@ -498,26 +498,57 @@ def test_damaged_archives_are_noticed(spark, tmp_path):
         warc.read_archives(spark, f"file://{tmp_path}/d").collect()
 
 
-def test_targets_are_capped_and_reshared():
-    assert cube.targets([10, 1000, 10], [5, 2, 1]) == [30.0, 960.0, 30.0]
-    got = cube.targets([100, 100, 100], [5, 2, 1])
-    assert sum(got) == pytest.approx(300) and got == pytest.approx([187.5, 75, 37.5])
-    assert cube.targets([0, 5], [5, 2]) == [0.0, 5.0] and cube.targets([], []) == []
+def targets(sizes, weights, most=3):
+    """Shares of all words by weight; what is above its limit is cut, the excess shared again, until none is above."""
+    out, left, free = [0.0] * len(sizes), float(sum(sizes)), list(range(len(sizes)))
+    while free:
+        share = {i: left * weights[i % len(weights)] / sum(weights[j % len(weights)] for j in free) for i in free}
+        over = [i for i in free if share[i] > most * sizes[i]]
+        for i in over or free:
+            out[i] = float(most * sizes[i]) if over else share[i]
+        left, free = left - sum(out[i] for i in over), [i for i in free if over and i not in over]
+    return out
+
+
+@pytest.mark.parametrize("sizes", [[10, 1000, 10], [100, 100, 100], [0, 5], [], [1, 1, 1, 1, 400], [7, 0, 3, 900, 2, 55, 1, 1, 20]])
+def test_targets_are_capped_and_reshared(spark, tmp_path, sizes):
+    rows = [(None if i == len(sizes) - 1 else f"s{i}", n, 1) for i, n in enumerate(sizes)]
+    plan, n = cube._source_plan(spark.createDataFrame(rows, "source string, size long, n long"), cube.WEIGHTS, 3, str(tmp_path))
+    got = sorted(plan.collect(), key=lambda r: r.source_id)
+    assert n == len(sizes) and [r.name for r in got] == [r[0] for r in rows]
+    assert [r.target for r in got] == pytest.approx(targets(sizes, cube.WEIGHTS))
 
 
 def test_flight_keeps_totals():
     rng = np.random.default_rng(4)
     for n in (0, 1, 2, 3, 50, 400):
-        x, p = rng.integers(0, 500, n).astype(float).tolist(), rng.random(n).tolist()
-        q = cube.flight(x, p, np.random.default_rng(n))
-        assert sum(0 < v < 1 for v in q) <= 2
-        assert sum(q) == pytest.approx(sum(p), abs=1e-5) and np.dot(x, q) == pytest.approx(np.dot(x, p), abs=1e-2) if n else q == []
+        for x in (rng.integers(0, 500, n), np.full(n, 7), np.append(np.full(max(n - 1, 0), 3), [900] * (n > 0)), (rng.pareto(1, n) * 50).astype(int)):
+            x, p = x.astype(float).tolist(), rng.random(n).tolist()
+            q = cube.flight(x, p, np.random.default_rng(n))
+            assert sum(0 < v < 1 for v in q) <= 2
+            assert n == 0 or sum(q) == pytest.approx(sum(p), abs=1e-5) and np.dot(x, q) == pytest.approx(np.dot(x, p), abs=1e-2)
 
 
-def test_flight_draws_with_its_probabilities():
-    x, p = [3.0, 8.0, 1.0, 7.0, 9.0, 2.0, 5.0, 4.0], [0.2, 0.5, 0.7, 0.4, 0.6, 0.3, 0.5, 0.8]
-    got = np.mean([[v if v in (0, 1) else v for v in cube.flight(x, p, np.random.default_rng(s))] for s in range(3000)], axis=0)
-    assert np.abs(got - p).max() < 0.04
+@pytest.mark.parametrize("x", [[3, 8, 1, 7, 9, 2, 5, 4], [1000, 1010, 3, 8, 1, 7, 2, 5], [4, 4, 4, 4, 4, 4, 4, 4], [5000, 2, 2, 2, 2, 2, 2, 2]])
+def test_draws_keep_their_probabilities_through_the_landing(x):
+    p = [0.2, 0.5, 0.7, 0.4, 0.6, 0.3, 0.5, 0.8]
+    drawn = []
+    for s in range(4000):
+        rng = np.random.default_rng(s)
+        drawn.append(cube.land(x, cube.flight(x, p, rng), rng))
+    assert set(np.unique(drawn)) == {0.0, 1.0} and np.abs(np.mean(drawn, axis=0) - p).max() < 0.04
+    assert np.abs(np.sum(drawn, axis=1) - sum(p)).max() < 2
+
+
+def test_landing_is_small_beside_a_large_document():
+    rng = np.random.default_rng(1)
+    x = [20000.0, *rng.integers(50, 900, 300).astype(float).tolist()]
+    p, off = [0.4] * len(x), []
+    for s in range(60):
+        own = np.random.default_rng(s)
+        taken = cube.land(x, cube.flight(x, p, own), own)
+        off.append(abs(np.dot(x, taken) - np.dot(x, p)))
+    assert max(off) < 1800 and np.mean(off) < 600
 
 
 def test_mix(spark, docs, no_docs):
@@ -525,9 +556,45 @@ def test_mix(spark, docs, no_docs):
     a = cube.mix_documents(rows)
     by_source = a.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max(F.col("taken") - 3 * F.col("size")).alias("over")).collect()
     assert all(abs(r.taken - r.target) < 0.05 * r.target and r.over <= 0 for r in by_source)
-    assert a.count() == rows.count() and sorted(map(str, a.collect())) == sorted(map(str, cube.mix_documents(rows).collect()))
+    assert a.count() == rows.count() and sorted(map(str, a.collect())) == sorted(map(str, cube.mix_documents(rows.repartition(3)).collect()))
+    sizes = {r.doc_id: len((r.text or "").encode().split()) for r in rows.collect()}
+    assert {r.doc_id: r["size"] for r in a.collect()} == sizes
     small = cube.mix_documents(docs)
-    assert small.count() == docs.count() and small.where("source is null").first().source_size == sum(len((r.text or "").split()) for r in docs.collect() if r.source is None)
+    assert small.count() == docs.count() and small.where("source is null").first().source_size == sum(len((r.text or "").encode().split()) for r in docs.collect() if r.source is None)
     assert cube.mix_documents(no_docs).count() == 0
     mixed, copies = cube.mixed_rows(docs), small.agg(F.sum("copies")).first()[0]
     assert mixed.columns == docs.columns and mixed.count() == copies
+
+
+def test_mix_of_a_hot_row(spark, monkeypatch):
+    largest = []
+    hot = spark.range(50_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit("s").alias("source"))
+    some = spark.createDataFrame([(i, "a b c " * (i % 50 + 1), "s" if i % 2 else "t") for i in range(400)], "doc_id long, text string, source string")
+    same = spark.range(9000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("six words are in this text").alias("text"), F.lit("t").alias("source"))
+    docs = hot.union(some).union(same)
+    fly = cube._fly
+
+    def spy(seed):
+        run = fly(seed)
+
+        def inner(key, table):
+            if table.num_rows > 2 * cube.GROUP:
+                raise ValueError("a large group")
+            return run(key, table)
+
+        return inner
+
+    monkeypatch.setattr(cube, "_fly", spy)
+    a = cube.mix_documents(docs)
+    by_source = a.groupBy("source").agg(F.count("*").alias("n"), F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert {r.source: r.n for r in by_source} == {"s": 50_200, "t": 9200} and all(abs(r.taken - r.target) < 0.02 * r.target for r in by_source)
+    mixed = cube.mixed_rows(docs)
+    assert mixed.count() == a.agg(F.sum("copies")).first()[0] and not largest
+
+
+def test_many_sources_need_no_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(cube, "FEW_SOURCES", 3)
+    docs = spark.createDataFrame([(i, "w " * (i % 30), f"s{i % 97}") for i in range(2000)], "doc_id long, text string, source string")
+    want = targets([sum(len(r.text.split()) for r in docs.where(F.col("source") == s).collect()) for s in sorted({f"s{i}" for i in range(97)})][:3], [5, 2, 1])
+    a = cube.mix_documents(docs)
+    assert a.count() == 2000 and want and abs(a.agg(F.sum("taken")).first()[0] / a.agg(F.sum("size")).first()[0] - 1) < 0.1
