@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES, BATCH_BYTES = 2_000_000, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,6 +43,13 @@ def stage(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """From now on the session hands rows to Python in batches of BATCH_BYTES at most, whatever the rows' number: a task's
+    memory then doesn't follow the length of the texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark
+
+
 def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a path and the path in it; Spark's names of S3 are known too."""
     for name in ("s3a://", "s3n://"):

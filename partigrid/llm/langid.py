@@ -32,11 +32,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from partigrid.llm.common import fresh, slices
+from partigrid.llm.common import fresh, slices, small_batches
 
 FIT_CHARS, FIT_DOCS, TOTAL_CHARS, TOTAL_DOCS = 60_000, 200, 2_000_000, 20_000
 #: Transitions of an automaton that are held as a table; texts below which the others go on one by one; characters of a slice.
-DENSE, FEW, SLICE = 8_000_000, 160, 4_000_000
+DENSE, FEW, SLICE = 8_000_000, 160, 3_000_000
 #: Characters from which a text is long enough to be rejected for its cost, and how many times what the dearest of the
 #: calibrating texts costs it must cost: other scripts and noise do, texts of rare words and of two languages do not.
 JUDGED, MARGIN = 100, 2.5
@@ -203,7 +203,7 @@ class Parser:
 _PARSERS: dict[str, Parser] = {}
 
 
-def _predictor(shared, names: list[str]):
+def _predictor(shared, carried: list[str], names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, samples, held = shared.value
         if key not in _PARSERS:
@@ -212,7 +212,7 @@ def _predictor(shared, names: list[str]):
         for b in slices(batches, "text", SLICE):
             lang, score, cost, accepts = _PARSERS[key].predict([t or "" for t in b.column("text").to_pylist()])
             new = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(cost, pa.float64()), pa.array(accepts, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *names])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in carried], *new], names=[*carried, *names])
 
     return run
 
@@ -245,9 +245,10 @@ def held_out() -> F.Column:
 NAMES = ("lang_pred", "score", "bits", "accepted")
 
 
-def identify_languages(docs: DataFrame, samples: dict[str, list[str]], held: dict[str, list[str]] | None = None, names: tuple[str, str, str, str] = NAMES) -> DataFrame:
-    """The rows of ``docs`` with their language, its score, the bits a character, and whether those are what texts of the
+def identify_languages(docs: DataFrame, samples: dict[str, list[str]], held: dict[str, list[str]] | None = None, names: tuple[str, str, str, str] = NAMES, carried: list[str] | None = None) -> DataFrame:
+    """The rows of ``docs`` (their columns ``carried``, None: all) with their language, its score, the bits a character, and whether those are what texts of the
     learned languages cost, in four new columns; a name that is taken gets underscores in front."""
+    carried = docs.columns if carried is None else carried
     taken: list[str] = list(docs.columns)
     for n in names:
         taken.append(fresh(n, taken))
@@ -255,11 +256,11 @@ def identify_languages(docs: DataFrame, samples: dict[str, list[str]], held: dic
     key = repr(hash((tuple((k, *v) for k, v in sorted(samples.items())), tuple((k, *v) for k, v in sorted((held or {}).items())))))
     shared = docs.sparkSession.sparkContext.broadcast((key, samples, held))
     fields = [T.StructField(c, t) for c, t in zip(new, (T.StringType(), T.DoubleType(), T.DoubleType(), T.BooleanType()), strict=True)]
-    return docs.mapInArrow(_predictor(shared, new), T.StructType([*docs.schema.fields, *fields]))
+    return docs.mapInArrow(_predictor(shared, carried, new), T.StructType([*[docs.schema[c] for c in carried], *fields]))
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document: doc_id, held_out, lang_pred, score, bits."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = identify_languages(docs.select("doc_id", "text"), *sample_languages(docs, ~held_out()))
+    docs = small_batches(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    found = identify_languages(docs.select("doc_id", "text"), *sample_languages(docs, ~held_out()), carried=["doc_id"])
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "bits")
