@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from partigrid.llm.common import fresh, stage, work_dir
+from partigrid.llm.common import fresh, small_batches, stage, work_dir
 
 #: Rows of a group; equal rows that one task numbers; sources up to which their table is broadcast.
 WEIGHTS, MOST, GROUP, CHUNK, FEW_SOURCES = (5.0, 2.0, 1.0), 3, 2048, 1024, 100_000
@@ -194,5 +194,5 @@ def mixed_rows(docs: DataFrame) -> DataFrame:
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document: doc_id, size, source_size, target, taken, source, copies."""
-    mixed = mix_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    mixed = mix_documents(small_batches(spark).read.parquet(f"{sf_dir}/documents.parquet"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")

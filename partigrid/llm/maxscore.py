@@ -33,6 +33,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from partigrid.llm.common import small_batches
+
 SHARD, BLOCK, PROBE = 8192, 4096, 8
 FLOAT32, FLOAT64 = 1 << 24, 1 << 53  # integers below are exact
 
@@ -243,7 +245,7 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = 20, scale: float = 64
 
 def op7_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best rows for each row whose id is divisible by 20, against all rows."""
-    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+    return top_k(small_batches(spark).read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
 
 
 ORACLE_SQL = """

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partigrid.llm.common import slices, tokenizer
+from partigrid.llm.common import slices, small_batches, tokenizer
 
 GROUP_DOCS = 2048
 
@@ -172,4 +172,4 @@ def pack_documents(docs: DataFrame, tokens: str, end_id: int | None = None, capa
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 ids."""
-    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), "word_bpe_49k.json", end_id=1)
+    return pack_documents(small_batches(spark).read.parquet(f"{sf_dir}/documents.parquet"), "word_bpe_49k.json", end_id=1)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from partigrid.llm.common import fresh, slices
+from partigrid.llm.common import fresh, slices, small_batches
 
 FIT_ROWS, FORMS, SHAPES, DIM, HIDDEN, THRESHOLD = 4000, 1500, 400, 64, 32, 0.7
 _RUN = re.compile(r"(.)\1+")
@@ -217,6 +217,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, name: str = "score") -> Da
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document: doc_id, held_out, score, predicted."""
-    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = (small_batches(spark).read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     scored = score_quality(docs.select("doc_id", "text"), labels)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partigrid.llm.common import slices, stage, work_dir
+from partigrid.llm.common import slices, small_batches, stage, work_dir
 
 BUCKETS, BOUND = 256, 416
 _MUL = (np.uint16(0x9E37), np.uint16(0x85EB), np.uint16(0xC2B3))
@@ -145,4 +145,4 @@ def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quartile digests of all documents and their edited texts."""
-    return fingerprint_neighbours(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return fingerprint_neighbours(small_batches(spark).read.parquet(f"{sf_dir}/documents.parquet"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from partigrid.llm.common import fresh, remove_dir, slices, stage, work_dir
+from partigrid.llm.common import fresh, remove_dir, slices, small_batches, stage, work_dir
 
 SEED, LEAF, FAN, LIMIT = 42, 32, 8, 3
 #: Sampled texts and common shingles that order keys; sets of a key whose pairs are all candidates at once; sets that each of
@@ -512,5 +512,5 @@ def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of three-word shingles and class of every document, linked at three differing bits or fewer."""
-    found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = near_duplicates(small_batches(spark).read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partigrid.llm.common import read_file, slices, stage, tokenizer, work_dir, write_file
+from partigrid.llm.common import read_file, slices, small_batches, stage, tokenizer, work_dir, write_file
 
 PACK, RECIPE = b"PGPK0001", b"PGRC0001"
 WINDOW, LEAST, MOST, MASK = 16, 128, 2048, (1 << 9) - 1
@@ -381,5 +381,5 @@ def read_documents(spark: SparkSession, store: str, with_ids: bool = False) -> D
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' ids written to a content-addressed store and read back: doc_id, start, n_tokens, ids_crc32, n_chunks."""
     store = work_dir(spark, "token-store")
-    write_store(spark.read.parquet(f"{sf_dir}/documents.parquet"), store, "byte_bpe_50k.json", end_id=0)
+    write_store(small_batches(spark).read.parquet(f"{sf_dir}/documents.parquet"), store, "byte_bpe_50k.json", end_id=0)
     return read_documents(spark, store)

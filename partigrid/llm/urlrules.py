@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from partigrid.llm.common import small_batches
+
 MAX_RULES = 200_000
 _TOKEN = re.compile(r"[a-z0-9]{2,}")
 _AUTHORITY = re.compile(r"://([^/?#]*)([^?#]*)", re.S)
@@ -141,7 +143,7 @@ def filter_urls(pages: DataFrame, domain_rules: tuple = DOMAIN_RULES, patterns:
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, domain rule and verdict of every page's URL."""
-    return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return filter_urls(small_batches(spark).read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def _sql() -> str:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partigrid.llm.common import new_file, open_fs, remove_dir, slices, stage, work_dir
+from partigrid.llm.common import new_file, open_fs, remove_dir, slices, small_batches, stage, work_dir
 
 ARCHIVE_BYTES, ARCHIVE_RECORDS, PIECE = 32_000_000, 200_000, 1 << 16
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -224,5 +224,5 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to WARC archives with revisits and read back."""
     folder = work_dir(spark, "warc")
-    write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
+    write_archives(small_batches(spark).read.parquet(f"{sf_dir}/pages.parquet"), folder)
     return read_archives(spark, folder).drop("target")
