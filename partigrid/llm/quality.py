@@ -1,13 +1,14 @@
 """Quality classifier (operator 4): random-indexing word vectors, a two-layer network, calibrated probabilities.
 
 Every word kind (a frequent form, else the word's shape) has a sparse random index vector; its word vector adds the index
-vectors of the kinds that stand near it in the fitting sample. A document is the mean of its words' vectors, beside the
-shares of a few relations between its words (a word repeats the last one, a rare word or a line comes again). A network
-with one hidden layer maps that to a logit, and one temperature, fitted on a part of the sample that trained nothing else,
-turns logits into probabilities.
+vectors of the kinds that stand near it in the fitting sample. A word that comes again (behind itself, as a rare word, at
+all, in a line that does) counts as a kind for that too. A document is the mean of its words' vectors and nothing else. A
+network with one hidden layer maps that to a logit, and one temperature, fitted on a part of the sample that trained nothing
+else, turns logits into probabilities.
 
-Only fitting uses a sample: at most ``fit_rows`` labelled rows, those with the smallest hash of their id, a bound that
-doesn't depend on the input. Scoring reads every whole text.
+Only fitting uses a sample: at most ``fit_rows`` labelled ids, those of smallest hash, one text each (the one of the least
+hash where an id is repeated), and whole texts of at most ``fit_bytes`` bytes in all, those of over an eighth of that last.
+These bounds don't depend on the input and hold before anything is collected. Scoring reads every whole text.
 
 Defined cases: a null text scores as an empty one, an empty text as a document without words; rows of labels with nulls or
 without a document are not learned from; an id with several labels counts as their majority (a tie: 1); without labels of
@@ -24,16 +25,16 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from partigrid.llm.common import fresh, slices, small_batches
 
-FIT_ROWS, FORMS, SHAPES, DIM, HIDDEN, THRESHOLD = 4000, 1500, 400, 64, 32, 0.7
+FIT_ROWS, FIT_BYTES, FORMS, SHAPES, DIM, HIDDEN, THRESHOLD = 4000, 24_000_000, 1500, 400, 128, 64, 0.7
 _RUN = re.compile(r"(.)\1+")
 _MIXED = re.compile(r"[^\W\d_]+")
-RELATIONS = 6
+REPEATS = ("#again", "#rare again", "#met again", "#line again")
 
 
 def shape(word: str) -> str:
@@ -67,21 +68,22 @@ def _index_vectors(names: list[str]) -> np.ndarray:
     return out
 
 
-def _relations(text: str, words: list[str], kinds: np.ndarray, n_forms: int) -> np.ndarray:
-    n = len(words)
-    if not n:
-        return np.zeros(RELATIONS)
+def kind_counts(text: str, kinds: Kinds) -> tuple[np.ndarray, int]:
+    """How often each kind stands in a text, and its number of words. Beside its own kind a word may count as REPEATS kinds:
+    it is the word before it again, a rare word that was met before, any word that was, or in a line that was."""
+    words = text.split()
+    n, size = len(words), len(kinds.vocabulary) + 1
+    k = np.fromiter(map(kinds.__getitem__, words), np.int64, n)
     ids = np.fromiter(map(hash, words), np.int64, n)
-    rare = ids[kinds >= n_forms]
-    lines = [x for x in text.split("\n") if x.strip()]
-    return np.array([
-        np.mean(ids[1:] == ids[:-1]) if n > 1 else 0.0,
-        1 - len(np.unique(rare)) / len(rare) if len(rare) else 0.0,
-        len(rare) / n,
-        1 - len(set(lines)) / len(lines),
-        np.log1p(n) / 10,
-        1 - len(np.unique(ids)) / n,
-    ])
+    rare = ids[k >= kinds.n_forms]
+    seen: set[str] = set()
+    again = 0
+    for line in text.split("\n"):
+        if line in seen:
+            again += len(line.split())
+        seen.add(line)
+    repeats = [np.count_nonzero(ids[1:] == ids[:-1]), len(rare) - len(np.unique(rare)), n - len(np.unique(ids)), again]
+    return np.append(np.bincount(k, minlength=size), repeats), n
 
 
 @dataclass
@@ -101,14 +103,11 @@ class Model:
     constant: float | None = None
 
     def features(self, texts: list[str], kinds: Kinds) -> np.ndarray:
-        out = np.zeros((len(texts), DIM + RELATIONS))
-        size = len(self.vocabulary) + 1
+        """The mean of the vectors of a text's kinds, for each text."""
+        out = np.zeros((len(texts), DIM))
         for i, text in enumerate(texts):
-            words = text.split()
-            k = np.fromiter(map(kinds.__getitem__, words), np.int64, len(words))
-            if len(k):
-                out[i, :DIM] = np.bincount(k, minlength=size) @ self.vectors / len(k)
-            out[i, DIM:] = _relations(text, words, k, self.n_forms)
+            counts, n = kind_counts(text, kinds)
+            out[i] = counts @ self.vectors / max(n, 1)
         return out
 
     def logits(self, x: np.ndarray) -> np.ndarray:
@@ -158,7 +157,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 5) -> Model:
     names = chosen + [s for s in top(shapes, SHAPES) if s not in set(chosen)]
     vocabulary = {w: i for i, w in enumerate(names)}
     kinds, size = Kinds(vocabulary, len(chosen)), len(names) + 1
-    index = _index_vectors([*names, "#other"])
+    index = _index_vectors([*names, "#other", *REPEATS])
     near = np.zeros(size * size, np.int64)
     for t in texts:
         words = t.split()
@@ -166,7 +165,8 @@ def fit(texts: list[str], labels: list[int], seed: int = 5) -> Model:
         for d in (1, 2):
             np.add.at(near, k[:-d] * size + k[d:], 1)
     near = near.reshape(size, size)
-    context = (near + near.T) @ index
+    context = np.zeros_like(index)
+    context[:size] = (near + near.T) @ index[:size]
     length = np.linalg.norm(context, axis=1, keepdims=True)
     vectors = index + 2 * np.divide(context, length, out=np.zeros_like(context), where=length > 0)
     rng = np.random.default_rng(seed)
@@ -184,23 +184,27 @@ def fit(texts: list[str], labels: list[int], seed: int = 5) -> Model:
     return model
 
 
-def _scorer(shared, name: str):
+def _scorer(shared, carried: list[str], name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         kinds = Kinds(model.vocabulary, model.n_forms)
         for b in slices(batches, "text"):
             s = model.scores([t or "" for t in b.column("text").to_pylist()], kinds)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in carried], pa.array(s, pa.float64())], names=[*carried, name])
 
     return run
 
 
-def sample_labelled(docs: DataFrame, labels: DataFrame, may_learn: F.Column, fit_rows: int = FIT_ROWS) -> tuple[list[str], list[int]]:
-    """Texts and labels of at most ``fit_rows`` labelled ids, those of smallest hash; ids are chosen before texts are read."""
+def sample_labelled(docs: DataFrame, labels: DataFrame, may_learn: F.Column, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> tuple[list[str], list[int]]:
+    """Texts and labels of at most ``fit_rows`` labelled ids and ``fit_bytes`` bytes; ids are chosen before texts are read."""
     own = labels.where("doc_id is not null and quality is not null").where(may_learn)
     ids = own.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "y", F.coalesce("text", F.lit("")).alias("text")).collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    one = rows.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    size = F.octet_length("text")
+    first = Window.orderBy(size > fit_bytes // 8, F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # fit_rows rows
+    rows = one.withColumn("upto", F.sum(size).over(first)).where(F.col("upto") <= fit_bytes).select("doc_id", "y", "text").collect()
+    rows.sort(key=lambda r: r.doc_id)
     return [r.text for r in rows], [r.y for r in rows]
 
 
@@ -208,15 +212,17 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, name: str = "score") -> DataFrame:
-    """The rows of ``docs`` with their score in a new column ``name``, with underscores in front if that is taken."""
-    name = fresh(name, docs.columns)
+def score_quality(docs: DataFrame, labels: DataFrame, name: str = "score", carried: list[str] | None = None) -> DataFrame:
+    """The rows of ``docs`` (their columns ``carried``, None: all) with their score in a new column ``name``, with underscores
+    in front if that is taken."""
+    name, carried = fresh(name, docs.columns), docs.columns if carried is None else carried
     shared = docs.sparkSession.sparkContext.broadcast(fit(*sample_labelled(docs, labels, ~held_out())))
-    return docs.mapInArrow(_scorer(shared, name), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    fields = [*[docs.schema[c] for c in carried], T.StructField(name, T.DoubleType())]
+    return docs.mapInArrow(_scorer(shared, carried, name), T.StructType(fields))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document: doc_id, held_out, score, predicted."""
     docs, labels = (small_batches(spark).read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    scored = score_quality(docs.select("doc_id", "text"), labels)
+    scored = score_quality(docs.select("doc_id", "text"), labels, carried=["doc_id"])
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

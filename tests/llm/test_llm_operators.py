@@ -272,6 +272,35 @@ def test_quality_is_learned(spark, docs, no_docs):
     assert {r.s for r in quality.score_quality(docs, labels.where("false"), "s").collect()} == {0.5}
 
 
+def test_quality_samples_are_bounded(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(1000)] + [(2, "x" * 9000), (3, "small"), (4, None), (None, "no")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 0), (4, 0), (5, 1), (None, 1), (3, None)], "doc_id long, quality int")
+    texts, y = quality.sample_labelled(docs, labels, F.lit(True), fit_bytes=1000)
+    assert len(texts) == 3 and texts[1:] == ["small", ""] and y == [1, 0, 0]
+    assert quality.sample_labelled(docs.repartition(5), labels, F.lit(True), fit_bytes=1000) == (texts, y)
+    assert len(quality.sample_labelled(docs, labels, F.lit(True), fit_rows=2)[0]) <= 2
+
+
+def test_quality_score_is_the_pooled_vectors_through_the_network():
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdef"), rng.integers(2, 6)))
+    good = [" ".join(word() for _ in range(80)) + "\nlast line" for _ in range(60)]
+    bad = [" ".join(w for _ in range(40) for w in [word()] * 2) for _ in range(30)] + ["the same line here\n" * 20 for _ in range(30)]
+    model = quality.fit(good + bad, [1] * 60 + [0] * 60)
+    kinds = quality.Kinds(model.vocabulary, model.n_forms)
+    for text in ["", "a", "a a\na a\nb", good[0], bad[0], bad[-1]]:
+        words, total, lines = text.split(), np.zeros(quality.DIM), text.split("\n")
+        for i, w in enumerate(words):
+            total += model.vectors[kinds[w]]
+            total += model.vectors[-4] * (i > 0 and words[i - 1] == w) + model.vectors[-2] * (w in words[:i])
+            total += model.vectors[-3] * (w in words[:i] and kinds[w] >= model.n_forms)
+        total += model.vectors[-1] * sum(len(x.split()) for i, x in enumerate(lines) if x in lines[:i])
+        x = (total / max(len(words), 1) - model.mean) / model.scale
+        z = (np.tanh(x @ model.w1 + model.b1) @ model.w2 + model.b2) / model.temperature
+        assert model.scores([text], kinds)[0] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+    assert (model.scores(good, kinds) > 0.7).mean() > 0.9 and (model.scores(bad, kinds) < 0.7).mean() > 0.9
+
+
 def test_languages_are_learned(spark, docs, no_docs):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     samples, held = langid.sample_languages(rows, ~langid.held_out())
