@@ -104,6 +104,32 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             yield b.slice(s, e - s)
 
 
+class Repeats:
+    """Numbers equal keys in the order in which they are met: how often each was met before.
+
+    Whatever the order of a task's rows, the same numbers come out for the same rows, so a task that is run again deals
+    equal rows out as before. Keys are held in sorted arrays, sixteen bytes a distinct one.
+    """
+
+    def __init__(self) -> None:
+        self.keys, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+
+    def number(self, keys: np.ndarray) -> np.ndarray:
+        order = np.argsort(keys, kind="stable")
+        own, first, label, n = np.unique(keys[order], return_index=True, return_inverse=True, return_counts=True)
+        at = np.searchsorted(self.keys, own)
+        known = np.zeros(len(own), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == own[inside]
+        before = np.zeros(len(own), np.int64)
+        before[known] = self.counts[at[known]]
+        out = np.empty(len(keys), np.int64)
+        out[order] = np.arange(len(keys)) - first[label] + before[label]
+        self.counts[at[known]] += n[known]
+        self.keys, self.counts = np.insert(self.keys, at[~known], own[~known]), np.insert(self.counts, at[~known], n[~known])
+        return out
+
+
 def crc_ids(ids: np.ndarray) -> int:
     """CRC-32 of ids as little-endian unsigned 32-bit integers."""
     return zlib.crc32(ids.astype("<u4").tobytes())
@@ -112,19 +138,26 @@ def crc_ids(ids: np.ndarray) -> int:
 class WordTable:
     """Words of a buffer to entry numbers, all words of a slice at once: a hash table in numpy arrays.
 
-    A word's key is its length, its first and last eight bytes and a 64-bit hash of all of it. The key settles words of up
-    to sixteen bytes; two longer words would have to share all of it to be taken for one.
+    A word's key is its first and last eight bytes and a 64-bit hash of its length and all of it. The key settles words of up
+    to sixteen bytes (the hash is one to one for those that share their ends); the bytes of longer ones are kept and compared.
     """
 
     def __init__(self, bits: int = 21):
         self.bits, self.n = bits, 0
         self.slots = np.full(1 << bits, -1, np.int32)
         self.keys = np.zeros((3, 1 << 16), np.uint64)
+        self.sizes, self.at = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64)
+        self.text, self.used = np.zeros(1 << 16, np.uint8), 0
 
     @staticmethod
-    def key(buffer: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def _eights(buffer) -> np.ndarray:
+        """The eight bytes from each place on, as integers."""
+        return np.ndarray((len(buffer) - 7,), "<u8", buffer, strides=(1,))
+
+    @classmethod
+    def key(cls, buffer: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Keys (hash, first, last) of the words buffer[starts:ends]; eight bytes must stand before and behind them."""
-        at = np.ndarray((len(buffer) - 7,), "<u8", buffer, strides=(1,))
+        at = cls._eights(buffer)
         size = ends - starts
         short = np.minimum(size, 8).astype(np.uint64) * np.uint64(8)
         full = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -145,8 +178,19 @@ class WordTable:
             h *= mul[0]
         return np.stack((h, first, last))
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Entry of each key, -1 for none."""
+    @classmethod
+    def same(cls, a, starts: np.ndarray, b, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Whether words of ``sizes`` (over 16) at ``starts`` of a equal those at ``others`` of b, but for their ends."""
+        x, y, out, k = cls._eights(a), cls._eights(b), np.ones(len(sizes), bool), 8
+        more = np.arange(len(sizes))
+        while len(more):
+            out[more] &= x[starts[more] + k] == y[others[more] + k]
+            k += 8
+            more = more[sizes[more] > k + 8]
+        return out
+
+    def find(self, keys: np.ndarray, buffer: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Entry of each word, -1 for none."""
         out = np.full(keys.shape[1], -1, np.int64)
         todo, mask = np.arange(keys.shape[1]), (1 << self.bits) - 1
         slot = (keys[0] >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -156,16 +200,32 @@ class WordTable:
             todo, slot, entry = todo[there], slot[there], entry[there]
             same = self.keys[0][entry] == keys[0][todo]
             same &= (self.keys[1][entry] == keys[1][todo]) & (self.keys[2][entry] == keys[2][todo])
+            long = np.flatnonzero(same & (ends[todo] - starts[todo] > 16))
+            if len(long):
+                e, w = entry[long], todo[long]
+                size = ends[w] - starts[w]
+                same[long] = size == self.sizes[e]
+                long, e, w, size = (v[same[long]] for v in (long, e, w, size))
+                same[long] = self.same(buffer, starts[w], self.text, self.at[e], size)
             out[todo[same]] = entry[same]
             todo, slot = todo[~same], (slot[~same] + 1) & mask
         return out
 
-    def add(self, keys: np.ndarray) -> None:
-        """New entries for keys that are distinct and not in the table."""
+    def add(self, keys: np.ndarray, words: list[bytes]) -> None:
+        """New entries for words that are distinct and not in the table."""
         n, mask = keys.shape[1], (1 << self.bits) - 1
         while self.n + n > self.keys.shape[1]:
             self.keys = np.concatenate((self.keys, np.zeros_like(self.keys)), axis=1)
+            self.sizes, self.at = (np.concatenate((x, np.zeros_like(x))) for x in (self.sizes, self.at))
         self.keys[:, self.n : self.n + n] = keys
+        size = np.fromiter(map(len, words), np.int64, n)
+        kept = np.where(size > 16, size, 0)
+        data = np.frombuffer(b"".join(w for w in words if len(w) > 16), np.uint8)
+        while self.used + len(data) + 8 > len(self.text):
+            self.text = np.concatenate((self.text, np.zeros_like(self.text)))
+        self.text[self.used : self.used + len(data)] = data
+        self.sizes[self.n : self.n + n], self.at[self.n : self.n + n] = size, self.used + np.cumsum(kept) - kept
+        self.used += len(data)
         todo = np.arange(self.n, self.n + n)
         slot = (keys[0] >> np.uint64(64 - self.bits)).astype(np.int64)
         self.n += n
@@ -178,6 +238,14 @@ class WordTable:
             rest[placed] = False
             todo, slot = todo[rest], (slot[rest] + 1) & mask
 
+    def only(self, entries: np.ndarray) -> "WordTable":
+        """A table of these entries alone, numbered from 0."""
+        out = WordTable(self.bits)
+        words = [self.text[a : a + s].tobytes() if s > 16 else b"" for a, s in zip(self.at[entries].tolist(), self.sizes[entries].tolist(), strict=True)]
+        out.add(self.keys[:, entries], words)
+        out.sizes[: len(entries)] = self.sizes[entries]
+        return out
+
 
 class CachedTokenizer:
     """Exact ids of a public tokenizer, frequent words encoded once.
@@ -196,7 +264,6 @@ class CachedTokenizer:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.model._resize_cache(0)  # words are kept here
         self.drops_space = self._ids([" a"]) == self._ids(["a"])
         names = self.tok.get_vocab()
         self.starts_word = np.zeros(1 << 16, bool)
@@ -207,7 +274,7 @@ class CachedTokenizer:
         self.max_words = max_words
         self.table = WordTable()
         self.flat, self.used = np.empty(1 << 16, np.uint16), 0
-        self.starts, self.lens, self.met = (np.zeros(1 << 16, np.int32) for _ in range(3))
+        self.starts, self.lens, self.met = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -245,7 +312,7 @@ class CachedTokenizer:
         a, n = self._split([w.decode() for w, f in zip(words, first, strict=True) if not f])
         b, m = self._alone([w[1:].decode() for w, f in zip(words, first, strict=True) if f])
         flat, lens, at = np.concatenate((a, b)), np.concatenate((n, m)), self.table.n
-        self.table.add(keys[:, order])
+        self.table.add(keys[:, order], [words[i] for i in order.tolist()])
         while self.table.n > len(self.starts):
             self.starts, self.lens, self.met = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.lens, self.met))
         while self.used + len(flat) > len(self.flat):
@@ -264,8 +331,7 @@ class CachedTokenizer:
         self.starts[: len(keep)], self.lens[: len(keep)] = np.cumsum(lens) - lens, lens
         self.met[: len(keep)] = self.met[keep] // 2
         self.met[len(keep) :] = 0
-        old, self.table = self.table, WordTable()
-        self.table.add(old.keys[:, keep])
+        self.table = self.table.only(keep)
 
     def _gather(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of entries one after another, and how many each has."""
@@ -296,20 +362,22 @@ class CachedTokenizer:
         if self.table.n > self.max_words:
             self._drop_rare()
         keys = WordTable.key(buffer, starts, ends)
-        entry = self.table.find(keys)
+        entry = self.table.find(keys, buffer, starts, ends)
         new = np.flatnonzero(entry < 0)
         if len(new):
             _, one, label = np.unique(keys[0][new], return_index=True, return_inverse=True)
-            own = keys[:, new[one]]
-            if (own[:, label] != keys[:, new]).any():  # two words with one hash: nothing of this slice is kept
-                return [np.array(x, np.uint16) for x in self._ids(texts)]
+            own, of = keys[:, new[one]], new[one][label]
+            size, long = ends[new] - starts[new], np.flatnonzero(ends[new] - starts[new] > 16)
+            apart = (own[:, label] != keys[:, new]).any() or (size != ends[of] - starts[of]).any()
+            if apart or not WordTable.same(buffer, starts[new[long]], buffer, starts[of[long]], size[long]).all():
+                return [np.array(x, np.uint16) for x in self._ids(texts)]  # two words with one hash: nothing of this slice is kept
             at, words = self.table.n, [buffer[s:e] for s, e in zip(starts[new[one]].tolist(), ends[new[one]].tolist(), strict=True)]
             self._learn(words, own)
             first = np.fromiter((w[:1] == b"\x02" for w in words), bool, len(words))
             place = np.empty(len(words), np.int64)
             place[np.concatenate((np.flatnonzero(~first), np.flatnonzero(first)))] = np.arange(at, self.table.n)
             entry[new] = place[label]
-        self.met[: self.table.n] += np.bincount(entry, minlength=self.table.n).astype(np.int32)
+        self.met[: self.table.n] += np.bincount(entry, minlength=self.table.n)
         ids, lens = self._gather(entry)
         upto = np.concatenate(([0], np.cumsum(lens, dtype=np.int64)))[np.concatenate(([0], behind))]
         for j, i in enumerate(sure):

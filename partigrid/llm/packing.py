@@ -1,6 +1,7 @@
 """Packing documents into sequences (operator 2).
 
-Documents are dealt into randomised groups by a hash. In each group a document longer than a sequence gives full pieces,
+Documents are dealt into randomised groups by a hash of their id, their token ids and how often the same row came before in
+its task, so equal rows are dealt out too. In each group a document longer than a sequence gives full pieces,
 and what remains is placed by first-fit decreasing: a tournament tree over the bins' free capacities finds the first bin
 that holds a piece in logarithmic time. The emptiest bins are then cut up to fill the gaps of the others, and the one bin
 that stays partly filled is cut into runs of power-of-two length, which need no padding.
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partigrid.llm.common import slices, small_batches, tokenizer
+from partigrid.llm.common import Repeats, slices, small_batches, tokenizer
 
 GROUP_DOCS = 2048
 
@@ -123,22 +124,24 @@ def plan_group(lengths: list[int], capacity: int) -> list[list[tuple[int, int, i
 
 def _tokenise(tokens: str, end_id: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(tokens)
+        from xxhash import xxh64_intdigest as xx
+
+        tok, repeats = tokenizer(tokens), Repeats()
         for b in slices(batches, "text"):
             ids = tok.encode([t or "" for t in b.column("text").to_pylist()])
             if end_id is not None:
                 ids = [np.append(x, np.uint16(end_id)) for x in ids]
-            packed = [x.astype("<u2").tobytes() for x in ids]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(packed, pa.binary()), pa.array([zlib.crc32(x) for x in packed], pa.int64())], names=["doc_id", "ids", "crc"]
-            )
+            packed, doc_ids = [x.astype("<u2").tobytes() for x in ids], b.column("doc_id").to_pylist()
+            keys = np.array([xx(x, 0 if i is None else (i << 1 | 1) & (1 << 64) - 1) for i, x in zip(doc_ids, packed, strict=True)], np.uint64)
+            key, again = pa.array(keys.view(np.int64)), pa.array(repeats.number(keys))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(packed, pa.binary()), key, again], names=["doc_id", "ids", "key", "again"])
 
     return run
 
 
 def _pack(capacity: int, with_ids: bool):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("crc", "ascending")])
+        table = table.sort_by([("doc_id", "ascending"), ("key", "ascending")])
         group, doc_ids = key[0].as_py(), table.column("doc_id").to_pylist()
         ids = [np.frombuffer(x.as_py(), "<u2") for x in table.column("ids")]
         cols: list[list] = [[] for _ in range(8)]
@@ -164,8 +167,8 @@ def pack_documents(docs: DataFrame, tokens: str, end_id: int | None = None, capa
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     groups = max(1, round(docs.select(id_col).count() / GROUP_DOCS))
-    coded = rows.mapInArrow(_tokenise(tokens, end_id), "doc_id long, ids binary, crc long")
-    coded = coded.withColumn("group", F.pmod(F.xxhash64("doc_id", "crc", F.lit(seed)), F.lit(groups)).cast("int"))
+    coded = rows.mapInArrow(_tokenise(tokens, end_id), "doc_id long, ids binary, key long, again long")
+    coded = coded.withColumn("group", F.pmod(F.xxhash64("key", "again", F.lit(seed)), F.lit(groups)).cast("int"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     return coded.repartitionById(groups, F.col("group")).groupBy("group").applyInArrow(_pack(capacity, with_ids), schema)
 

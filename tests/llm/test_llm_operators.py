@@ -2,6 +2,7 @@
 
 import base64
 import datetime
+import functools
 import hashlib
 import io
 import math
@@ -32,11 +33,16 @@ def no_docs(docs):
     return docs.where("false")
 
 
-def tokens(name, text, end):
+@functools.cache
+def plain_tokenizer(name):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(public_tokenizers.path(name)).encode(text or "", add_special_tokens=False).ids + [end]
+    return Tokenizer.from_file(public_tokenizers.path(name))
+
+
+def tokens(name, text, end):
+    return plain_tokenizer(name).encode(text or "", add_special_tokens=False).ids + [end]
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
@@ -52,6 +58,35 @@ def test_cached_tokenizer_is_exact(spark, name):
             assert [x.tolist() for x in got] == want
 
 
+def test_long_words_with_one_hash_are_told_apart(monkeypatch):
+    import public_tokenizers
+
+    key = common.WordTable.key
+
+    def weak(buffer, starts, ends):
+        out = key(buffer, starts, ends)
+        out[0][ends - starts > 16] = 7
+        return out
+
+    monkeypatch.setattr(common.WordTable, "key", staticmethod(weak))
+    tok = common.CachedTokenizer(public_tokenizers.path("byte_bpe_50k.json"), max_words=6)
+    words = [f"beginning{x}theending" for x in ("one", "two", "six", "three", "sevenandeight")]
+    for texts in [[f"x {w} y"] for w in words] * 2 + [[f"x {w} y {w}" for w in words], [" ".join(["a", *words, *words])]] * 2 + [[f"q{i} w{i}" for i in range(9)], [f"x {words[1]}"]]:
+        assert [x.tolist() for x in tok.encode(texts)] == [e.ids for e in tok.tok.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_repeats_are_numbered_whatever_the_slices():
+    rng = np.random.default_rng(0)
+    keys = rng.integers(0, 40, 3000).astype(np.uint64) * np.uint64(1 << 58)
+    for cuts in ([0, 3000], [0, 1, 2, 700, 701, 3000]):
+        count, seen = common.Repeats(), {}
+        got = np.concatenate([count.number(keys[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)])
+        for k, n in zip(keys.tolist(), got.tolist(), strict=True):
+            assert n == seen.get(k, 0)
+            seen[k] = n + 1
+    assert len(common.Repeats().number(keys[:0])) == 0
+
+
 def test_store_round_trip(spark, docs, no_docs, tmp_path):
     store = f"file://{tmp_path}/store"
     token_store.write_store(docs, store, "byte_bpe_50k.json", end_id=0)
@@ -96,22 +131,74 @@ def test_combined_checksums():
     assert got.tolist() == [common.crc_ids(np.concatenate([p for p, g in zip(parts, group, strict=True) if g == k])) for k in range(3)]
 
 
-def test_packing(spark, docs, no_docs):
-    rows = packing.pack_documents(docs, "word_bpe_49k.json", end_id=1, capacity=64, with_ids=True).collect()
-    by_seq, n_ids = {}, 0
+def pieces_are_whole(rows, want, capacity):
+    """Each id of each document stands in one piece, and sequences are filled without gaps; rows with ids, want: all documents' ids."""
+    by_seq, by_doc = {}, {}
     for r in rows:
-        assert len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
+        assert len(r.ids) == r.length > 0 and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
         by_seq.setdefault(r.sequence_id, []).append(r)
-        n_ids += r.length
-    assert n_ids == sum(len(tokens("word_bpe_49k.json", r.text, 1)) for r in docs.collect())
+        by_doc.setdefault(r.doc_id, []).append(r)
     for seq in by_seq.values():
         seq.sort(key=lambda r: r.offset)
         assert [r.offset for r in seq] == np.cumsum([0, *[r.length for r in seq[:-1]]]).tolist()
         n = sum(r.length for r in seq)
-        assert n <= 64 and n & (n - 1) == 0
+        assert n == capacity or n < capacity and n & (n - 1) == 0
+    docs = {}
+    for i, ids in want:
+        docs.setdefault(i, []).append(ids)
+    assert set(docs) == set(by_doc)
+    for i, pieces in by_doc.items():
+        if len(docs[i]) == 1:
+            ids, upto = docs[i][0], 0
+            for r in sorted(pieces, key=lambda r: r.start):
+                assert r.start == upto and r.ids == ids[upto : upto + r.length] and r.doc_tokens == len(ids)
+                upto += r.length
+            assert upto == len(ids)
+        else:  # rows with one id: every position of each is covered as often as there are such rows
+            seen, held = {}, {}
+            for r in pieces:
+                for k, x in enumerate(r.ids):
+                    seen[r.doc_tokens, r.start + k, x] = seen.get((r.doc_tokens, r.start + k, x), 0) + 1
+            for ids in docs[i]:
+                for k, x in enumerate(ids):
+                    held[len(ids), k, x] = held.get((len(ids), k, x), 0) + 1
+            assert seen == held
+
+
+def test_packing(spark, docs, no_docs):
+    rows = packing.pack_documents(docs, "word_bpe_49k.json", end_id=1, capacity=64, with_ids=True).collect()
+    pieces_are_whole(rows, [(r.doc_id, tokens("word_bpe_49k.json", r.text, 1)) for r in docs.collect()], 64)
     assert packing.pack_documents(no_docs, "word_bpe_49k.json", end_id=1).count() == 0
 
 
+def test_packing_of_whole_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = [(r.doc_id, tokens("word_bpe_49k.json", r.text, 1)) for r in docs.select("doc_id", "text").collect()]
+    rows = packing.pack_documents(docs, "word_bpe_49k.json", end_id=1, with_ids=True).collect()
+    pieces_are_whole(rows, want, 2048)
+    assert len({r.sequence_id for r in rows}) * 2048 < 1.02 * sum(len(ids) for _, ids in want) + 12 * 2048
+
+
+def test_packing_deals_equal_rows_out(spark, monkeypatch):
+    docs = spark.range(50_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    some = spark.createDataFrame([(i, f"some text of document {i}") for i in range(500)], "doc_id long, text string")
+    pack = packing._pack
+
+    def spy(*args):
+        run = pack(*args)
+
+        def inner(key, table):
+            if table.num_rows > 2 * packing.GROUP_DOCS:
+                raise ValueError("a large group")
+            return run(key, table)
+
+        return inner
+
+    monkeypatch.setattr(packing, "_pack", spy)
+    rows = packing.pack_documents(docs.union(some), "word_bpe_49k.json", end_id=1).agg(F.count("*"), F.count_if(F.col("doc_id").isNull()), F.sum("length")).first()
+    assert rows[1] == 50_000 and rows[0] >= 50_500 and rows[2] == 50_000 + sum(len(tokens("word_bpe_49k.json", f"some text of document {i}", 1)) for i in range(500))
+
+
 def test_first_fit_decreasing_places_where_it_first_fits():
     rng = np.random.default_rng(3)
     tree, free = packing.CapacityTree(100, 2), []
