@@ -35,8 +35,9 @@ from pyspark.sql import types as T
 from partigrid.llm.common import fresh, slices, small_batches
 
 FIT_CHARS, FIT_DOCS, TOTAL_CHARS, TOTAL_DOCS = 60_000, 200, 2_000_000, 20_000
-#: Transitions of an automaton that are held as a table; texts below which the others go on one by one; characters of a slice.
-DENSE, FEW, SLICE = 8_000_000, 160, 3_000_000
+#: Transitions of an automaton that are held as a table; texts below which the others go on one by one; characters of a slice;
+#: parts of a language that are sampled apart.
+DENSE, FEW, SLICE, SALTS = 8_000_000, 160, 3_000_000, 64
 #: Characters from which a text is long enough to be rejected for its cost, and how many times what the dearest of the
 #: calibrating texts costs it must cost: other scripts and noise do, texts of rare words and of two languages do not.
 JUDGED, MARGIN = 100, 2.5
@@ -225,7 +226,9 @@ def sample_languages(docs: DataFrame, may_learn: F.Column, fit_chars: int = FIT_
         raise ValueError(f"more than {TOTAL_DOCS} languages")
     fit_chars, fit_docs = min(fit_chars, TOTAL_CHARS // max(n, 1)), min(fit_docs, TOTAL_DOCS // max(n, 1))
     first = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = own.distinct().withColumn("place", F.row_number().over(first)).where(F.col("place") <= fit_docs)  # TOTAL_DOCS rows at most
+    salt = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS))  # a frequent language is first thinned out by many tasks
+    some = own.distinct().withColumn("salt", salt).withColumn("place", F.row_number().over(first.partitionBy("label", "salt"))).where(F.col("place") <= fit_docs)
+    ids = some.select("label", "doc_id").withColumn("place", F.row_number().over(first)).where(F.col("place") <= fit_docs)  # TOTAL_DOCS rows at most
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("label"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), ["label", "doc_id"])
     one = rows.groupBy("label", "place").agg(F.min_by("text", F.xxhash64("text")).alias("text")).where("text <> ''")
     by_place = Window.partitionBy("label").orderBy(F.length("text") > fit_chars // 8, "place")
