@@ -1,14 +1,22 @@
 """Content-addressed store of token ids (operator 1).
 
 A rolling hash over the ids of each document cuts its id stream into chunks, so equal passages give equal chunks wherever
-they stand. Every task writes the chunks that it meets first into a spool file; the digests alone (not the ids) are then
+they stand. Every task writes the chunks that it meets first into spool files; the digests alone (not the ids) are then
 shuffled to choose one place for each distinct chunk, and each spool file is rewritten as a pack that holds only the chunks
-it was chosen for. Recipes (a document's chunk digests, in ascending document order) and packs carry Merkle roots, the
-manifest holds the root over all files, and reading back verifies every digest and every root.
+it was chosen for. Recipes (a document's chunk digests, in ascending document order) and packs carry Merkle roots, tables
+beside them list the files, the manifest holds the root over all files, and reading back verifies every digest and every
+root. The spool and what was staged are removed in the end, so a chunk is on disk once.
+
+A store is a folder: ``packs``, ``recipes`` (binary files), ``pack-index``, ``recipe-index`` (Parquet tables of the files and
+their roots) and ``manifest.json``. Files are bounded (PACK_BYTES, RECIPE_BYTES), and so is what a task holds; the driver
+gets a row for each partition of recipes and for each ROOTS files.
+
+Reading gives a document's ids, or its CRC-32. For the checksum the chunks don't travel: each is read, verified and summed
+once, and a document's CRC-32 is combined from those of its chunks in the recipe's order, which is exact.
 
 Defined cases: a null text is empty; an empty text has the end id only (no chunk at all without an end id); a null document
-id sorts first; repeated rows are documents of their own; other columns of the input are never touched; an empty table
-gives a store without files and no rows.
+id sorts first; repeated rows are documents of their own, those of one id in order of their number of ids and a hash of their
+chunks; other columns of the input are never touched; an empty table gives a store without packs and recipes, and no rows.
 """
 
 from __future__ import annotations
@@ -24,10 +32,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from partigrid.llm.common import read_file, slices, small_batches, stage, tokenizer, work_dir, write_file
+from partigrid.llm.common import new_file, read_file, remove_dir, slices, small_batches, stage, tokenizer, work_dir, write_file
 
 PACK, RECIPE = b"PGPK0001", b"PGRC0001"
 WINDOW, LEAST, MOST, MASK = 16, 128, 2048, (1 << 9) - 1
@@ -84,24 +92,34 @@ def _digest(payload: bytes) -> bytes:
     return hashlib.blake2b(payload, digest_size=16).digest()
 
 
-class _PackWriter:
-    def __init__(self) -> None:
-        import zstandard
+class _Writer:
+    """A file of records: a mark, the records, their number and the Merkle root over them."""
 
-        self.zip, self.parts, self.digests = zstandard.ZstdCompressor(level=3), [PACK], []
+    def __init__(self, path: str, mark: bytes):
+        self.path, self.out, self.leaves, self.n_ids = path, new_file(path), [], 0
+        self.out.write(mark)
 
-    def add(self, digest: bytes, n: int, packed: bytes) -> None:
-        self.parts.append(digest + struct.pack("<II", n, len(packed)) + packed)
-        self.digests.append(digest)
+    def add(self, leaf: bytes, n_ids: int, record: bytes) -> None:
+        self.out.write(record)
+        self.leaves.append(leaf)
+        self.n_ids += n_ids
 
-    def close(self, path: str) -> bytes:
-        root = merkle(self.digests)
-        write_file(path, b"".join([*self.parts, struct.pack("<I", len(self.digests)), root]))
-        return root
+    def chunk(self, digest: bytes, n: int, packed: bytes) -> None:
+        self.add(digest, n, digest + struct.pack("<II", n, len(packed)) + packed)
 
+    def size(self) -> int:
+        return self.out.tell()
 
-def _pack_records(path: str) -> Iterator[tuple[bytes, int, bytes]]:
-    """(digest, number of ids, compressed ids) of a pack; checks its root."""
+    def close(self) -> tuple[str, int, int, str]:
+        """(file, records, ids, root)"""
+        root = merkle(self.leaves)
+        self.out.write(struct.pack("<I", len(self.leaves)) + root)
+        self.out.close()
+        return self.path.rsplit("/", 1)[1], len(self.leaves), self.n_ids, root.hex()
+
+
+def _pack_records(path: str, want: str | None = None) -> Iterator[tuple[bytes, int, bytes]]:
+    """(digest, number of ids, compressed ids) of a pack; checks its root, and that it is ``want``."""
     data = read_file(path)
     if data[:8] != PACK:
         raise ValueError(f"{path} is no pack")
@@ -113,19 +131,20 @@ def _pack_records(path: str) -> Iterator[tuple[bytes, int, bytes]]:
         seen.append(digest)
         yield digest, n, data[at + 24 : at + 24 + size]
         at += 24 + size
-    if merkle(seen) != root:
+    if merkle(seen) != root or want and root.hex() != want:
         raise ValueError(f"{path}: its Merkle root does not fit")
 
 
 _STAGED = "kind int, doc_id long, n_ids long, digests binary, lens binary, file string, ord int, digest binary, n int"
-SPOOL_BYTES = 64_000_000
+_INDEX = "file string, n int, n_ids long, root string"
+PACK_BYTES, RECIPE_BYTES, RECIPES, ROOTS = 32_000_000, 16_000_000, 100_000, 4096
 
 
 def _chunker(tokens: str, end_id: int | None, spool: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(tokens)
-        writer, seen, size = _PackWriter(), set(), 0
-        path = f"{spool}/{uuid.uuid4().hex}.pack"
+        import zstandard
+
+        tok, pack, writer, seen = tokenizer(tokens), zstandard.ZstdCompressor(level=3).compress, None, set()
         for b in slices(batches, "text"):
             out: list[tuple] = []
             for doc_id, ids in zip(b.column("doc_id").to_pylist(), tok.encode([t or "" for t in b.column("text").to_pylist()]), strict=True):
@@ -136,22 +155,22 @@ def _chunker(tokens: str, end_id: int | None, spool: str):
                     payload = ids[last:end].astype("<u2").tobytes()
                     d = _digest(payload)
                     if d not in seen:
+                        if writer is None:
+                            name = f"{uuid.uuid4().hex}.pack"
+                            writer = _Writer(f"{spool}/{name}", PACK)
                         seen.add(d)
-                        packed = writer.zip.compress(payload)
-                        out.append((1, None, None, None, None, path, len(writer.digests), d, end - last))
-                        writer.add(d, end - last, packed)
-                        size += len(packed)
+                        out.append((1, None, None, None, None, name, len(writer.leaves), d, end - last))
+                        writer.chunk(d, end - last, pack(payload))
                     digests.append(d)
                     lens.append(end - last)
                     last = end
                 out.append((0, doc_id, len(ids), b"".join(digests), np.array(lens, "<u4").tobytes(), None, None, None, None))
             yield _batch(out, _STAGED)
-            if size > SPOOL_BYTES:
-                writer.close(path)
-                writer, seen, size = _PackWriter(), set(), 0
-                path = f"{spool}/{uuid.uuid4().hex}.pack"
-        if writer.digests:
-            writer.close(path)
+            if writer is not None and writer.size() > PACK_BYTES:
+                writer.close()
+                writer, seen = None, set()
+        if writer is not None:
+            writer.close()
 
     return run
 
@@ -170,38 +189,36 @@ def _rewrite(store: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, keep in zip(b.column("file").to_pylist(), b.column("ords").to_pylist(), strict=True):
-                chosen, writer, n_ids = set(keep), _PackWriter(), 0
-                for i, (digest, n, packed) in enumerate(_pack_records(path)):
+            for file, keep in zip(b.column("file").to_pylist(), b.column("ords").to_pylist(), strict=True):
+                chosen, writer = set(keep), _Writer(f"{store}/packs/{uuid.uuid4().hex}.pack", PACK)
+                for i, (digest, n, packed) in enumerate(_pack_records(f"{store}/spool/{file}")):
                     if i in chosen:
-                        writer.add(digest, n, packed)
-                        n_ids += n
-                to = f"{store}/packs/{path.rsplit('/', 1)[1]}"
-                root = writer.close(to)
-                yield _batch([(to, len(writer.digests), n_ids, root.hex())], "path string, n int, n_ids long, root string")
+                        writer.chunk(digest, n, packed)
+                yield _batch([writer.close()], _INDEX)
 
     return run
 
 
 def _write_recipes(store: str):
+    """Recipes of a sorted partition to files, numbered within it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, rows, roots, n_ids = TaskContext.get().partitionId(), [RECIPE], [], 0
+        part, seq, writer = TaskContext.get().partitionId(), 0, None
         for b in batches:
             for doc_id, n, digests, lens in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n_ids", "digests", "lens")), strict=True):
+                writer = writer or _Writer(f"{store}/recipes/{part:08d}-{seq:06d}-{uuid.uuid4().hex[:8]}.recipe", RECIPE)
                 root = merkle([digests[i : i + 16] for i in range(0, len(digests), 16)])
-                rows.append(struct.pack("<?qQI", doc_id is None, doc_id or 0, n, len(digests) // 16) + root + digests + lens)
-                roots.append(root)
-                n_ids += n
-        if roots:
-            top = merkle(roots)
-            path = f"{store}/recipes/{part:06d}.recipe"
-            write_file(path, b"".join([*rows, struct.pack("<I", len(roots)), top]))
-            yield _batch([(part, path, len(roots), n_ids, top.hex())], "part int, path string, n int, n_ids long, root string")
+                writer.add(root, n, struct.pack("<?qQI", doc_id is None, doc_id or 0, n, len(digests) // 16) + root + digests + lens)
+                if writer.size() > RECIPE_BYTES:
+                    yield _batch([(part, seq, *writer.close())], f"part int, seq int, {_INDEX}")
+                    seq, writer = seq + 1, None
+        if writer:
+            yield _batch([(part, seq, *writer.close())], f"part int, seq int, {_INDEX}")
 
     return run
 
 
-def recipe_records(path: str) -> Iterator[tuple[int | None, int, list[bytes], np.ndarray]]:
+def recipe_records(path: str, want: str | None = None) -> Iterator[tuple[int | None, int, list[bytes], np.ndarray]]:
     """(document id, number of ids, chunk digests, chunk lengths) of a recipe file; checks all its roots."""
     data = read_file(path)
     if data[:8] != RECIPE:
@@ -219,7 +236,7 @@ def recipe_records(path: str) -> Iterator[tuple[int | None, int, list[bytes], np
             raise ValueError(f"{path}: the recipe of document {doc_id} does not fit its root")
         roots.append(root)
         yield None if null else doc_id, n, digests, lens
-    if merkle(roots) != top:
+    if merkle(roots) != top or want and top.hex() != want:
         raise ValueError(f"{path}: its Merkle root does not fit")
 
 
@@ -227,6 +244,19 @@ def _partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _group_root(key: tuple, table: pa.Table) -> pa.Table:
+    table = table.sort_by("file")
+    root = merkle([bytes.fromhex(r) for r in table.column("root").to_pylist()])
+    return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([root.hex()])], names=["g", "root"])
+
+
+def _root(index: DataFrame, groups: int) -> bytes:
+    """Merkle root over all files of an index, made of those of its groups."""
+    dealt = index.select("file", "root", F.pmod(F.xxhash64("file"), F.lit(groups)).cast("int").alias("g"))
+    found = dealt.groupBy("g").applyInArrow(_group_root, "g int, root string").collect()
+    return merkle([bytes.fromhex(r.root) for r in sorted(found, key=lambda r: r.g)])
+
+
 def write_store(docs: DataFrame, store: str, tokens: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> dict:
     """Write the documents' ids to the folder ``store``; returns the manifest, which is also written there as manifest.json."""
     spark = docs.sparkSession
@@ -234,57 +264,64 @@ def write_store(docs: DataFrame, store: str, tokens: str, end_id: int | None = N
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     staged = stage(rows.mapInArrow(_chunker(tokens, end_id, f"{store}/spool"), _STAGED), f"{store}/staged", "kind")
     chosen = staged.where("kind = 1").groupBy("digest").agg(F.min(F.struct("file", "ord")).alias("at"))
-    packs = (
-        chosen.groupBy(F.col("at.file").alias("file")).agg(F.collect_list("at.ord").alias("ords"))
-        .repartition(n, "file").mapInArrow(_rewrite(store), "path string, n int, n_ids long, root string").collect()
-    )
-    recipes = (
-        staged.where("kind = 0").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "n_ids", "digests")
-        .mapInArrow(_write_recipes(store), "part int, path string, n int, n_ids long, root string").collect()
-    )
-    manifest = {
-        "tokens": tokens, "end_id": end_id,
-        "packs": [r.asDict() for r in sorted(packs, key=lambda r: r.path)], "recipes": [r.asDict() for r in sorted(recipes, key=lambda r: r.part)],
-    }
-    manifest["root"] = merkle([bytes.fromhex(r["root"]) for k in ("packs", "recipes") for r in manifest[k]]).hex()
+    chosen = chosen.groupBy(F.col("at.file").alias("file")).agg(F.collect_list("at.ord").alias("ords"))  # chunks of one spool file
+    packs = stage(chosen.repartition(n, "file").mapInArrow(_rewrite(store), _INDEX), f"{store}/pack-index")
+    own = staged.where("kind = 0").select("doc_id", "n_ids", "digests", "lens", F.xxhash64("digests").alias("tie"), F.spark_partition_id().alias("at"))
+    parts = max(n, -(-own.count() // RECIPES))
+    order = ["doc_id", "n_ids", "tie", "at"]  # equal rows of several input partitions may go to several ranges
+    recipes = own.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "n_ids", "digests", "lens")
+    recipes = stage(recipes.mapInArrow(_write_recipes(store), f"part int, seq int, {_INDEX}"), f"{store}/recipe-index")
+    manifest = {"tokens": tokens, "end_id": end_id}
+    for name, index in (("packs", packs), ("recipes", recipes)):
+        files, ids = index.agg(F.count("*"), F.coalesce(F.sum("n_ids"), F.lit(0))).first()
+        manifest[name] = {"files": files, "n_ids": ids, "groups": max(1, -(-files // ROOTS))}
+    manifest["root"] = merkle([_root(index, manifest[name]["groups"]) for name, index in (("packs", packs), ("recipes", recipes))]).hex()
     write_file(f"{store}/manifest.json", json.dumps(manifest).encode())
+    for done in ("spool", "staged"):
+        remove_dir(f"{store}/{done}")
     return manifest
 
 
-def _read_packs(with_ids: bool):
+_CHUNKS = "digest binary, n int, crc long, payload binary"
+_USES = "file_no long, pos long, doc_id long, start long, n_ids long, seq int, digest binary"
+
+
+def _read_packs(store: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         unzip = zstandard.ZstdDecompressor()
         for b in batches:
-            for path in b.column("path").to_pylist():
+            for file, want in zip(b.column("file").to_pylist(), b.column("root").to_pylist(), strict=True):
                 rows: list[tuple] = []
-                for digest, n, packed in _pack_records(path):
+                for digest, n, packed in _pack_records(f"{store}/packs/{file}", want):
                     payload = unzip.decompress(packed, max_output_size=2 * n)
                     if _digest(payload) != digest or len(payload) != 2 * n:
-                        raise ValueError(f"{path}: a chunk does not fit its digest")
+                        raise ValueError(f"{file}: a chunk does not fit its digest")
                     crc = zlib.crc32(np.frombuffer(payload, "<u2").astype("<u4").tobytes())
                     rows.append((digest, n, crc, payload if with_ids else None))
                     if len(rows) == 4096:
-                        yield _batch(rows, "digest binary, n int, crc long, payload binary")
+                        yield _batch(rows, _CHUNKS)
                         rows = []
-                yield _batch(rows, "digest binary, n int, crc long, payload binary")
+                yield _batch(rows, _CHUNKS)
 
     return run
 
 
-def _read_recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = "part int, pos long, doc_id long, start long, n_ids long, seq int, digest binary"
-    for b in batches:
-        for part, path, start in zip(*(b.column(c).to_pylist() for c in ("part", "path", "base")), strict=True):
-            rows: list[tuple] = []
-            for pos, (doc_id, n, digests, _) in enumerate(recipe_records(path)):
-                rows += [(part, pos, doc_id, start, n, i, d) for i, d in enumerate(digests or [None])]
-                start += n
-                if len(rows) > 8192:
-                    yield _batch(rows, schema)
-                    rows = []
-            yield _batch(rows, schema)
+def _read_recipes(store: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for number, file, want, start in zip(*(b.column(c).to_pylist() for c in ("file_no", "file", "root", "base")), strict=True):
+                rows: list[tuple] = []
+                for pos, (doc_id, n, digests, _) in enumerate(recipe_records(f"{store}/recipes/{file}", want)):
+                    rows += [(number, pos, doc_id, start, n, i, d) for i, d in enumerate(digests or [None])]
+                    start += n
+                    if len(rows) > 8192:
+                        yield _batch(rows, _USES)
+                        rows = []
+                yield _batch(rows, _USES)
+
+    return run
 
 
 def _gf_mul(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -359,27 +396,32 @@ def read_documents(spark: SparkSession, store: str, with_ids: bool = False) -> D
     Each pack is read and verified once. For the checksum only digests, lengths and checksums of chunks are joined to the
     recipes, and a document's CRC-32 is combined from those of its chunks; for the ids themselves the chunks travel.
     """
-    manifest = json.loads(read_file(f"{store}/manifest.json"))
-    if merkle([bytes.fromhex(r["root"]) for k in ("packs", "recipes") for r in manifest[k]]).hex() != manifest["root"]:
+    manifest, n = json.loads(read_file(f"{store}/manifest.json")), _partitions(spark)
+    packs = spark.read.schema(_INDEX).parquet(f"{store}/pack-index")
+    recipes = spark.read.schema(f"part int, seq int, {_INDEX}").parquet(f"{store}/recipe-index")
+    if merkle([_root(packs, manifest["packs"]["groups"]), _root(recipes, manifest["recipes"]["groups"])]).hex() != manifest["root"]:
         raise ValueError("the manifest does not fit its Merkle root")
-    n, start, recipes = _partitions(spark), 0, []
-    for r in manifest["recipes"]:
-        recipes.append((r["part"], r["path"], start))
-        start += r["n_ids"]
-    packs = spark.createDataFrame([(r["path"],) for r in manifest["packs"]], "path string").repartition(n, "path")
-    index = packs.mapInArrow(_read_packs(with_ids), "digest binary, n int, crc long, payload binary")
-    parts = spark.createDataFrame(recipes, "part int, path string, base long").repartition(n, "path")
-    uses = parts.mapInArrow(_read_recipes, "part int, pos long, doc_id long, start long, n_ids long, seq int, digest binary")
+    offsets, start = [], 0
+    for r in sorted(recipes.groupBy("part").agg(F.sum("n_ids").alias("ids")).collect()):  # a row for each partition of recipes
+        offsets.append((r.part, start))
+        start += r.ids
+    known = spark.createDataFrame(offsets, "part int, ids_before long")
+    before = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = recipes.withColumn("before", before).join(known.hint("merge"), "part")
+    files = files.select((F.shiftleft(F.col("part").cast("long"), 24) + F.col("seq")).alias("file_no"), "file", "root", (F.col("before") + F.col("ids_before")).alias("base"))
+    index = packs.select("file", "root").repartition(n, "file").mapInArrow(_read_packs(store, with_ids), _CHUNKS)
+    uses = files.repartition(n, "file").mapInArrow(_read_recipes(store), _USES)
     value = F.struct("seq", "n", "crc", *(["payload"] if with_ids else []))
     value = F.when(F.col("digest").isNotNull(), value)
-    whole = uses.join(index.hint("merge"), "digest", "left").groupBy("part", "pos", "doc_id", "start", "n_ids").agg(F.sort_array(F.collect_list(value)).alias("parts"))
+    whole = uses.join(index.hint("merge"), "digest", "left").groupBy("file_no", "pos", "doc_id", "start", "n_ids").agg(F.sort_array(F.collect_list(value)).alias("parts"))
     if with_ids:
         return whole.mapInArrow(_join_ids, "doc_id long, start long, n_tokens long, ids array<int>")
     return whole.mapInArrow(_combine, "doc_id long, start long, n_tokens long, ids_crc32 long, n_chunks int")
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents' ids written to a content-addressed store and read back: doc_id, start, n_tokens, ids_crc32, n_chunks."""
+    """All documents' ids written to a content-addressed store and read back: doc_id, start, n_tokens, ids_crc32 (combined from
+    its chunks', as read and verified), n_chunks."""
     store = work_dir(spark, "token-store")
     write_store(small_batches(spark).read.parquet(f"{sf_dir}/documents.parquet"), store, "byte_bpe_50k.json", end_id=0)
     return read_documents(spark, store)

@@ -103,24 +103,56 @@ def test_store_round_trip(spark, docs, no_docs, tmp_path):
     assert token_store.read_documents(spark, f"file://{tmp_path}/none").count() == 0
 
 
+def test_store_of_whole_documents(spark, tmp_path):
+    docs, store = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), f"file://{tmp_path}/store"
+    token_store.write_store(docs, store, "byte_bpe_50k.json", end_id=0)
+    sums = {r.doc_id: r for r in token_store.read_documents(spark, store).collect()}
+    whole = {r.doc_id: r for r in token_store.read_documents(spark, store, with_ids=True).collect()}
+    start = 0
+    for r in docs.select("doc_id", "text").orderBy("doc_id").collect():
+        ids = tokens("byte_bpe_50k.json", r.text, 0)
+        assert whole[r.doc_id].ids == ids and whole[r.doc_id].start == sums[r.doc_id].start == start
+        assert sums[r.doc_id].n_tokens == len(ids) and sums[r.doc_id].ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+        start += len(ids)
+
+
 def test_store_keeps_shared_passages_once(spark, tmp_path):
     rng = np.random.default_rng(0)
     passage = " ".join(f"w{x}" for x in rng.integers(0, 10**6, 4000))
-    docs = spark.createDataFrame([(i, f"start {i} " + passage) for i in range(20)], "doc_id long, text string")
+    docs = spark.createDataFrame([(i, f"start {i} " + passage) for i in range(20)], "doc_id long, text string").repartition(4)
     made = token_store.write_store(docs, f"file://{tmp_path}/s", "byte_bpe_50k.json", end_id=0)
-    total = sum(r["n_ids"] for r in made["recipes"])
-    assert sum(r["n_ids"] for r in made["packs"]) < total / 8
+    assert made["packs"]["n_ids"] < made["recipes"]["n_ids"] / 8
+    assert sorted(x.name for x in (tmp_path / "s").iterdir()) == ["manifest.json", "pack-index", "packs", "recipe-index", "recipes"]
+    size = {d: sum(f.stat().st_size for f in (tmp_path / "s" / d).iterdir()) for d in ("packs", "recipes")}
+    assert size["packs"] < 1.2 * 2 * made["packs"]["n_ids"]
+
+
+def test_store_of_equal_rows_in_many_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_store, "RECIPES", 100)
+    docs = spark.range(0, 6000, 1, 12).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same text").alias("text"))
+    docs = docs.union(spark.range(300).select("id", F.concat(F.lit("text "), "id")))
+    store = f"file://{tmp_path}/e"
+    token_store.write_store(docs, store, "byte_bpe_50k.json", end_id=0)
+    per_part = [r.n for r in spark.read.parquet(f"{store}/recipe-index").groupBy("part").agg(F.sum("n").alias("n")).collect()]
+    assert sum(per_part) == 6300 and max(per_part) <= 2500
+    rows = sorted(token_store.read_documents(spark, store).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [None] * 6000 + list(range(300))
+    assert [r.start for r in rows] == np.cumsum([0, *[r.n_tokens for r in rows[:-1]]]).tolist()
 
 
 def test_store_notices_damage(spark, docs, tmp_path):
     store = f"file://{tmp_path}/store"
-    made = token_store.write_store(docs, store, "byte_bpe_50k.json", end_id=0)
-    path = made["packs"][0]["path"].removeprefix("file://")
-    data = bytearray(open(path, "rb").read())
-    data[40] ^= 1
-    open(path, "wb").write(data)
+    token_store.write_store(docs, store, "byte_bpe_50k.json", end_id=0)
+    path = next((tmp_path / "store" / "packs").iterdir())
+    whole = path.read_bytes()
+    path.write_bytes(whole[:40] + bytes([whole[40] ^ 1]) + whole[41:])
     with pytest.raises(Exception, match="(?s)digest|Merkle|zstd|decompress"):
         token_store.read_documents(spark, store).collect()
+    path.write_bytes(whole)
+    manifest = tmp_path / "store" / "manifest.json"
+    manifest.write_text(manifest.read_text().replace('"root": "', '"root": "0'))
+    with pytest.raises(Exception, match="Merkle"):
+        token_store.read_documents(spark, store).collect()
 
 
 def test_combined_checksums():
