@@ -6,10 +6,11 @@ text moves a part of the digest. Two digests are compared by a difference score
 or more for unrelated ones, given as a likeness between 0 and 1.
 
 The query needs for every document its neighbour in descending id order. Rows are range-partitioned and sorted once; each
-task links the rows it holds and hands on its first and last row, and the links between partitions are made from those.
+task links the rows it holds and hands on its first and last row, and the last row of a partition is joined with the first of
+the next one that has rows. Equal rows may go to several ranges, by the input partition that they come from.
 
 Defined cases: a null text is empty; a text under four bytes has empty buckets and differs by length alone; repeated ids
-stand in order of their text; null ids come last; one row is its own neighbour; an empty table gives no rows.
+stand in order of a hash of their text; null ids come last; one row is its own neighbour; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -111,36 +112,29 @@ def _inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """First and last rows of the partitions in order, to the result rows of the last ones."""
-    first = waiting = None
-    for b in batches:
-        rows: list[tuple] = []
-        for doc_id, role, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "role", "text")), strict=True):
-            if role == 1:
-                own = Digest(text.encode("utf-8"))
-                first = first or (text, own)
-                if waiting:
-                    rows.append(_row(*waiting, text, own))
-                waiting = None
-            else:
-                waiting = (doc_id, text, Digest(text.encode("utf-8")))
-        if rows:
-            yield _batch(rows, _OUT)
-    if waiting:
-        yield _batch([_row(*waiting, *first)], _OUT)
+    """Last rows of partitions with the text of the row behind them, to result rows."""
+    for b in slices(batches, "text"):
+        rows = []
+        for doc_id, text, following in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "following")), strict=True):
+            rows.append(_row(doc_id, text, Digest(text.encode("utf-8")), following, Digest(following.encode("utf-8"))))
+        yield _batch(rows, _OUT)
 
 
 def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
     """Fingerprint of every text and of its edited text, and how alike they and the next document's are."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    down = F.col("doc_id").desc_nulls_last()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.repartitionByRange(n, down).sortWithinPartitions(down, "text")
+    rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("at", F.spark_partition_id())
+    order = [F.col("doc_id").desc_nulls_last(), F.col("tie"), F.col("at")]
+    rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order, "text").select("doc_id", "text")
     held = stage(rows.mapInArrow(_inside, _HELD), work_dir(spark, "quartile"))
-    ends = held.where("role > 0").select("doc_id", "part", "role", "text").repartition(1).sortWithinPartitions("part", "role")
+    firsts = held.where("role = 1").select(F.col("part").alias("behind"), F.col("text").alias("following"))
+    parts = sorted(r.behind for r in firsts.select("behind").collect())  # a number for each partition
+    pairs = spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1], strict=True)), "part int, behind int")
+    lasts = held.where("role = 2").select("part", "doc_id", "text").join(pairs.hint("merge"), "part").join(firsts.hint("merge"), "behind")
     names = [x.split()[0] for x in _OUT.split(", ")]
-    return held.where("role = 0").select(*names).unionByName(ends.mapInArrow(_between, _OUT))
+    return held.where("role = 0").select(*names).unionByName(lasts.select("doc_id", "text", "following").mapInArrow(_between, _OUT))
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -498,19 +498,59 @@ def test_more_languages_than_once(spark):
     assert found.where("lang_pred = lang").count() == 40
 
 
-def test_quartile_digests(spark, docs, no_docs):
-    found = quartile.fingerprint_neighbours(docs.where("doc_id is not null and doc_id <> 7")).collect()
-    texts = sorted(((r.doc_id, r.text or "") for r in docs.collect() if r.doc_id not in (None, 7)), reverse=True)
-    by_id = {r.doc_id: r for r in found}
-    for (i, t), (_, after) in zip(texts, texts[1:] + texts[:1], strict=True):
+def plain_digest(data):
+    """The digest by its definition, byte after byte: length code, quartile ratios, quartile of each bucket."""
+    counts = [0] * 256
+    for i in range(len(data) - 3):
+        a, b, c, d = data[i : i + 4]
+        for salt, (p, q) in enumerate(((b, c), (b, d), (c, d))):
+            counts[(a * 0x9E37 + p * 0x85EB + q * 0xC2B3 + salt * 0x3D4D & 0xFFFF) >> 8] += 1
+    q1, q2, q3 = (sorted(counts)[k - 1] for k in (64, 128, 192))
+    ratios = [q1 * 15 // q3, q2 * 15 // q3] if q3 else [0, 0]
+    return min(int(math.log(1 + len(data)) * 10), 255), ratios, [(c > q1) + (c > q2) + (c > q3) for c in counts]
+
+
+def plain_likeness(a, b):
+    gaps = [abs(x - y) for x, y in zip(a[2], b[2], strict=True)]
+    diff = sum(gaps) + 3 * gaps.count(3) + max(abs(a[0] - b[0]) - 1, 0) + sum(max(abs(x - y) - 1, 0) for x, y in zip(a[1], b[1], strict=True))
+    return 1 - min(diff, 416) / 416
+
+
+def plain_hex(digest):
+    bits = "".join(f"{c:02b}" for c in digest[2])
+    return f"{digest[0]:02x}{digest[1][0]:x}{digest[1][1]:x}{int(bits, 2):0128x}"
+
+
+def neighbours_by_brute_force(rows):
+    """Result rows of (doc_id, text) in descending id order, the last with the first."""
+    out = []
+    for (i, t), (_, after) in zip(rows, rows[1:] + rows[:1], strict=True):
         k = len(t) // 3
-        edited = t[: len(t) - k] + after[:k]
-        assert by_id[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and by_id[i].n_chars == len(t)
-        own, changed = quartile.Digest(t.encode()), quartile.Digest(edited.encode())
-        assert by_id[i].fingerprint == own.hex() and by_id[i].near_edited == own.likeness(changed)
-    assert quartile.fingerprint_neighbours(docs).count() == docs.count()
+        edited = (t[: len(t) - k] + after[:k]).encode()
+        own, changed, beside = plain_digest(t.encode()), plain_digest(edited), plain_digest(after.encode())
+        out.append((i, len(t), hashlib.sha256(edited).hexdigest(), plain_hex(own), plain_hex(changed), plain_likeness(own, changed), plain_likeness(own, beside)))
+    return out
+
+
+def test_quartile_digests(spark, docs, no_docs):
+    some = [(r.doc_id, r.text or "") for r in docs.where("doc_id is not null and doc_id <> 7").collect()]
+    some += [(r.doc_id + 100, (r.text or "")[:4000]) for r in spark.read.parquet(f"{DATA}/documents.parquet").limit(60).collect()]
+    table = spark.createDataFrame(some, "doc_id long, text string").withColumn("fingerprint", F.lit(1))
+    for rows in (table.repartition(5), table.where("doc_id in (3, 104)"), table.where("doc_id = 3")):
+        want = neighbours_by_brute_force(sorted([r for r in some if r[0] in {x.doc_id for x in rows.collect()}], reverse=True))
+        got = quartile.fingerprint_neighbours(rows)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert got.columns == ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     assert quartile.fingerprint_neighbours(no_docs).count() == 0
-    assert quartile.fingerprint_neighbours(docs.limit(1)).count() == 1
+
+
+def test_quartile_neighbours_of_repeated_and_null_ids(spark, docs):
+    found = quartile.fingerprint_neighbours(docs).collect()
+    assert len(found) == docs.count() and sum(r.doc_id is None for r in found) == 1
+    hot = spark.range(0, 4000, 1, 8).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the very same text of many rows").alias("text"))
+    both = hot.union(spark.createDataFrame([(1, "first"), (1, "first"), (1, None), (9, "last text of all")], "doc_id long, text string"))
+    got = quartile.fingerprint_neighbours(both).groupBy("doc_id", "fingerprint", "near_next").count().collect()
+    assert sum(r["count"] for r in got) == 4004 and max(r["count"] for r in got if r.near_next == 1) >= 3999
 
 
 def brute_top_k(rows, k, kind):
