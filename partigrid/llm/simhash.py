@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partigrid.llm.common import fresh, remove_dir, slices, small_batches, stage, work_dir
@@ -29,7 +29,9 @@ SEED, LEAF, FAN, LIMIT = 42, 32, 8, 3
 #: Sampled texts and common shingles that order keys; sets of a key whose pairs are all candidates at once; sets that each of
 #: more is compared with first; sets of a block; bits of a set.
 SAMPLE, MOST_COMMON, FEW, ENDS, BLOCK, BITS = 50_000, 200_000, 32, 4, 512, 1024
-_LOW = np.uint64(0x0101010101010101)
+#: Fingerprints of a block that one task takes; rows that it holds at a time.
+HOT, FLUSH = 500_000, 200_000
+_LOW, _LOW48 = np.uint64(0x0101010101010101), np.uint64((1 << 48) - 1)
 
 
 def _shingle_hashes(data: bytes, words: int) -> np.ndarray:
@@ -215,26 +217,51 @@ def link_runs(fps: np.ndarray, top: np.ndarray, at: np.ndarray, classes: Classes
             GrayIndex(x, own.tolist(), classes, limit).join()
 
 
-def _links(limit: int):
-    """Rows (turn, fp) of whole runs, to the links of a spanning forest (a, b)."""
+def _link_rows(turn: np.ndarray, block: np.ndarray, part: np.ndarray, fp: np.ndarray, limit: int) -> np.ndarray:
+    """Links (rows of two fingerprints) of a spanning forest of whole runs, sorted by turn, block and part."""
+    fp, shift = fp.view(np.uint64), turn.astype(np.uint64) * np.uint64(16)
+    values, place = np.unique(fp, return_inverse=True)
+    x = np.where(turn == 0, fp, (fp << shift) | (fp >> (np.uint64(64) - np.maximum(shift, np.uint64(1)))))
+    run = np.cumsum(np.concatenate(([0], (np.diff(turn) != 0) | (np.diff(block) != 0) | (np.diff(part) != 0))))
+    classes = Classes(len(values))
+    for split in (False, True):  # a part of a split block is a run of its own: its other 48 bits, turned
+        at = np.flatnonzero((part >= 0) == split)
+        y = x[at]
+        if split:
+            low, by = y & _LOW48, (part[at] >> 12).astype(np.uint64) * np.uint64(12)
+            y = np.where(by == 0, low, ((low << by) | (low >> (np.uint64(48) - np.maximum(by, np.uint64(1))))) & _LOW48)
+        order = np.lexsort((gray_rank(y), run[at]))
+        link_runs(y[order], run[at][order], place[at][order], classes, limit, 0 if split else 1)
+    pairs = np.array(classes.links, np.int64).reshape(-1, 2)
+    return values.view(np.int64)[pairs]
+
+
+def _links(limit: int, flush: int):
+    """Rows (turn, block, part, fp), sorted, to links (a, b); about ``flush`` rows of whole runs are held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column("turn").to_numpy(), b.column("fp").to_numpy()) for b in batches if b.num_rows]
-        if not got:
-            return
-        turn = np.concatenate([t for t, _ in got]).astype(np.uint64)
-        fp = np.concatenate([f for _, f in got]).view(np.uint64)
-        values, place = np.unique(fp, return_inverse=True)
-        shift = turn * np.uint64(16)
-        x = np.where(turn == 0, fp, (fp << shift) | (fp >> (np.uint64(64) - np.maximum(shift, np.uint64(1)))))
-        order = np.lexsort((gray_rank(x), turn))
-        x, turn, place = x[order], turn[order], place[order]
-        classes = Classes(len(values))
-        link_runs(x, (x >> np.uint64(48)) | (turn << np.uint64(16)), place, classes, limit)
-        v = values.view(np.int64)
-        for s in range(0, len(classes.links), 50_000):
-            part = np.array(classes.links[s : s + 50_000], np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(v[part[:, 0]]), pa.array(v[part[:, 1]])], names=["a", "b"])
+        names = ("turn", "block", "part", "fp")
+        held, n = [], 0
+
+        def linked(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            pairs = _link_rows(*rows, limit)
+            for s in range(0, len(pairs), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[s : s + 50_000, 0]), pa.array(pairs[s : s + 50_000, 1])], names=["a", "b"])
+
+        for b in batches:
+            held.append([b.column(c).to_numpy() for c in names])
+            n += b.num_rows
+            if n < flush:
+                continue
+            rows = [np.concatenate(x) for x in zip(*held, strict=True)]
+            changes = np.flatnonzero((np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0) | (np.diff(rows[2]) != 0))
+            if len(changes):
+                cut = int(changes[-1]) + 1
+                yield from linked([x[:cut] for x in rows])
+                rows = [x[cut:] for x in rows]
+            held, n = [rows], len(rows[0])
+        if n:
+            yield from linked([np.concatenate(x) for x in zip(*held, strict=True)])
 
     return run
 
@@ -271,13 +298,25 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
 
 def _gray_links(nodes: DataFrame, limit: int) -> DataFrame:
-    """Links (a, b) between fingerprints of nodes(fp) that differ in ``limit`` bits or fewer: a spanning forest of each task."""
+    """Links (a, b) between fingerprints of nodes(fp) that differ in ``limit`` bits or fewer: spanning forests of the runs.
+
+    A block of more than HOT fingerprints is split once more: what differs in three bits at most within it agrees in one of
+    four parts of twelve of the other bits, so each of its fingerprints goes to four smaller runs.
+    """
     if not 0 <= limit <= 3:
         raise ValueError("four blocks find differences of at most three bits")
-    blocks = [F.struct(F.lit(t).alias("turn"), F.shiftrightunsigned("fp", 48 - 16 * t).bitwiseAND(0xFFFF).alias("block")) for t in range(4)]
-    turned = nodes.select("fp", F.explode(F.array(*blocks)).alias("x"))
-    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return turned.select("fp", "x.turn", "x.block").repartition(n, "turn", "block").select("turn", "fp").mapInArrow(_links(limit), "a long, b long")
+    n = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * nodes.count() // (4 * FLUSH))
+    at = lambda bits, first: F.shiftrightunsigned("fp", first).bitwiseAND((1 << bits) - 1)
+    blocks = [F.struct(F.lit(t).alias("turn"), at(16, 48 - 16 * t).cast("int").alias("block")) for t in range(4)]
+    turned = nodes.select("fp", F.explode(F.array(*blocks)).alias("x")).select("fp", "x.turn", "x.block")
+    hot = turned.groupBy("turn", "block").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("turn", "block", F.lit(True).alias("hot"))
+    whole = F.array(F.lit(-1))
+    ends = [[(48 - 16 * t - 12 * (k + 1)) % 64 for k in range(4)] for t in range(4)]  # lowest bit of each part, before the turn
+    part = lambda t, k: (F.lit(k << 12) + (at(12, ends[t][k]) if ends[t][k] <= 52 else F.shiftleft(at(ends[t][k] + 12 - 64, 0), 64 - ends[t][k]).bitwiseOR(at(64 - ends[t][k], ends[t][k])))).cast("int")
+    split = F.coalesce(*[F.when(F.col("turn") == t, F.array(*[part(t, k) for k in range(4)])) for t in range(4)])
+    turned = turned.join(F.broadcast(hot), ["turn", "block"], "left").withColumn("part", F.explode(F.when(F.col("hot"), split).otherwise(whole)))  # 2^18 rows at most
+    keys = ["turn", "block", "part"]
+    return turned.repartition(n, *keys).sortWithinPartitions(*keys).select(*keys, "fp").mapInArrow(_links(limit, FLUSH), "a long, b long")
 
 
 def _classes(coded: DataFrame, nodes: DataFrame, links: DataFrame, base: str) -> DataFrame:
@@ -500,14 +539,15 @@ def similar_documents(docs: DataFrame, words: int = 5, id_col: str = "doc_id", t
 def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of ``docs`` less all but one of each class of ``found``: the one of smallest id, then text hash.
 
-    Only ids and hashes of the rows that stay are joined to the rows; equal rows of a class are one of them.
+    Rows of one id and text are one of them; copies meet before anything is shuffled, so a row that is repeated often is no
+    load. Only ids and hashes of the rows that stay are joined to the rows.
     """
     first = found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("x"))
-    h, z, k, n = (fresh(c, docs.columns) for c in ("text_hash", "no_id", "id_or_zero", "place"))
+    h, z, k, row = names = [fresh(c, docs.columns) for c in ("text_hash", "no_id", "id_or_zero", "row")]
     first = first.select(F.col("x.text_hash").alias(h), F.col("x.none").alias(z), F.coalesce("x.doc_id", F.lit(0)).alias(k))
-    rows = docs.withColumn(h, F.xxhash64("text")).withColumn(z, F.col("doc_id").isNull()).withColumn(k, F.coalesce("doc_id", F.lit(0)))
-    rows = rows.join(first.hint("merge"), [h, z, k], "left_semi")  # the window below needs no other exchange
-    return rows.withColumn(n, F.row_number().over(Window.partitionBy(h, z, k).orderBy(k))).where(F.col(n) == 1).select(*docs.columns)
+    keys = F.xxhash64(F.col("text").cast("string")).alias(h), F.col("doc_id").isNull().alias(z), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias(k)
+    rows = docs.select(*keys, F.struct(*docs.columns).alias(row)).groupBy(*names[:3]).agg(F.first(row).alias(row))
+    return rows.join(first.hint("merge"), names[:3], "left_semi").select(f"{row}.*")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

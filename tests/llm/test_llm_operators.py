@@ -276,6 +276,38 @@ def test_gray_index_links_what_brute_force_links(kind):
     assert len(classes.links) == len(fps) - len(set(want))
 
 
+@pytest.mark.parametrize("hot, flush", [(500_000, 200_000), (30, 50), (0, 1)])
+def test_links_of_split_blocks(spark, monkeypatch, hot, flush):
+    rng = np.random.default_rng(12)
+    centres = rng.integers(-(2**63), 2**63 - 1, 30, np.int64)
+    few = lambda n: sum(1 << int(b) for b in rng.choice(64, n, replace=False))
+    fps = {int(c) & (1 << 64) - 1 for c in centres}
+    for c in sorted(fps):
+        at = c
+        for _ in range(6):
+            at ^= few(int(rng.integers(1, 6)))
+            fps.add(at)
+    top = sorted(fps)[3] >> 48 << 48
+    fps |= {top | int(x) for x in rng.integers(0, 1 << 48, 300)}  # one block for very many
+    fps |= {(f ^ few(3)) for f in sorted(fps)[-40:]}
+    fps = sorted(fps)
+    monkeypatch.setattr(simhash, "HOT", hot)
+    monkeypatch.setattr(simhash, "FLUSH", flush)
+    nodes = spark.createDataFrame([(f - (f >> 63 << 64),) for f in fps], "fp long")
+    roots = {r.node & (1 << 64) - 1: r.root for r in simhash.connected_components(simhash._gray_links(nodes, 3)).collect()}
+    want = brute_classes(fps)
+    got = [roots.get(f, f - (f >> 63 << 64)) for f in fps]
+    assert len(set(zip(want, got, strict=True))) == len(set(want)) == len(set(got)) < len(fps) - 100
+
+
+def test_one_of_many_equal_rows_stays(spark):
+    docs = spark.range(0, 50_000, 1, 6).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit("x").alias("row"))
+    docs = docs.union(spark.createDataFrame([(3, "a text of five words", "y"), (3, "a text of five words", "z"), (4, "a text of five words", "z")], docs.schema))
+    for found in (simhash.near_duplicates(docs), simhash.similar_documents(docs)):
+        kept = simhash.keep_first(docs, found)
+        assert kept.columns == docs.columns and sorted((str(r.doc_id), r.text) for r in kept.collect()) == [("3", "a text of five words"), ("None", None)]
+
+
 def test_near_duplicates(spark, docs, no_docs):
     rows = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
     both = rows.unionByName(docs.select("doc_id", "text").where("doc_id is not null").withColumn("doc_id", F.col("doc_id") + 10**6))
