@@ -35,8 +35,17 @@ def test_quality_stage_keeps_good_documents(spark, staged):
     assert share[1] > 0.97 and share[0] < 0.25
 
 
-def test_language_stage(staged):
+def test_language_stage(spark, staged):
+    """Everything in a learned language stays; other scripts, noise and texts without a letter go; missing labels are filled."""
     assert staged[2].count() == staged[1].where(F.col("text").rlike(r"\p{L}")).count()
+    assert staged[2].where("lang is null").count() == 0
+    odd = [(10**6, "абвгд ежзий клмн опрс туфх цчшщ " * 20, None), (10**6 + 1, "12345 !? " * 30, "en"), (10**6 + 2, None, "en"), (10**6 + 3, "the and of", None)]
+    odd = spark.createDataFrame(odd, "doc_id long, text string, lang string").withColumn("source", F.lit("s")).withColumn("n_chars", F.lit(1).cast("long"))
+    rows = staged[1].unionByName(odd)
+    kept = {r.doc_id: r.lang for r in corpus_pipeline.language_stage(spark, rows, DATA).collect()}
+    assert [i in kept for i in range(10**6, 10**6 + 4)] == [False, False, False, True] and kept[10**6 + 3] == "en"
+    french = corpus_pipeline.language_stage(spark, rows, DATA, languages=("fr",))
+    assert 0 < french.count() < staged[2].count() / 3 and french.where("lang = 'fr'").count() > 0.99 * french.count()
 
 
 def shingles(text):
@@ -59,8 +68,8 @@ def test_one_of_similar_documents_stays(staged):
     texts = [" ".join(rows[i].lower().split()) for i in kept]
     assert len(set(texts)) == len(texts)
     both = lambda low: [i in kept and j in kept for (i, j), s in near.items() if low <= s < 1]
-    assert sum(both(0.9)) == 0 and sum(both(0.8)) <= 0.15 * max(1, len(both(0.8)))
-    alike = {i for (a, b), s in near.items() if s >= 0.6 for i in (a, b)}
+    assert len(both(0.8)) > 10 and sum(both(0.8)) == 0
+    alike = {i for (a, b), s in near.items() if s >= 0.8 for i in (a, b)}
     assert set(rows) - kept <= alike
 
 
