@@ -1,7 +1,7 @@
 """Counting plans: the partitions of a graph into connected districts, with weights in bounds.
 
-The computation goes over the edges. While the states are few, one task takes all levels it can; beyond LOCAL_STATES they
-are dealt over the cluster, each task takes a few levels and merges what it has, and equal states of different tasks meet in
+The computation goes over the edges. While the states are few, one task takes all levels it can; a count that ends within
+QUICK_STATES states is one job. Beyond LOCAL_STATES they are dealt over the cluster, each task takes a few levels and merges what it has, and equal states of different tasks meet in
 a hash aggregate over the exact state, written to the shared folder before the next levels.
 """
 
@@ -18,7 +18,7 @@ from partigrid.operators import states as st
 from partigrid.session import materialise
 from partigrid.sources.grids import Graph
 
-LOCAL_STATES, TASK_STATES, STRIDE, MAX_EDGES = 150_000, 60_000, 2, 100_000
+QUICK_STATES, LOCAL_STATES, TASK_STATES, STRIDE, MAX_EDGES = 20_000, 150_000, 60_000, 2, 100_000
 _SCHEMA = "level int, state binary, l0 long, l1 long, l2 long, l3 long"
 
 
@@ -103,23 +103,39 @@ def count_by_districts(spark: SparkSession, graph: Graph, ks: tuple[int, ...] |
     return count_problem(spark, st.make_problem(edges, weights, lower, upper, ks))
 
 
+def _begin(problem: st.Problem, stop: int):
+    """The first task: from the empty state on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = st.encode(problem, st.start(problem))
+        paths = np.zeros((len(rows), st.LIMBS), np.uint64)
+        paths[:, 0] = 1
+        for b in batches:
+            if b.num_rows:
+                yield from _advance(problem, len(problem.levels), stop)(_rows(0, rows, paths))
+
+    return run
+
+
 def count_problem(spark: SparkSession, problem: st.Problem) -> DataFrame:
     """(k, plans) of a problem whose graph is at the driver already."""
-    first = st.start(problem)
-    rows = st.encode(problem, first)
-    df = spark.createDataFrame([(0, bytearray(r.tobytes()), 1, 0, 0, 0) for r in rows] if problem.weights else [], _SCHEMA).coalesce(1)
     total = len(problem.levels)
-    done = materialise(df.mapInArrow(_advance(problem, total, LOCAL_STATES), _SCHEMA)) if total else df
-    while True:
+    got = spark.range(0, 1 if problem.weights else 0, 1, 1).mapInArrow(_begin(problem, QUICK_STATES), _SCHEMA).toArrow()  # at most what one level makes of QUICK_STATES
+    done = spark.createDataFrame(got) if got.num_rows else spark.createDataFrame([], _SCHEMA)
+    level = got.column("level")[0].as_py() if got.num_rows else total
+    if level < total:
+        done = materialise(done.coalesce(1).mapInArrow(_advance(problem, total, LOCAL_STATES), _SCHEMA))
+    while level < total:
         now = done.agg(F.max("level").alias("level"), F.count("*").alias("n")).first()
-        if not now.n or now.level == total:
+        level = now.level if now.n else total
+        if level == total:
             break
         merged = done.groupBy("level", "state").agg(*[F.sum(f"l{j}").alias(f"l{j}") for j in range(st.LIMBS)])
         tasks = max(spark.sparkContext.defaultParallelism, -(-now.n // TASK_STATES))
         done = materialise(merged.repartition(tasks, "state").mapInArrow(_advance(problem, STRIDE, 1 << 60), _SCHEMA))
     digits = [F.sum(F.col(f"l{j}").cast("decimal(38,0)") * F.lit(str(1 << (32 * j))).cast("decimal(38,0)")).cast("decimal(38,0)") for j in range(st.LIMBS)]
     byte = lambda i: F.conv(F.hex(F.substring("state", i, 1)), 16, 10).cast("int")
-    k = (byte(1) + 256 * byte(2)).alias("k")
+    k = (byte(1) + 256 * byte(2) + 65536 * byte(3) + 16777216 * byte(4)).alias("k")
     counts = done.groupBy(k).agg(sum(digits[1:], digits[0]).cast("decimal(38,0)").alias("plans"))
     return counts.where(F.col("k").isin(list(problem.ks))) if problem.ks else counts
 

@@ -51,6 +51,11 @@ class Problem:
     def most(self) -> int:
         return max(self.ks) if self.ks else 1 << 30
 
+    @property
+    def label(self) -> type:
+        """What a place among the open vertices fits into."""
+        return np.uint8 if max((len(x.slots) for x in self.levels), default=0) <= 256 else np.uint16
+
     def slots_after(self, level: int) -> tuple[int, ...]:
         """Open vertices behind a level (0: before the first)."""
         if level == 0:
@@ -96,13 +101,13 @@ class Batch:
 
 def start(problem: Problem) -> Batch:
     n = int(problem.feasible)
-    return Batch(np.full(n, problem.alone, np.int32), np.zeros((n, 0), np.uint8), np.zeros((n, 0, 0), bool), np.zeros((n, 0), np.int64))
+    return Batch(np.full(n, problem.alone, np.int32), np.zeros((n, 0), problem.label), np.zeros((n, 0, 0), bool), np.zeros((n, 0), np.int64))
 
 
 def _relabel(b: Batch, rows: np.ndarray, old: np.ndarray, new: np.ndarray) -> None:
     """In ``rows`` component ``old`` becomes ``new``: its members, weight and forbidden pairs move there."""
     comp = b.comp[rows]
-    b.comp[rows] = np.where(comp == old[:, None], new[:, None], comp).astype(np.uint8)
+    b.comp[rows] = np.where(comp == old[:, None], new[:, None], comp).astype(comp.dtype)
     b.wts[rows, new] += b.wts[rows, old]
     b.wts[rows, old] = 0
     b.bad[rows, new] |= b.bad[rows, old]
@@ -113,10 +118,10 @@ def _relabel(b: Batch, rows: np.ndarray, old: np.ndarray, new: np.ndarray) -> No
 
 def _open(problem: Problem, level: Level, b: Batch) -> Batch:
     n, e = len(b), len(level.slots)
-    comp, bad, wts = np.zeros((n, e), np.uint8), np.zeros((n, e, e), bool), np.zeros((n, e), np.int64)
+    comp, bad, wts = np.zeros((n, e), problem.label), np.zeros((n, e, e), bool), np.zeros((n, e), np.int64)
     old = np.array(level.before, np.intp)
     if len(old):
-        comp[:, old] = old.astype(np.uint8)[b.comp]
+        comp[:, old] = old.astype(problem.label)[b.comp]
         bad[:, old[:, None], old[None, :]] = b.bad
         wts[:, old] = b.wts
     for s in level.enter:
@@ -153,7 +158,7 @@ def _close(problem: Problem, level: Level, b: Batch, at: np.ndarray) -> tuple[Ba
             new = others.shape[1] - 1 - others[moved, ::-1].argmax(axis=1)
             _relabel(b, moved, label[moved], new)
     stay = np.flatnonzero(~gone)
-    place = np.full(len(level.slots), 0, np.uint8)
+    place = np.full(len(level.slots), 0, problem.label)
     place[stay] = np.arange(len(stay))
     flat = np.ascontiguousarray
     return Batch(b.cc, flat(place[b.comp[:, stay]]), flat(b.bad[:, stay[:, None], stay[None, :]]), flat(b.wts[:, stay])), at
@@ -189,7 +194,8 @@ def encode(problem: Problem, b: Batch) -> np.ndarray:
     """Each state as a row of bytes; equal states have equal rows."""
     f = b.comp.shape[1]
     up = np.triu_indices(f, 1)
-    parts = [b.cc.astype("<u2").view(np.uint8).reshape(len(b), 2), b.comp, np.packbits(b.bad[:, up[0], up[1]], axis=1)]
+    comp = np.ascontiguousarray(b.comp).view(np.uint8).reshape(len(b), f * b.comp.itemsize)
+    parts = [b.cc.astype("<u4").view(np.uint8).reshape(len(b), 4), comp, np.packbits(b.bad[:, up[0], up[1]], axis=1)]
     if problem.weighted:
         parts.append(b.wts.astype("<i8").view(np.uint8).reshape(len(b), 8 * f))
     return np.ascontiguousarray(np.concatenate(parts, axis=1))
@@ -198,15 +204,17 @@ def encode(problem: Problem, b: Batch) -> np.ndarray:
 def decode(problem: Problem, f: int, rows: np.ndarray) -> Batch:
     n, pairs = len(rows), f * (f - 1) // 2
     up = np.triu_indices(f, 1)
-    packed = -(-pairs // 8)
-    cc = np.ascontiguousarray(rows[:, :2]).view("<u2").ravel().astype(np.int32)
+    packed, kind = -(-pairs // 8), np.dtype(problem.label)
+    cc = np.ascontiguousarray(rows[:, :4]).view("<u4").ravel().astype(np.int32)
+    at = 4 + f * kind.itemsize
+    comp = np.ascontiguousarray(rows[:, 4:at]).view(kind).reshape(n, f).copy()
     bad = np.zeros((n, f, f), bool)
     if pairs:
-        bits = np.unpackbits(rows[:, 2 + f : 2 + f + packed], axis=1, count=pairs).astype(bool)
+        bits = np.unpackbits(rows[:, at : at + packed], axis=1, count=pairs).astype(bool)
         bad[:, up[0], up[1]] = bits
         bad[:, up[1], up[0]] = bits
-    wts = np.ascontiguousarray(rows[:, 2 + f + packed :]).view("<i8").reshape(n, f).copy() if problem.weighted and f else np.zeros((n, f), np.int64)
-    return Batch(cc, rows[:, 2 : 2 + f].copy(), bad, wts)
+    wts = np.ascontiguousarray(rows[:, at + packed :]).view("<i8").reshape(n, f).copy() if problem.weighted and f else np.zeros((n, f), np.int64)
+    return Batch(cc, comp, bad, wts)
 
 
 def distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
