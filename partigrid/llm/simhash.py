@@ -31,6 +31,8 @@ SEED, LEAF, FAN, LIMIT = 42, 32, 8, 3
 SAMPLE, MOST_COMMON, FEW, ENDS, BLOCK, BITS = 50_000, 200_000, 32, 4, 512, 1024
 #: Fingerprints of a block that one task takes; rows that it holds at a time.
 HOT, FLUSH = 500_000, 200_000
+#: Rows of a file of edges while components are sought.
+EDGES = 500_000
 _LOW, _LOW48 = np.uint64(0x0101010101010101), np.uint64((1 << 48) - 1)
 
 
@@ -275,6 +277,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     spark = edges.sparkSession
     base = work_dir(spark, "components")
 
+    def few_files(df: DataFrame, rows: int) -> DataFrame:
+        return df.coalesce(max(1, -(-rows // EDGES)))  # as many files as the rows need, whatever the shuffle's partitions
+
     def signature(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
@@ -288,7 +293,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", "m")).distinct()
         step += 1
-        now = stage(small, f"{base}/{step}")
+        now = stage(few_files(small, was[0]), f"{base}/{step}")
         remove_dir(f"{base}/{step - 1}")
         if (is_now := signature(now)) == was:
             break
