@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SLICE_BYTES, BATCH_BYTES = 2_000_000, 8 << 20
 
@@ -91,6 +92,20 @@ def fresh(name: str, columns: list[str]) -> str:
     return name
 
 
+def one_row_each(rows: DataFrame, table: DataFrame, keys: list[str], times: str) -> DataFrame:
+    """``rows`` joined with ``table`` on ``keys``, one row of each key that the table holds; its column ``times`` says how
+    many rows there are. Where there are several they are dealt out over salts, so no task gets all of a key's rows."""
+    if table.where(F.col(times) > 1).isEmpty():
+        return rows.join(table.hint("merge"), keys)
+    once = rows.join(table.where(F.col(times) == 1).hint("merge"), keys)
+    many = rows.join(table.where(F.col(times) > 1).hint("merge"), keys)
+    salt, row = fresh("salt", many.columns), fresh("row", many.columns)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = many.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(64))).repartition(parts, *keys, salt)
+    some = dealt.groupBy(*keys, salt).agg(F.first(F.struct(*many.columns)).alias(row))
+    return once.unionByName(some.groupBy(*keys).agg(F.first(row).alias(row)).select(f"{row}.*"))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that ``column`` holds about ``limit`` bytes in each (one row at least)."""
     for b in batches:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from partigrid.llm.common import fresh, small_batches, stage, work_dir
+from partigrid.llm.common import fresh, one_row_each, small_batches, stage, work_dir
 
 #: Rows of a group; equal rows that one task numbers; sources up to which their table is broadcast.
 WEIGHTS, MOST, GROUP, CHUNK, FEW_SOURCES = (5.0, 2.0, 1.0), 3, 2048, 1024, 100_000
@@ -132,15 +132,17 @@ def _fly(seed: int):
     return run
 
 
-def one_by_one(counted: DataFrame, n: str, number: str, keys: list[str]) -> DataFrame:
+def one_by_one(counted: DataFrame, table: DataFrame, n: str, number: str, keys: list[str]) -> DataFrame:
     """Each row of ``counted`` as often as its column ``n`` says, ``number`` counting from 0; rows that come more than CHUNK
-    times are first split into chunks and dealt out."""
+    times are first split into chunks and dealt out. ``table`` holds the same counts, ready to be read."""
     parts = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    few = counted.where(F.col(n) <= CHUNK).withColumn(number, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)))
+    few = lambda df: df.withColumn(number, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)))
+    if table.where(F.col(n) > CHUNK).isEmpty():
+        return few(counted)
     chunks = counted.where(F.col(n) > CHUNK).withColumn(number, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / CHUNK))))
     first = F.col(number) * CHUNK
     many = chunks.repartition(parts, *keys, number).withColumn(number, F.explode(F.sequence(first, F.least(first + CHUNK, F.col(n)) - 1)))
-    return few.unionByName(many)
+    return few(counted.where(F.col(n) <= CHUNK)).unionByName(many)
 
 
 def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, seed: int = 11) -> DataFrame:
@@ -157,7 +159,7 @@ def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: i
     plan = plan.withColumn("sure", sure).withColumn("rest", F.when(sure < most, F.greatest(ratio - sure, F.lit(0.0))).otherwise(0.0))
     checked = lambda df: F.broadcast(df) if n_sources <= FEW_SOURCES else df
     named = sized.join(checked(plan.select("source_id", "name", F.col("rest").alias("p"))), sized.source.eqNullSafe(F.col("name"))).select("doc_id", "text_hash", "source_id", "size", "p", "n")
-    open_ = one_by_one(named, "n", "number", ["doc_id", "text_hash"]).drop("n")
+    open_ = one_by_one(named, sized, "n", "number", ["doc_id", "text_hash"]).drop("n")
     decided: DataFrame | None = None
     step = 0
     while True:
@@ -178,18 +180,19 @@ def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: i
 
 def mixed_rows(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it; of equal rows (id, source and text) one is taken as often as
-    the mix takes all of them. Copies of a row meet before they are shuffled, and what comes very often is dealt out again."""
+    the mix takes all of them, and what comes very often is dealt out."""
     names = [fresh(c, docs.columns) for c in ("text_hash", "no_id", "id_or_zero", "no_source", "source_or_none")]
-    row, times, number = (fresh(c, [*docs.columns, *names]) for c in ("row", "times", "number"))
+    times, alike, number = (fresh(c, [*docs.columns, *names]) for c in ("times", "alike", "number"))
 
     def keyed(text_hash: F.Column) -> list[F.Column]:
         own = (text_hash, F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("source").isNull(), F.coalesce(F.col("source").cast("string"), F.lit("")))
         return [c.alias(n) for c, n in zip(own, names, strict=True)]
 
     mixed = mix_documents(docs).select("doc_id", "source", F.col("text_hash").alias("of_text"), F.col("copies").alias("m"))
-    mixed = mixed.where("m > 0").select(*keyed(F.col("of_text")), "m").groupBy(*names).agg(F.sum("m").alias(times))
-    rows = docs.select(*keyed(F.xxhash64(F.col("text").cast("string"))), F.struct(*docs.columns).alias(row)).groupBy(*names).agg(F.first(row).alias(row))
-    return one_by_one(rows.join(mixed.hint("merge"), names), times, number, names).select(f"{row}.*")
+    mixed = mixed.select(*keyed(F.col("of_text")), "m").groupBy(*names).agg(F.sum("m").alias(times), F.count("*").alias(alike)).where(F.col(times) > 0)
+    mixed = stage(mixed, work_dir(docs.sparkSession, "mixed"))
+    rows = one_row_each(docs.select("*", *keyed(F.xxhash64(F.col("text").cast("string")))), mixed, names, alike)
+    return one_by_one(rows, mixed, times, number, names).select(*docs.columns)
 
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

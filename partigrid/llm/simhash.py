@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partigrid.llm.common import fresh, remove_dir, slices, small_batches, stage, work_dir
+from partigrid.llm.common import fresh, one_row_each, remove_dir, slices, small_batches, stage, work_dir
 
 SEED, LEAF, FAN, LIMIT = 42, 32, 8, 3
 #: Sampled texts and common shingles that order keys; sets of a key whose pairs are all candidates at once; sets that each of
@@ -544,15 +544,15 @@ def similar_documents(docs: DataFrame, words: int = 5, id_col: str = "doc_id", t
 def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of ``docs`` less all but one of each class of ``found``: the one of smallest id, then text hash.
 
-    Rows of one id and text are one of them; copies meet before anything is shuffled, so a row that is repeated often is no
-    load. Only ids and hashes of the rows that stay are joined to the rows.
+    Rows of one id and text are one of them. Only ids and hashes of the rows that stay are joined to the rows.
     """
-    first = found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("x"))
-    h, z, k, row = names = [fresh(c, docs.columns) for c in ("text_hash", "no_id", "id_or_zero", "row")]
-    first = first.select(F.col("x.text_hash").alias(h), F.col("x.none").alias(z), F.coalesce("x.doc_id", F.lit(0)).alias(k))
+    alike = found.groupBy("class", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    first = alike.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "n")).alias("x"))
+    h, z, k, n = names = [fresh(c, docs.columns) for c in ("text_hash", "no_id", "id_or_zero", "times")]
+    first = first.select(F.col("x.text_hash").alias(h), F.col("x.none").alias(z), F.coalesce("x.doc_id", F.lit(0)).alias(k), F.col("x.n").alias(n))
+    first = stage(first, work_dir(docs.sparkSession, "first"))
     keys = F.xxhash64(F.col("text").cast("string")).alias(h), F.col("doc_id").isNull().alias(z), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias(k)
-    rows = docs.select(*keys, F.struct(*docs.columns).alias(row)).groupBy(*names[:3]).agg(F.first(row).alias(row))
-    return rows.join(first.hint("merge"), names[:3], "left_semi").select(f"{row}.*")
+    return one_row_each(docs.select("*", *keys), first, names[:3], n).select(*docs.columns)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
