@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -37,11 +37,50 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stage(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
-    """Write ``df`` as Parquet and read it back, so that a lost executor costs no recomputation of what lies before."""
-    w = df.write.option("compression", "zstd")
-    (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _to_file(folder: str, make: Callable | None):
+    """Rows of a partition (or what ``make`` makes of them) to one Parquet file; its name is handed on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.parquet as pq
+
+        out = writer = None
+        name = f"{uuid.uuid4().hex}.parquet"
+        for b in make(batches) if make else batches:
+            if not b.num_rows:
+                continue
+            if writer is None:
+                out = new_file(f"{folder}/{name}")
+                writer = pq.ParquetWriter(out, b.schema, compression="zstd")
+            writer.write_batch(b)
+        if writer is not None:
+            writer.close()
+            out.close()
+            yield pa.RecordBatch.from_arrays([pa.array([name])], names=["name"])
+
+    return run
+
+
+def stage(df: DataFrame, path: str, make: Callable | None = None, schema: str | None = None, any_columns: bool = False) -> DataFrame:
+    """Write ``df``, or what ``make`` (as for mapInArrow, with its ``schema``) makes of it, as Parquet and read it back, so
+    that a lost executor costs no recomputation of what lies before.
+
+    Spark writes to a store. In a mounted folder (file:) its writer starts processes from the executor's JVM for each file
+    and folder it makes (chmod), which costs more than small tables do, so there the tasks' Python workers write the files;
+    a file that no finished task has named is removed before the rest is read. Tables of ``any_columns`` are left to Spark.
+    """
+    spark = df.sparkSession
+    if any_columns or not path.startswith("file:"):
+        made = df.mapInArrow(make, schema) if make else df
+        made.write.option("compression", "zstd").parquet(path)
+        return spark.read.schema(made.schema).parquet(path)
+    named = {r.name for r in df.mapInArrow(_to_file(path, make), "name string").collect()}  # a row for each partition
+    if not named:
+        spark.createDataFrame([], schema or df.schema).write.parquet(path)
+    fs, p = open_fs(path)
+    for f in fs.get_file_info(pafs.FileSelector(p)) if named else []:
+        if f.base_name not in named:
+            fs.delete_file(f.path)
+    return spark.read.schema(schema or df.schema).parquet(path)
 
 
 def small_batches(spark: SparkSession) -> SparkSession:

@@ -128,7 +128,7 @@ def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("at", F.spark_partition_id())
     order = [F.col("doc_id").desc_nulls_last(), F.col("tie"), F.col("at")]
     rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order, "text").select("doc_id", "text")
-    held = stage(rows.mapInArrow(_inside, _HELD), work_dir(spark, "quartile"))
+    held = stage(rows, work_dir(spark, "quartile"), _inside, _HELD)
     firsts = held.where("role = 1").select(F.col("part").alias("behind"), F.col("text").alias("following"))
     parts = sorted(r.behind for r in firsts.select("behind").collect())  # a number for each partition
     pairs = spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1], strict=True)), "part int, behind int")

@@ -337,7 +337,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, limit: int = LIMIT, id_col:
     """(doc_id, text_hash, fp, class, component_id) of every row; component_id is the smallest id of the row's class."""
     base = work_dir(docs.sparkSession, "simhash")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    coded = stage(rows.mapInArrow(_fingerprints(words), "doc_id long, text_hash long, fp long"), f"{base}/fingerprints")
+    coded = stage(rows, f"{base}/fingerprints", _fingerprints(words), "doc_id long, text_hash long, fp long")
     nodes = stage(coded.groupBy("fp").agg(F.min("doc_id").alias("least")), f"{base}/nodes")
     return _classes(coded, nodes, _gray_links(nodes, limit), base)
 
@@ -515,11 +515,11 @@ def similar_documents(docs: DataFrame, words: int = 5, id_col: str = "doc_id", t
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("text_hash", F.xxhash64("text")).withColumn("mark", F.xxhash64("text_hash", "doc_id"))
     shape = "doc_id long, text_hash long, mark long, fp long, n int, keys array<long>"
-    coded = stage(rows.mapInArrow(_prefixes(words, *_common_shingles(rows, words)), shape), f"{base}/prefixes")
+    coded = stage(rows, f"{base}/prefixes", _prefixes(words, *_common_shingles(rows, words)), shape)
     firsts = [F.min("doc_id").alias("least"), F.min("mark").alias("mark"), F.first("n").alias("n"), F.first("keys").alias("keys")]
     nodes = stage(coded.groupBy("fp").agg(*firsts), f"{base}/nodes")
     held = nodes.select("fp", "n", F.posexplode("keys").alias("at", "key")).repartition(parts, "key").select("key", "fp", "n", "at")
-    met = stage(held.mapInArrow(_meet, "key long, a long, b long, n long, at long"), f"{base}/met")
+    met = stage(held, f"{base}/met", _meet, "key long, a long, b long, n long, at long")
     pairs = stage(met.where("key is null").select("a", "b").distinct(), f"{base}/pairs")
     many = met.where("key is not null").select("key", F.col("a").alias("fp"), "n", "at")
     seen = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).union(many.select("fp")).distinct()

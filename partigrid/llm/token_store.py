@@ -262,15 +262,15 @@ def write_store(docs: DataFrame, store: str, tokens: str, end_id: int | None = N
     spark = docs.sparkSession
     n = _partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    staged = stage(rows.mapInArrow(_chunker(tokens, end_id, f"{store}/spool"), _STAGED), f"{store}/staged", "kind")
+    staged = stage(rows, f"{store}/staged", _chunker(tokens, end_id, f"{store}/spool"), _STAGED)
     chosen = staged.where("kind = 1").groupBy("digest").agg(F.min(F.struct("file", "ord")).alias("at"))
     chosen = chosen.groupBy(F.col("at.file").alias("file")).agg(F.collect_list("at.ord").alias("ords"))  # chunks of one spool file
-    packs = stage(chosen.repartition(n, "file").mapInArrow(_rewrite(store), _INDEX), f"{store}/pack-index")
+    packs = stage(chosen.repartition(n, "file"), f"{store}/pack-index", _rewrite(store), _INDEX)
     own = staged.where("kind = 0").select("doc_id", "n_ids", "digests", "lens", F.xxhash64("digests").alias("tie"), F.spark_partition_id().alias("at"))
     parts = max(n, -(-own.count() // RECIPES))
     order = ["doc_id", "n_ids", "tie", "at"]  # equal rows of several input partitions may go to several ranges
     recipes = own.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "n_ids", "digests", "lens")
-    recipes = stage(recipes.mapInArrow(_write_recipes(store), f"part int, seq int, {_INDEX}"), f"{store}/recipe-index")
+    recipes = stage(recipes, f"{store}/recipe-index", _write_recipes(store), f"part int, seq int, {_INDEX}")
     manifest = {"tokens": tokens, "end_id": end_id}
     for name, index in (("packs", packs), ("recipes", recipes)):
         files, ids = index.agg(F.count("*"), F.coalesce(F.sum("n_ids"), F.lit(0))).first()

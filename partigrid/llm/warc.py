@@ -146,14 +146,14 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, date: str | No
     date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("payload"))
-    headers = stage(rows.mapInArrow(_spool(folder, least, date), _HEADERS), f"{folder}/headers")
+    headers = stage(rows, f"{folder}/headers", _spool(folder, least, date), _HEADERS)
     best = F.max(F.struct("page_id", "record_id", "url"))
     kept = headers.where((F.col("size") >= least) & F.col("page_id").isNotNull()).groupBy("digest").agg(best.alias("x"))
     kept = kept.select("digest", F.col("x.page_id").alias("kept"), F.col("x.record_id").alias("kept_id"), F.col("x.url").alias("kept_url"))
     found = headers.join(kept.hint("merge"), "digest", "left")
     revisit = (F.col("size") >= least) & F.col("kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept"))
     found = found.withColumn("names", F.when(revisit, F.col("kept_id"))).drop("kept", "kept_id")
-    files = stage(found.repartition(n, "file").sortWithinPartitions("file", "ord").mapInArrow(_write(folder, date), _MANIFEST), f"{folder}/manifest")
+    files = stage(found.repartition(n, "file").sortWithinPartitions("file", "ord"), f"{folder}/manifest", _write(folder, date), _MANIFEST)
     remove_dir(f"{folder}/spool")
     remove_dir(f"{folder}/headers")
     return files
@@ -211,7 +211,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     response is missing or differs raises."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     files = spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest").select("file").repartition(n, "file")
-    records = stage(files.mapInArrow(_read(folder), _RECORDS), work_dir(spark, "warc-index"))
+    records = stage(files, work_dir(spark, "warc-index"), _read(folder), _RECORDS)
     responses, revisits = records.where("record_type = 'response'"), records.where("record_type = 'revisit'")
     origins = responses.select(F.col("record_id").alias("names"), "payload_digest", F.col("page_id").alias("refers_to"), F.lit(True).alias("there"))
     found = revisits.join(origins.hint("merge"), ["names", "payload_digest"], "left")
