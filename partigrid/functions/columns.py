@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def edge_key(edges: Column) -> Column:
-    """Canonical key of a collection of edge structs or positions: its sorted array."""
+    """Canonical key of a collection of edge positions: its sorted array."""
     return F.array_sort(edges)
 
 
@@ -25,8 +25,8 @@ def edge_ids(a: Column, b: Column) -> tuple[Column, Column]:
 
 
 def endpoints(edges: DataFrame) -> DataFrame:
-    """Distinct endpoints v of edges(src, dst)."""
-    return edges.select(F.explode(F.array("src", "dst")).alias("v")).distinct()
+    """Each edge's ends as rows (.., v), beside the edges' other columns."""
+    return edges.withColumn("v", F.explode(F.array("src", "dst"))).drop("src", "dst")
 
 
 def dimensions(vertices: DataFrame) -> DataFrame:
@@ -45,19 +45,6 @@ def within(pop: Column, ideal: Column, share: float) -> Column:
     return F.abs(pop - ideal) <= ideal * share
 
 
-def label_of(comp: Column, i: Column) -> Column:
-    return F.element_at(comp, i)
-
-
-def places_of(comp: Column, label: Column) -> Column:
-    """One-based places that carry a label."""
-    return F.filter(F.sequence(F.lit(1), F.size(comp)), lambda i: F.element_at(comp, i) == label)
-
-
-def times_present(comp: Column, label: Column) -> Column:
-    return F.size(F.filter(comp, lambda x: x == label))
-
-
 def keep_probability(paths_one: Column, paths: Column) -> Column:
     """Probability that a uniformly drawn plan keeps an edge: plans below the 1-child over plans below the node."""
     return paths_one.cast("double") / paths.cast("double")

@@ -1,4 +1,4 @@
-"""Edges of spanning trees that split the population evenly."""
+"""Edges of a spanning tree that split the population evenly."""
 
 from __future__ import annotations
 
@@ -6,32 +6,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from partigrid.functions.columns import within
 from partigrid.session import materialise
 
 
 def rooted(trees: DataFrame) -> DataFrame:
-    """(tree_id, v, parent, depth) of trees(tree_id, src, dst), each rooted at its smallest vertex; the root's parent is null."""
-    spark = trees.sparkSession
-    both = trees.select("tree_id", "src", "dst").union(trees.select("tree_id", "dst", "src"))
-    both.createOrReplaceTempView("tree_steps")
-    return spark.sql("""
-        with recursive walk(tree_id, v, parent, depth) as (
-          select tree_id, min(src), cast(null as int), 0 from tree_steps group by tree_id
-          union all
-          select s.tree_id, s.dst, s.src, w.depth + 1 from walk w join tree_steps s on s.tree_id = w.tree_id and s.src = w.v and (w.parent is null or s.dst <> w.parent)
-        ) select tree_id, v, parent, depth from walk""")
+    """(tree_id, v, parent, depth) of trees(tree_id, src, dst), each rooted at its smallest vertex; the root's parent is null.
+
+    A level of all trees at a time: a join with what was found last, cut from its past by a checkpoint, until nothing is new.
+    """
+    own = trees.select(*[F.col(c).alias(c) for c in ("tree_id", "src", "dst")])
+    both = materialise(own.union(own.select("tree_id", "dst", "src")))
+    now = both.groupBy("tree_id").agg(F.min("src").alias("v")).select("tree_id", "v", F.lit(None).cast(both.schema["src"].dataType).alias("parent"), F.lit(0).alias("depth"))
+    out, depth = now, 0
+    while True:
+        depth += 1
+        ahead = both.join(now.select("tree_id", F.col("v").alias("src"), "parent"), ["tree_id", "src"]).where("parent is null or dst <> parent")
+        now = materialise(ahead.select("tree_id", F.col("dst").alias("v"), F.col("src").alias("parent"), F.lit(depth).alias("depth")))
+        if now.isEmpty():
+            return out
+        out = out.unionByName(now)
+        if depth % 16 == 0:  # a union of few parts, however deep the trees are
+            out = materialise(out)
 
 
 def ancestors(trees: DataFrame) -> DataFrame:
-    """(tree_id, v, ancestor): every vertex with itself and all above it."""
-    spark = trees.sparkSession
-    materialise(rooted(trees)).createOrReplaceTempView("tree_rooted")
-    return spark.sql("""
-        with recursive up(tree_id, v, ancestor) as (
-          select tree_id, v, v from tree_rooted
-          union all
-          select u.tree_id, u.v, r.parent from up u join tree_rooted r on r.tree_id = u.tree_id and r.v = u.ancestor where r.parent is not null
-        ) select tree_id, v, ancestor from up""")
+    """(tree_id, v, ancestor): every vertex with itself and all above it; the distance doubles from step to step."""
+    known = materialise(rooted(trees))
+    up = known.where("parent is not null").select("tree_id", "v", F.col("parent").alias("ancestor"))  # exactly 2^k steps up
+    all_ = known.select("tree_id", "v", F.col("v").alias("ancestor"))  # less than 2^k steps up
+    while not up.isEmpty():
+        far = up.select("tree_id", F.col("v").alias("ancestor"), F.col("ancestor").alias("top"))
+        all_ = materialise(all_.union(all_.join(far, ["tree_id", "ancestor"]).select("tree_id", "v", F.col("top").alias("ancestor"))))
+        up = materialise(up.join(far, ["tree_id", "ancestor"]).select("tree_id", "v", F.col("top").alias("ancestor")))
+    return all_
 
 
 def _splits(by_leaves: bool):
@@ -94,8 +102,7 @@ def balanced_cuts(trees: DataFrame, vertices: DataFrame, epsilon: float, ideal:
     """The split edges with a side within ``epsilon`` of ``ideal`` (None: half of the tree's population)."""
     cuts = split_edges(trees, vertices, by_leaves)
     goal = F.lit(float(ideal)) if ideal is not None else (F.col("below") + F.col("above")) / 2
-    near = lambda side: F.abs(F.col(side) - goal) <= F.lit(epsilon) * goal
-    return cuts.where(near("below") | near("above"))
+    return cuts.where(within(F.col("below"), goal, epsilon) | within(F.col("above"), goal, epsilon))
 
 
 def same_cuts(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -178,16 +178,13 @@ def summary(diagram: Diagram) -> DataFrame:
 
 
 def follow(diagram: Diagram, bits: list[int]) -> DataFrame:
-    """(node): where a sequence of decisions leads from the root; a terminal ends the walk early."""
-    spark = diagram.nodes.sparkSession
-    diagram.arcs.createOrReplaceTempView("walk_arcs")
-    path = ", ".join(map(str, bits)) or "-1"
-    return spark.sql(f"""
-        with recursive walk(node, n) as (
-          select 0L, 0
-          union all
-          select a.child, w.n + 1 from walk w join walk_arcs a on a.parent = w.node and a.bit = element_at(array({path}), w.n + 1) where w.n < {len(bits)}
-        ) select max_by(node, n) as node from walk""")
+    """(node): where a sequence of decisions leads from the root; a terminal ends the walk early. A step is a look-up."""
+    node = 0 if not diagram.nodes.isEmpty() else REJECT
+    for bit in bits:
+        if node < 0:
+            break
+        node = diagram.arcs.where((F.col("parent") == node) & (F.col("bit") == bit)).select("child").first().child
+    return diagram.nodes.sparkSession.createDataFrame([(node,)], "node long")
 
 
 def layout(diagram: Diagram, width: float = 100.0) -> DataFrame:

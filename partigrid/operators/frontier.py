@@ -140,9 +140,12 @@ def count_problem(spark: SparkSession, problem: st.Problem) -> DataFrame:
     return counts.where(F.col("k").isin(list(problem.ks))) if problem.ks else counts
 
 
-def count_plans(spark: SparkSession, graph: Graph, k: int, d: float | None = None, order: list[tuple[int, int]] | None = None) -> DataFrame:
-    """One row (k, plans): partitions into k connected districts, each within ``d`` of the mean weight (None: any)."""
+def count_plans(spark: SparkSession, graph: Graph, k: int, d: float | None = None, order: list[tuple[int, int]] | None = None, share: float | None = None) -> DataFrame:
+    """One row (k, plans): partitions into k connected districts, each within ``d`` of the mean weight, or within that
+    ``share`` of it (None: any)."""
     edges, weights = small_graph(graph, order)
+    if share is not None and weights:
+        d = share * sum(weights.values()) / k
     lower, upper = bounds(weights, k, d) if weights else (None, None)
     found = count_problem(spark, st.make_problem(edges, weights, lower, upper, (k,)))
     return found.agg(F.lit(k).alias("k"), F.coalesce(F.sum("plans"), F.lit(0)).cast("decimal(38,0)").alias("plans"))

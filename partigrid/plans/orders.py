@@ -12,6 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from partigrid.functions.columns import endpoints
+from partigrid.session import materialise
+
 Point = tuple[int, int]
 PointEdge = tuple[Point, Point]
 
@@ -108,75 +111,105 @@ def grid_order(kind: str, rows: int, cols: int) -> list[tuple[int, int]]:
 
 
 def _vertex_cut(adj: dict[int, set[int]], s: int, t: int) -> set[int]:
-    """A smallest set of vertices that parts s from t (not adjacent), by augmenting paths on split vertices."""
-    flow: dict[tuple, set[tuple]] = {}  # residual arcs
+    """A smallest set of vertices that parts s from t (not adjacent), by augmenting paths: a vertex is an arc of capacity one
+    from its entry (v, 0) to its exit (v, 1), an edge has no limit."""
+    arcs: dict[tuple, set[tuple]] = {}
     for v in adj:
-        flow.setdefault((v, 0), set()).add((v, 1))
-        flow.setdefault((v, 1), set()).update((w, 0) for w in adj[v])
-    def path() -> dict[tuple, tuple]:
-        back, todo = {(s, 1): None}, deque([(s, 1)])
+        arcs.setdefault((v, 0), set()).add((v, 1))
+        arcs.setdefault((v, 1), set()).update((w, 0) for w in adj[v])
+
+    def reached() -> dict[tuple, tuple | None]:
+        back: dict[tuple, tuple | None] = {(s, 1): None}
+        todo = deque(back)
         while todo:
             a = todo.popleft()
-            for b in sorted(flow.get(a, ())):
-                if b not in back and b != (s, 0):
+            for b in sorted(arcs.get(a, ())):
+                if b not in back and b[0] != s:
                     back[b] = a
                     todo.append(b)
         return back
-    while (t, 0) in (back := path()):
+
+    while (t, 0) in (back := reached()):
         b = (t, 0)
-        while back[b] is not None:
-            a = back[b]
-            flow[a].discard(b)
-            flow.setdefault(b, set()).add(a)
+        while (a := back[b]) is not None:
+            if not (a[1] == 1 and b[1] == 0 and a[0] != b[0]):  # all but an edge's own direction are used up
+                arcs[a].discard(b)
+            arcs.setdefault(b, set()).add(a)
             b = a
     return {v for v in adj if (v, 0) in back and (v, 1) not in back}
 
 
+def _distances(adj: dict[int, set[int]], s: int) -> dict[int, int]:
+    out, todo = {s: 0}, deque([s])
+    while todo:
+        v = todo.popleft()
+        for w in adj[v] - out.keys():
+            out[w] = out[v] + 1
+            todo.append(w)
+    return out
+
+
 def min_cut_order(edges: list[tuple[int, int]], seed: int = 0) -> list[tuple[int, int]]:
     """Recursive halving: between two vertices that lie farthest apart a smallest vertex cut is put in the middle.
 
-    Edges on one side come first, then those inside the cut, then the other side, so few vertices are open at a time.
+    The cut, as one vertex, is the end of the first half and the start of the second. Edges among the cut's vertices come
+    between the halves, so few vertices are open at a time. Parts that are not connected come one after another.
     """
     rng = random.Random(seed)
+    fresh = iter(range(-1, -(1 << 60), -1))  # names of contracted cuts
 
-    def distances(adj: dict[int, set[int]], s: int) -> dict[int, int]:
-        out, todo = {s: 0}, deque([s])
-        while todo:
-            v = todo.popleft()
-            for w in adj[v] - out.keys():
-                out[w] = out[v] + 1
-                todo.append(w)
-        return out
-
-    def order(part: list[tuple[int, int]], ends: tuple[int, int] | None) -> list[tuple[int, int]]:
+    def neighbours(part: list[tuple]) -> dict[int, set[int]]:
         adj: dict[int, set[int]] = {}
-        for a, b in part:
+        for _, a, b in part:
             adj.setdefault(a, set()).add(b)
             adj.setdefault(b, set()).add(a)
-        if len(part) <= 2:
-            return sorted(part)
-        if ends is None or ends[0] not in adj or ends[1] not in adj or ends[1] in adj[ends[0]]:
-            far = {(a, b): d for a in sorted(adj) for b, d in distances(adj, a).items()}
-            most = max(far.values())
-            ends = rng.choice([p for p, d in far.items() if d == most])
-        s, t = ends
-        if t in adj[s] or t not in distances(adj, s):
-            return sorted(part)
+        return adj
+
+    def halves(part: list[tuple], s: int, t: int) -> tuple[list[tuple], list[tuple], list[tuple], int]:
+        """The side of s up to the cut, what lies between cut vertices or s and t, the rest, and the cut's new name."""
+        apart = [e for e in part if {e[1], e[2]} != {s, t}]
+        adj = neighbours(apart)
+        for v in (s, t):
+            adj.setdefault(v, set())
         cut = _vertex_cut(adj, s, t)
         near, todo = {s}, deque([s])
         while todo:
-            v = todo.popleft()
-            for w in adj[v] - near - cut:
+            for w in adj[todo.popleft()] - near - cut:
                 near.add(w)
                 todo.append(w)
-        first = [e for e in part if e[0] in near or e[1] in near]
-        inside = [e for e in part if e[0] in cut and e[1] in cut]
-        rest = [e for e in part if e not in set(first) and e not in set(inside)]
-        if not first or not rest:
-            return sorted(part)
-        return order(first, None) + sorted(inside) + order(rest, None)
-
-    return order(native(edges), None)
+        name = next(fresh)
+        ends = lambda e: (e[0], *(name if v in cut else v for v in e[1:]))
+        first = [ends(e) for e in apart if e[1] in near or e[2] in near]
+        inside = [e for e in part if {e[1], e[2]} == {s, t} or e[1] in cut and e[2] in cut]
+        rest = [ends(e) for e in apart if not (e[1] in near or e[2] in near) and not (e[1] in cut and e[2] in cut)]
+        return first, inside, rest, name
+
+    out: list[tuple[int, int]] = []
+    work: list[tuple] = []  # parts still to be ordered, the next one last: (edges, ends or None)
+    adj = neighbours([(e, *e) for e in edges])
+    seen: set[int] = set()
+    for v in sorted(adj):
+        if v not in seen:
+            own = _distances(adj, v).keys()
+            seen |= own
+            part = [(e, *e) for e in native(edges) if e[0] in own]
+            far = {(a, b): d for a in sorted(own) for b, d in _distances(adj, a).items()}
+            longest = max(far.values())
+            work.insert(0, (part, rng.choice([p for p, d in far.items() if d == longest])))
+    while work:
+        part, ends = work.pop()
+        adj = neighbours(part)
+        if ends is None or len(adj) <= 2:
+            out += sorted(e for e, _, _ in part)
+            continue
+        s, t = ends
+        if s not in adj:
+            s = max(_distances(adj, t).items(), key=lambda x: (x[1], -x[0]))[0] if t in adj else min(adj)
+        if t not in adj or s == t:
+            t = max(_distances(adj, s).items(), key=lambda x: (x[1], -x[0]))[0]
+        first, inside, rest, cut = halves(part, s, t)
+        work += [(rest, (cut, t)), (inside, None), (first, (s, cut))]
+    return out
 
 
 def edge_order(spark: SparkSession, order: list[tuple[int, int]]) -> DataFrame:
@@ -194,7 +227,7 @@ def same_edges(order: DataFrame, edges: DataFrame) -> DataFrame:
 
 def frontiers(order: DataFrame) -> DataFrame:
     """(pos, v): v is open before position pos, that is it has edges before pos and at or behind it."""
-    ends = order.select("pos", F.explode(F.array("src", "dst")).alias("v")).groupBy("v").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
+    ends = endpoints(order).groupBy("v").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
     return ends.where("last > first").select(F.explode(F.sequence(F.col("first") + 1, F.col("last"))).alias("pos"), "v")
 
 
@@ -210,18 +243,15 @@ def frontier_widths(order: DataFrame) -> DataFrame:
     return width.groupBy("width").agg(F.count("*").alias("levels"))
 
 
-def farthest_pairs(edges: DataFrame, most: int = 64) -> DataFrame:
-    """(a, b, length): vertex pairs of largest distance; breadth-first levels are joined a step at a time."""
-    from partigrid.session import materialise
-
-    both = edges.select("src", "dst").union(edges.select("dst", "src"))
-    seen = both.select(F.col("src").alias("a"), F.col("src").alias("b"), F.lit(0).alias("length")).distinct()
-    now = seen
-    for step in range(1, most + 1):
+def farthest_pairs(edges: DataFrame) -> DataFrame:
+    """(a, b, length): vertex pairs of largest distance; breadth-first levels are joined a step at a time until none is new."""
+    both = materialise(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
+    now = both.select(F.col("src").alias("a"), F.col("src").alias("b"), F.lit(0).alias("length")).distinct()
+    seen, step = now, 0
+    while True:
+        step += 1
         ahead = now.join(both, now.b == both.src).select("a", F.col("dst").alias("b")).distinct()
-        now = materialise(ahead.join(seen.select("a", "b"), ["a", "b"], "left_anti").withColumn("length", F.lit(step)))
-        if now.isEmpty():
-            break
-        seen = seen.unionByName(now)
-    top = seen.agg(F.max("length").alias("top"))
-    return seen.join(F.broadcast(top), F.col("length") == F.col("top")).select("a", "b", "length")  # one row, broadcast
+        found = materialise(ahead.join(seen.select("a", "b"), ["a", "b"], "left_anti").withColumn("length", F.lit(step)))
+        if found.isEmpty():
+            return now
+        now, seen = found, materialise(seen.unionByName(found)) if step % 16 == 0 else seen.unionByName(found)

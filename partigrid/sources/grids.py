@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from partigrid.functions.columns import edge_ids, vertex_id
+
 
 @dataclass(frozen=True)
 class Graph:
@@ -29,7 +31,8 @@ def neighbour_edges(vertices: DataFrame, queen: bool = False) -> DataFrame:
     ahead = F.explode(F.array(*[F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in steps])).alias("to")
     a = vertices.select(F.col("v").alias("a"), ahead).select("a", "to.x", "to.y")
     both = a.join(vertices.select(F.col("v").alias("b"), "x", "y"), ["x", "y"])
-    return both.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
+    src, dst = edge_ids(F.col("a"), F.col("b"))
+    return both.select(src.alias("src"), dst.alias("dst"))
 
 
 def rook_grid(spark: SparkSession, rows: int, cols: int) -> Graph:
@@ -52,7 +55,7 @@ def nation_grid(spark: SparkSession, sf_dir: str, size: int = 5, queen: bool = F
         v = v.join(held, "key", "left").withColumn("weight", F.coalesce("weight", F.lit(0)).cast("long"))
     else:
         v = v.withColumn("weight", F.lit(1).cast("long"))
-    v = v.select((F.col("x") * size + F.col("y")).cast("int").alias("v"), "x", "y", "weight", "district")
+    v = v.select(vertex_id(F.col("x"), F.col("y"), size).cast("int").alias("v"), "x", "y", "weight", "district")
     return Graph(v, neighbour_edges(v, queen))
 
 
@@ -78,18 +81,15 @@ def trade_edges(spark: SparkSession, sf_dir: str, top: int = 3) -> DataFrame:
     return best.groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.sum("n").alias("orders"))
 
 
-def population(kind: str, seed: int = 1) -> Column:
-    """Weights of grid vertices: ``ones``, ``zeros``, ``corners`` (1 at corners, else 0) or ``random`` (1 to 3, from a hash)."""
-    if kind == "ones":
-        return F.lit(1).cast("long")
-    if kind == "zeros":
-        return F.lit(0).cast("long")
+def populate(vertices: DataFrame, kind: str, seed: int = 1) -> DataFrame:
+    """Grid vertices with the weights ``ones``, ``zeros``, ``corners`` (1 at corners, else 0) or ``random`` (1 to 3, from a hash)."""
+    if kind in ("ones", "zeros"):
+        return vertices.withColumn("weight", F.lit(int(kind == "ones")).cast("long"))
     if kind == "corners":
-        from pyspark.sql import Window
-
-        whole = Window.partitionBy(F.lit(0))
-        edge = lambda c: (F.col(c) == F.min(c).over(whole)) | (F.col(c) == F.max(c).over(whole))
-        return F.when(edge("x") & edge("y"), 1).otherwise(0).cast("long")
+        ends = vertices.agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("x", "y")])  # one row
+        at_end = lambda c: (F.col(c) == F.col(f"min_{c}")) | (F.col(c) == F.col(f"max_{c}"))
+        placed = vertices.join(F.broadcast(ends), F.lit(True)).withColumn("weight", F.when(at_end("x") & at_end("y"), 1).otherwise(0).cast("long"))
+        return placed.drop(*ends.columns)
     if kind == "random":
-        return F.pmod(F.xxhash64("v", F.lit(seed)), F.lit(3)) + 1
+        return vertices.withColumn("weight", F.pmod(F.xxhash64("v", F.lit(seed)), F.lit(3)) + 1)
     raise ValueError(kind)

@@ -29,7 +29,8 @@ def district_tally(events: DataFrame, window: str = "1 hour", late: str = "1 day
 
 
 def moved_cells(changes: DataFrame, late: str = "1 day") -> DataFrame:
-    """(start, v, district): the last district of each cell per window of a stream of reassignments (ts, v, district)."""
+    """(start, v, district): the last district of each cell per hour of reassignments (ts, seq, v, district); ``seq`` tells
+    changes of one time apart. The same plan serves a stream and a table."""
     rows = changes.withWatermark("ts", late) if changes.isStreaming else changes
-    last = rows.groupBy(F.window("ts", "1 hour").alias("w"), "v").agg(F.max_by("district", "ts").alias("district"))
+    last = rows.groupBy(F.window("ts", "1 hour").alias("w"), "v").agg(F.max_by("district", F.struct("ts", "seq")).alias("district"))
     return last.select(F.col("w.start").alias("start"), "v", "district")

@@ -97,7 +97,48 @@ def test_path_counts_carry_beyond_64_bits():
     assert st.to_ints(st.add_up(paths, np.zeros(3, np.intp), 1)) == [3 * (2**64 - 1)]
 
 
-def test_min_cut_order_holds_every_edge():
-    for shape in ((3, 3), (4, 4), (2, 5), (1, 4)):
+def widths(order):
+    first, last = {}, {}
+    for i, e in enumerate(order):
+        for v in e:
+            first.setdefault(v, i)
+            last[v] = i
+    return [sum(first[v] < i <= last[v] for v in first) for i in range(len(order))]
+
+
+def test_min_cut_order_holds_every_edge_and_is_narrow():
+    for shape in ((3, 3), (4, 4), (2, 5), (1, 4), (6, 6)):
         own = orders.grid_order("diagonal", *shape)
-        assert sorted(orders.min_cut_order(own)) == sorted(own)
+        for seed in range(3):
+            made = orders.min_cut_order(own, seed)
+            assert sorted(made) == sorted(own) and sum(widths(made)) <= sum(widths(orders.native(own)))
+    assert orders.min_cut_order([]) == []
+
+
+@settings(max_examples=60, deadline=None)
+@given(hs.lists(hs.sampled_from(list(itertools.combinations(range(9), 2))), unique=True), hs.integers(0, 3))
+def test_min_cut_order_of_any_graph(edges, seed):
+    assert sorted(orders.min_cut_order(edges, seed)) == sorted(edges)
+
+
+@settings(max_examples=60, deadline=None)
+@given(hs.lists(hs.sampled_from(list(itertools.combinations(range(7), 2))), unique=True))
+def test_vertex_cuts_are_smallest(edges):
+    adj = {v: set() for v in range(7)}
+    for a, b in edges:
+        if (a, b) != (0, 6):
+            adj[a].add(b)
+            adj[b].add(a)
+
+    def parted(cut):
+        seen, todo = set(), [0]
+        while todo:
+            v = todo.pop()
+            if v not in seen:
+                seen.add(v)
+                todo += adj[v] - cut
+        return 6 not in seen
+
+    cut = orders._vertex_cut(adj, 0, 6)
+    assert parted(cut) and not cut & {0, 6}
+    assert not any(parted(set(c)) for n in range(len(cut)) for c in itertools.combinations(range(1, 6), n))
