@@ -38,6 +38,20 @@ PATTERNS = (
 )
 
 
+def read_rules(text: str) -> tuple[tuple[tuple[str, str], ...], tuple[str, ...]]:
+    """Domain rules and patterns of a rule list: a line is a pattern, or ``block host/path`` or ``allow host/path``; empty
+    lines and those that begin with ``!`` or ``#`` say nothing, and a line that comes again counts once."""
+    domains, patterns = {}, {}
+    for line in text.splitlines():
+        line = line.strip()
+        verdict, _, rest = line.partition(" ")
+        if verdict in ("block", "allow") and "/" in rest:
+            domains[verdict, rest.strip()] = None
+        elif line and line[0] not in "!#":
+            patterns[line] = None
+    return tuple(domains), tuple(patterns)
+
+
 @dataclass(frozen=True)
 class Pattern:
     text: str
@@ -80,6 +94,7 @@ class RuleIndex:
             host, _, path = rule.partition("/")
             self.domains.setdefault(host, []).append((f"/{path}", verdict, rule))
         self.by_token: dict[str | None, list[tuple[bool, re.Pattern]]] = {}
+        self.tried = 0  # regular expressions that were run
         for p in map(parse_pattern, patterns):
             key = min(p.tokens, key=lambda t: (counts.get(t, 0), -len(t), t)) if p.tokens else None
             self.by_token.setdefault(key, []).append((p.allow, re.compile(p.regex, re.S)))
@@ -101,10 +116,12 @@ class RuleIndex:
         verdict = "allow"
         for key in (None, *dict.fromkeys(url_tokens(url))):
             for allow, regex in self.by_token.get(key, ()):
-                if (allow or verdict == "allow") and regex.search(url):
-                    if allow:
-                        return "allow"
-                    verdict = "block"
+                if allow or verdict == "allow":
+                    self.tried += 1
+                    if regex.search(url):
+                        if allow:
+                            return "allow"
+                        verdict = "block"
         return verdict
 
     def judge(self, url: str | None) -> tuple[str, str, str | None, str]:

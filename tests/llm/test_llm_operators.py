@@ -657,6 +657,24 @@ def test_patterns_run_by_rarest_token_only():
         assert index.pattern(url) == ("allow" if not hits or any(hits) else "block")
 
 
+def test_few_of_many_rules_are_tried():
+    rng = np.random.default_rng(5)
+    rules = [f"||site{i}." for i in range(4000)] + [f"/path{i}/*/item^" for i in range(500)] + [f"@@||site{i}.^good^" for i in range(0, 4000, 40)]
+    urls = [f"http://a.site{rng.integers(6000)}.org/path{rng.integers(900)}/x/{'item' if i % 3 else 'good'}/{i}" for i in range(400)]
+    domains, patterns = urlrules.read_rules("\n".join(["! a list", "# of rules", "", "block net/", "allow example.net/en/", "block net/", *rules, rules[0]]))
+    assert domains == (("block", "net/"), ("allow", "example.net/en/")) and patterns == tuple(rules)
+    counts = {}
+    for u in urls:
+        for t in set(urlrules.url_tokens(u)):
+            counts[t] = counts.get(t, 0) + 1
+    index = urlrules.RuleIndex(domains, patterns, counts)
+    plain = [(p.allow, re.compile(p.regex, re.S)) for p in map(urlrules.parse_pattern, rules)]
+    for u in urls:
+        hits = [a for a, r in plain if r.search(u)]
+        assert index.pattern(u) == ("allow" if not hits or any(hits) else "block")
+    assert 0 < index.tried < 3 * len(urls)
+
+
 def test_archives_round_trip(spark, tmp_path):
     rows = [(1, "http://a", "same"), (2, "http://b\r\nx", "same"), (3, None, "same"), (4, "u", ""), (5, "u", None), (6, "u", "é" * 5000), (6, "u", "é" * 5000), (None, "u", "same"), (None, "v", "alone")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1))
