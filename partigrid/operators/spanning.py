@@ -268,7 +268,7 @@ def _draw(edges: list[tuple[int, int]], vertices: list[int], kind: str, seed: in
 
 
 def random_trees(spark: SparkSession, graph: Graph, trials: int, kind: str = "UST", seed: int = 0) -> DataFrame:
-    """(trial, edges): random spanning trees, ``UST`` uniform, ``MST`` the lightest under random weights. Reruns agree.
+    """(trial, edges): random trees that span the graph, ``UST`` uniform, ``MST`` the lightest under random weights. Reruns agree.
 
     A graph that is empty or not connected has no such tree and is an error.
     """
