@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partigrid.llm.common import fresh, one_row_each, remove_dir, slices, small_batches, stage, work_dir
+from partigrid.llm.common import Repeats, fresh, one_row_each, remove_dir, slices, small_batches, stage, work_dir
 
 SEED, LEAF, FAN, LIMIT = 42, 32, 8, 3
 #: Sampled texts and common shingles that order keys; sets of a key whose pairs are all candidates at once; sets that each of
@@ -31,8 +31,8 @@ SEED, LEAF, FAN, LIMIT = 42, 32, 8, 3
 SAMPLE, MOST_COMMON, FEW, ENDS, BLOCK, BITS = 50_000, 200_000, 32, 4, 512, 1024
 #: Fingerprints of a block that one task takes; rows that it holds at a time.
 HOT, FLUSH = 500_000, 200_000
-#: Rows of a file of edges while components are sought.
-EDGES = 500_000
+#: Rows of a file of edges while components are sought; rows of keys that a task holds at a time.
+EDGES, HELD = 500_000, 500_000
 _LOW, _LOW48 = np.uint64(0x0101010101010101), np.uint64((1 << 48) - 1)
 
 
@@ -368,7 +368,8 @@ def _common_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarra
 
 
 def _prefixes(words: int, common: np.ndarray, held: np.ndarray):
-    """Rows to a hash of the text's shingle set, the set's size, and its rarest shingles: one more than a fifth of them."""
+    """Rows to a hash of the text's shingle set, the set's size, and its rarest shingles: one more than a fifth of them, null
+    where the task has met the set before."""
 
     def prefix(h: np.ndarray) -> np.ndarray:
         if len(common):
@@ -379,11 +380,13 @@ def _prefixes(words: int, common: np.ndarray, held: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest as xx
 
+        repeats = Repeats()
         for b in slices(batches, "text", 8_000_000):
             sets = [_set_of(t or b"", words) for t in b.column("text").cast(pa.binary()).to_pylist()]
-            fps = np.array([xx(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
+            fps = np.array([xx(h.tobytes(), SEED) for h in sets], np.uint64)
+            again, fps = repeats.number(fps).tolist(), fps.view(np.int64)
             n = pa.array([len(h) for h in sets], pa.int32())
-            keys = pa.array([prefix(h).view(np.int64) for h in sets], pa.list_(pa.int64()))
+            keys = pa.array([None if k else prefix(h).view(np.int64) for h, k in zip(sets, again, strict=True)], pa.list_(pa.int64()))
             cols = [b.column("doc_id"), b.column("text_hash"), b.column("mark"), pa.array(fps), n, keys]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_hash", "mark", "fp", "n", "keys"])
 
@@ -395,19 +398,16 @@ def _may_link(n: np.ndarray, at: np.ndarray, m: np.ndarray, to: np.ndarray) -> n
     return 9 * np.minimum(n - at, m - to) >= 4 * (n + m)
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp, n, at), whole keys, to candidate pairs (a, b): all of a key with FEW sets or fewer; of another each
-    with a few of its sets, and also its sets themselves (key, a, n, at)."""
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return
-    key, fp, n, at = (np.concatenate([b.column(c).to_numpy() for b in got]) for c in ("key", "fp", "n", "at"))
-    n, at = n.astype(np.int64), at.astype(np.int64)
-    order = np.lexsort((fp, key))
-    starts, sizes = _runs(key[order])
-    size = np.repeat(sizes, sizes)
-    order, size, run = order[size > 1], size[size > 1], np.repeat(np.arange(len(sizes)), sizes)[size > 1]
-    key, fp, n, at = key[order], fp[order], n[order], at[order]
+def _met(key: np.ndarray, fp: np.ndarray, n: np.ndarray, at: np.ndarray, split: int | None) -> Iterator[pa.RecordBatch]:
+    """Candidates of rows sorted by key and fp, of which key ``split`` has more elsewhere: see _meet."""
+    names = ["key", "a", "b", "n", "at"]
+    new = np.concatenate(([True], (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])))  # a set that several tasks have met
+    key, fp, n, at = key[new], fp[new], n[new], at[new]
+    _, sizes = _runs(key)
+    size, run = np.repeat(sizes, sizes), np.repeat(np.arange(len(sizes)), sizes)
+    if split is not None:
+        size = np.where(key == split, FEW + size, size)
+    key, fp, n, at, run, size = (x[size > 1] for x in (key, fp, n, at, run, size))
     left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     few = np.flatnonzero(size <= FEW)
     for d in range(1, min(FEW, len(few))):
@@ -427,7 +427,6 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 right.append(j[hit])
     i, j = np.concatenate(left), np.concatenate(right)
     pairs = np.unique(np.stack((np.minimum(fp[i], fp[j]), np.maximum(fp[i], fp[j])), 1), axis=0)
-    names = ["key", "a", "b", "n", "at"]
     for s in range(0, len(pairs), 100_000):
         p = pairs[s : s + 100_000]
         none = pa.nulls(len(p), pa.int64())
@@ -437,21 +436,39 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key[i]), pa.array(fp[i]), pa.nulls(len(i), pa.int64()), pa.array(n[i]), pa.array(at[i])], names=names)
 
 
+def _meet(flush: int):
+    """Rows (key, fp, n, at), sorted by key and fp, to candidate pairs (a, b): all of a key with FEW sets or fewer; of another
+    each with a few of its sets, and also its sets themselves (key, a, n, at). About ``flush`` rows are held at a time; a key
+    of more is taken in parts, each with sets of its own to be compared with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, split = [], 0, None
+        for b in batches:
+            held.append([b.column(c).to_numpy().astype(np.int64) for c in ("key", "fp", "n", "at")])
+            size += b.num_rows
+            if size < flush:
+                continue
+            rows = [np.concatenate(x) for x in zip(*held, strict=True)]
+            changes = np.flatnonzero(np.diff(rows[0]))
+            cut = int(changes[-1]) + 1 if len(changes) else size
+            split = split if len(changes) else int(rows[0][0])
+            yield from _met(*(x[:cut] for x in rows), split)
+            held, size = [[x[cut:] for x in rows]], size - cut
+        if size:
+            yield from _met(*(np.concatenate(x) for x in zip(*held, strict=True)), split)
+
+    return run
+
+
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of whole pairs of blocks of a key, to the pairs of sets of two classes that may be similar by places, sizes and bits."""
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return
-    names = ("key", "low", "high", "block", "fp", "root", "n", "at")
-    key, low, high, block, fp, root, n, at = (np.concatenate([b.column(c).to_numpy() for b in got]).astype(np.int64) for c in names)
-    bits = np.concatenate([np.frombuffer(b"".join(b.column("bits").to_pylist()), "<u8").reshape(-1, BITS // 64) for b in got])
-    order = np.lexsort((high, low, key))
-    cuts = np.flatnonzero((np.diff(key[order]) != 0) | (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)) + 1
-    for part in np.split(order, cuts):
-        first = part[block[part] == low[part]]
-        for i in first.tolist():
-            j = part[(block[part] == high[part]) & (root[part] != root[i])]
-            j = j[(fp[j] > fp[i]) | (high[j] != low[j])]
+    """Rows of whole pairs of blocks, sorted by pair (side 0 and 1; 2: a block with itself), to the pairs of sets of two classes
+    that may be similar by places, sizes and bits. One pair of blocks is held at a time."""
+
+    def compared(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        side, fp, root, n, at = (np.concatenate([b.column(c).to_numpy() for b in rows]).astype(np.int64) for c in ("side", "fp", "root", "n", "at"))
+        bits = np.concatenate([np.frombuffer(b"".join(b.column("bits").to_pylist()), "<u8").reshape(-1, BITS // 64) for b in rows])
+        for i in np.flatnonzero(side != 1).tolist():
+            j = np.flatnonzero((side > 0) & (root != root[i]) & ((side == 1) | (fp > fp[i])))
             j = j[_may_link(n[i], at[i], n[j], at[j])]
             apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
             j = j[9 * (n[i] + n[j] - apart) >= 8 * (n[i] + n[j])]  # shingles that one set alone holds are as many at least
@@ -459,6 +476,47 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 x = np.full(len(j), fp[i])
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, fp[j])), pa.array(np.maximum(x, fp[j]))], names=["a", "b"])
 
+    held, now = [], None
+    for b in batches:
+        pair = b.column("pair").to_pylist()
+        cuts = [0, *[i for i in range(1, len(pair)) if pair[i] != pair[i - 1]], len(pair)]
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            if e > s and pair[s] != now and held:
+                yield from compared(held)
+                held = []
+            if e > s:
+                now = pair[s]
+                held.append(b.slice(s, e - s))
+    if held:
+        yield from compared(held)
+
+
+def _block_pairs(rest: DataFrame) -> DataFrame:
+    """(pair, side, fp, root, n, at, bits) of rest(key, fp, n, at, root, bits): the sets of each key in blocks of about BLOCK,
+    and each two blocks that may hold sets of different classes.
+
+    A class of more than BLOCK sets has blocks of its own, which are never compared with one another; the others share
+    blocks. So a large class costs its size times the other blocks of its key, not its square.
+    """
+    sizes = rest.groupBy("key", "root").agg(F.count("*").alias("c"))
+    some = sizes.groupBy("key").agg(F.count("*").alias("classes")).where("classes > 1").select("key")
+    sizes = sizes.join(some, "key", "left_semi")
+    own = sizes.where(F.col("c") > BLOCK).select("key", "root", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+    pool = sizes.where(F.col("c") <= BLOCK).groupBy("key").agg(F.ceil(F.sum("c") / BLOCK).cast("int").alias("pooled"))
+    name = lambda root, i: F.concat_ws(".", root.cast("string"), i.cast("string"))
+    rows = rest.join(some, "key", "left_semi").join(own, ["key", "root"], "left").join(pool, "key", "left")
+    block = F.when(F.col("blocks").isNotNull(), name(F.col("root"), F.pmod(F.xxhash64("fp"), "blocks"))).otherwise(name(F.lit("pool"), F.pmod(F.xxhash64("root"), "pooled")))
+    rows = rows.select("key", "fp", "root", "n", "at", "bits", block.alias("block"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    other = own.select("key", F.col("root").alias("other"), F.col("blocks").alias("others"))
+    large = own.join(other, "key").where("root < other").withColumn("i", upto("blocks")).withColumn("j", upto("others")).select("key", name(F.col("root"), F.col("i")).alias("x"), name(F.col("other"), F.col("j")).alias("y"))
+    mixed = own.join(pool, "key").withColumn("i", upto("blocks")).withColumn("j", upto("pooled")).select("key", name(F.col("root"), F.col("i")).alias("x"), name(F.lit("pool"), F.col("j")).alias("y"))
+    small = pool.withColumn("i", upto("pooled")).withColumn("j", upto("pooled")).where("i <= j").select("key", name(F.lit("pool"), F.col("i")).alias("x"), name(F.lit("pool"), F.col("j")).alias("y"))
+    pairs = large.union(mixed).union(small).withColumn("pair", F.concat_ws("|", F.col("key").cast("string"), "x", "y"))
+    first = pairs.select("key", F.col("x").alias("block"), "pair", F.when(F.col("x") == F.col("y"), 2).otherwise(0).alias("side"))
+    second = pairs.where("x <> y").select("key", F.col("y").alias("block"), "pair", F.lit(1).alias("side"))
+    return rows.join(first.union(second), ["key", "block"]).select("pair", "side", "fp", "root", "n", "at", "bits")
+
 
 def _sets(words: int, marked: np.ndarray):
     """Rows whose mark is among ``marked`` bits, to their shingle sets and which of BITS bits these set."""
@@ -493,12 +551,30 @@ def _sets_of(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return found.join(wanted.select("fp"), "fp", "left_semi").dropDuplicates(["fp"])
 
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets have a similarity of 0.8 or more, counted over all their shingles."""
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs with their sizes and bits, to those that may have a similarity of 0.8."""
+    for b in batches:
+        n, m = (b.column(c).to_numpy().astype(np.int64) for c in ("n", "m"))
+        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u8").reshape(-1, BITS // 64) for c in ("x", "y"))
+        apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+        keep = pa.array(9 * (n + m - apart) >= 8 * (n + m))
+        yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, path: str) -> DataFrame:
+    """The pairs (a, b) whose sets have a similarity of 0.8 or more, counted over all their shingles.
+
+    Bits and sizes drop most of the others before any set travels.
+    """
+    short = lambda fp, n, bits: sets.select(F.col("fp").alias(fp), F.size("shingles").alias(n), F.col("bits").alias(bits))
+    near = stage(pairs.join(short("b", "m", "y"), "b").join(short("a", "n", "x"), "a").select("a", "b", "n", "m", "x", "y"), f"{path}-near", _near, "a long, b long")
+    asked = near.select(F.col("a").alias("fp")).union(near.select("b")).distinct()
+    sets = sets.select("fp", "shingles").join(asked, "fp", "left_semi")
     a = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x"))
     b = sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(b, "b").join(a, "a").where(9 * both >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
+    found = near.join(b, "b").join(a, "a").where(9 * both >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
+    return stage(found, path)
 
 
 def similar_documents(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -516,29 +592,28 @@ def similar_documents(docs: DataFrame, words: int = 5, id_col: str = "doc_id", t
     rows = rows.withColumn("text_hash", F.xxhash64("text")).withColumn("mark", F.xxhash64("text_hash", "doc_id"))
     shape = "doc_id long, text_hash long, mark long, fp long, n int, keys array<long>"
     coded = stage(rows, f"{base}/prefixes", _prefixes(words, *_common_shingles(rows, words)), shape)
-    firsts = [F.min("doc_id").alias("least"), F.min("mark").alias("mark"), F.first("n").alias("n"), F.first("keys").alias("keys")]
-    nodes = stage(coded.groupBy("fp").agg(*firsts), f"{base}/nodes")
-    held = nodes.select("fp", "n", F.posexplode("keys").alias("at", "key")).repartition(parts, "key").select("key", "fp", "n", "at")
-    met = stage(held, f"{base}/met", _meet, "key long, a long, b long, n long, at long")
+    n_keys = coded.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
+    nodes = stage(coded.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("mark").alias("mark")), f"{base}/nodes")
+    held = coded.where("keys is not null").select("fp", "n", F.posexplode("keys").alias("at", "key")).select("key", "fp", "n", "at")
+    held = held.repartition(max(parts, n_keys // (4 * HELD)), "key").sortWithinPartitions("key", "fp")
+    met = stage(held, f"{base}/met", _meet(HELD), "key long, a long, b long, n long, at long")
+    coded = stage(coded.select("doc_id", "text_hash", "fp"), f"{base}/coded")
+    remove_dir(f"{base}/prefixes")
     pairs = stage(met.where("key is null").select("a", "b").distinct(), f"{base}/pairs")
     many = met.where("key is not null").select("key", F.col("a").alias("fp"), "n", "at")
     seen = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).union(many.select("fp")).distinct()
     wanted = stage(nodes.select("fp", "mark").join(seen, "fp", "left_semi"), f"{base}/wanted")
     sets = stage(_sets_of(rows, wanted, words), f"{base}/sets")
-    links = stage(_similar(pairs, sets), f"{base}/links")
+    links = _similar(pairs, sets, f"{base}/links")
     if not many.isEmpty():
         roots = connected_components(links).withColumnRenamed("node", "fp")
-        rest = stage(many.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), f"{base}/many")
-        open_ = rest.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-        rest = rest.join(open_.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "key")
-        rest = rest.withColumn("block", F.pmod(F.xxhash64("fp"), "blocks").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        rest = rest.join(sets.select("fp", "bits"), "fp")
-        rest = rest.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "fp", "root", "n", "at", "bits")
-        across = stage(rest.repartition(parts, "key", "low", "high").mapInArrow(_across, "a long, b long").distinct(), f"{base}/across")
-        links = links.union(stage(_similar(across, sets), f"{base}/more"))
+        rest = stage(many.distinct().join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), f"{base}/many")
+        blocks = _block_pairs(rest.join(sets.select("fp", "bits"), "fp"))
+        across = blocks.repartition(parts, "pair").sortWithinPartitions("pair").mapInArrow(_across, "a long, b long").distinct()
+        links = links.union(_similar(stage(across, f"{base}/across"), sets, f"{base}/more"))
     for done in ("met", "sets"):
         remove_dir(f"{base}/{done}")
-    return _classes(coded.select("doc_id", "text_hash", "fp"), nodes.select("fp", "least"), links, base)
+    return _classes(coded, nodes.select("fp", "least"), links, base)
 
 
 def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ import zlib
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -358,6 +359,22 @@ def shingle_classes(texts):
     return [find(i) for i in range(len(texts))]
 
 
+def test_keys_of_more_rows_than_are_held_lose_no_link():
+    rng = np.random.default_rng(2)
+    key = np.sort(np.concatenate((np.full(700, 5), np.full(33, 6), np.full(3, 7), rng.integers(8, 400, 300))))
+    fp = np.concatenate([np.sort(rng.choice(10**9, n, replace=False)) for _, n in zip(*np.unique(key, return_counts=True), strict=True)])
+    rows = pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp), pa.array(np.full(len(key), 10)), pa.array(np.zeros(len(key), np.int64))], names=["key", "fp", "n", "at"])
+    for flush in (10, 100, 695, 10**6):
+        batches = [rows.slice(s, 7) for s in range(0, len(key), 7)]
+        out = [b for b in simhash._meet(flush)(iter(batches))]
+        many = {(k, a) for b in out for k, a in zip(b.column("key").to_pylist(), b.column("a").to_pylist(), strict=True) if k is not None}
+        pairs = {(a, c) for b in out for k, a, c in zip(b.column("key").to_pylist(), b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True) if k is None}
+        for k in np.unique(key).tolist():
+            own = fp[key == k].tolist()
+            whole = all((k, f) in many for f in own)
+            assert whole or all((x, y) in pairs for i, x in enumerate(own) for y in own[i + 1 :])
+
+
 def edited(rng, words, n):
     words = list(words)
     for at in rng.choice(len(words), n, replace=False):
@@ -365,7 +382,10 @@ def edited(rng, words, n):
     return words
 
 
-def test_similar_documents_of_a_shared_passage(spark):
+@pytest.mark.parametrize("block", [512, 40])
+def test_similar_documents_of_a_shared_passage(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "HELD", 50 * block)
     rng = np.random.default_rng(9)
     passage = [f"p{i}" for i in range(150)]
     texts = []
