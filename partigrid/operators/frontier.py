@@ -44,13 +44,13 @@ def bounds(weights: dict[int, int], k: int, d: float | None) -> tuple[int | None
     return int(np.floor(mean - d)), int(np.floor(mean + d))
 
 
-def _packed(rows: np.ndarray) -> pa.Array:
+def packed(rows: np.ndarray) -> pa.Array:
     """Rows of equally many bytes as a binary column, without a copy for each row."""
     ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
-def _unpacked(column: pa.Array) -> np.ndarray:
+def unpacked(column: pa.Array) -> np.ndarray:
     ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
     return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(len(column), -1)
 
@@ -58,7 +58,7 @@ def _unpacked(column: pa.Array) -> np.ndarray:
 def _rows(level: int, rows: np.ndarray, paths: np.ndarray) -> Iterator[pa.RecordBatch]:
     for s in range(0, len(rows), 50_000):
         part = rows[s : s + 50_000]
-        cols = [pa.array(np.full(len(part), level, np.int32)), _packed(part)]
+        cols = [pa.array(np.full(len(part), level, np.int32)), packed(part)]
         cols += [pa.array(paths[s : s + 50_000, j].astype(np.int64)) for j in range(st.LIMBS)]
         yield pa.RecordBatch.from_arrays(cols, names=["level", "state", "l0", "l1", "l2", "l3"])
 
@@ -72,7 +72,7 @@ def _advance(problem: st.Problem, levels: int, stop: int):
             return
         at = got[0].column("level")[0].as_py()
         paths = st.carry(np.concatenate([np.stack([b.column(f"l{j}").to_numpy() for j in range(st.LIMBS)], axis=1) for b in got]).astype(np.uint64))
-        rows = np.concatenate([_unpacked(b.column("state")) for b in got])
+        rows = np.concatenate([unpacked(b.column("state")) for b in got])
         end = min(at + levels, len(problem.levels))
         while at < end and len(rows) <= stop:
             made, counts = [], []

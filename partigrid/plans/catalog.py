@@ -463,6 +463,13 @@ def zdd_states_3x3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _state(_diagram(spark, sf_dir).nodes).select("state", F.col("prefix").cast("long").alias("prefix"), F.col("suffix").cast("long").alias("suffix"))
 
 
+@_query("zdd_states_by_level_3x3", _SQL["zdd_states_3x3"])
+def zdd_states_by_level_3x3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same states from the diagram that is built level by level over the cluster."""
+    made = diagram.build_diagram(spark, _nations(spark, sf_dir, 3), (3,), 0, orders.grid_order("diagonal", 3, 3), distributed=True)
+    return _state(made.nodes).select("state", F.col("prefix").cast("long").alias("prefix"), F.col("suffix").cast("long").alias("suffix"))
+
+
 @_query("zdd_state_dump_3x3", f"""with recursive {_D3} select n.i - 1 as level, (ord.src + 1) || ' -> ' || (ord.dst + 1) as edge, cc,
   array_to_string(list_transform(bad, lambda p: (p // 1000 + 1) || ' -> ' || (p % 1000 + 1)), ', ') as fps,
   array_to_string(list_transform(comp, lambda c: c + 1), ', ') as comp_assign, array_to_string(list_transform(wts, lambda w: w), ', ') as comp_weights from {_NODES}""")

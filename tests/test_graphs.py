@@ -66,6 +66,21 @@ def test_diagram_tables(spark):
     assert diagram.follow(made, [1, 0]).first().node == arcs[arcs[0, 1], 0]
 
 
+def test_distributed_diagram_is_the_same(spark):
+    g, order = grid(spark, "rook", 3), orders.grid_order("diagonal", 3, 3)
+    one, many = (diagram.build_diagram(spark, g, (3,), 0, order, distributed=x) for x in (False, True))
+    state = ["level", "src", "dst", "cc", "open", "labels", "weights", "pairs", "prefix", "suffix"]
+    text = lambda df: sorted(str(tuple(r)) for r in df.collect())
+    assert text(one.nodes.select(*state)) == text(many.nodes.select(*state)) and many.nodes.select("node").distinct().count() == 77
+    named = lambda m: m.nodes.select("node", F.concat_ws(";", *[F.to_json(F.struct(c)) for c in state]).alias("s"))
+    arcs = lambda m: m.arcs.join(named(m).select(F.col("node").alias("parent"), F.col("s").alias("p")), "parent").join(named(m).select(F.col("node").alias("child"), F.col("s").alias("c")), "child", "left").select("p", "bit", F.coalesce("c", F.col("child").cast("string")))
+    assert text(arcs(one)) == text(arcs(many))
+    plans = [{tuple(r.districts) for r in diagram.enumerate_plans(spark, g, (3,), 0, order, distributed=x).collect()} for x in (False, True)]
+    assert plans[0] == plans[1] and len(plans[0]) == 10
+    drawn = diagram.sample_plans(spark, g, 300, (3,), 0, order, distributed=True).collect()
+    assert {tuple(r.districts) for r in drawn} == plans[0] and len(drawn) == 300
+
+
 @pytest.mark.parametrize(("rows", "cols", "trees"), [(2, 2, 4), (2, 3, 15), (3, 3, 192), (3, 4, 2415)])
 def test_all_trees(spark, rows, cols, trees):
     g = grids.rook_grid(spark, rows, cols)
