@@ -2,44 +2,62 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partigrid.functions.columns import within
-from partigrid.session import materialise
+
+
+def _walked(table: pa.Table) -> tuple[int, list[int], dict[int, int | None], dict[int, int]]:
+    """A tree's id, its vertices from the root on, their parents and depths; the root is the smallest vertex."""
+    adj: dict[int, list[int]] = {}
+    for a, b in zip(table.column("src").to_pylist(), table.column("dst").to_pylist(), strict=True):
+        adj.setdefault(a, []).append(b)
+        adj.setdefault(b, []).append(a)
+    root = min(adj)
+    order, parent, depth = [root], {root: None}, {root: 0}
+    for v in order:
+        for w in adj[v]:
+            if w not in parent:
+                parent[w], depth[w] = v, depth[v] + 1
+                order.append(w)
+    return table.column("tree_id")[0].as_py(), order, parent, depth
+
+
+def _grouped(trees: DataFrame) -> DataFrame:
+    return trees.select(F.col("tree_id").cast("long").alias("tree_id"), F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst")).groupBy("tree_id")
 
 
 def rooted(trees: DataFrame) -> DataFrame:
     """(tree_id, v, parent, depth) of trees(tree_id, src, dst), each rooted at its smallest vertex; the root's parent is null.
 
-    A level of all trees at a time: a join with what was found last, cut from its past by a checkpoint, until nothing is new.
+    A group is one tree of a base graph, of any depth.
     """
-    own = trees.select(*[F.col(c).alias(c) for c in ("tree_id", "src", "dst")])
-    both = materialise(own.union(own.select("tree_id", "dst", "src")))
-    now = both.groupBy("tree_id").agg(F.min("src").alias("v")).select("tree_id", "v", F.lit(None).cast(both.schema["src"].dataType).alias("parent"), F.lit(0).alias("depth"))
-    out, depth = now, 0
-    while True:
-        depth += 1
-        ahead = both.join(now.select("tree_id", F.col("v").alias("src"), "parent"), ["tree_id", "src"]).where("parent is null or dst <> parent")
-        now = materialise(ahead.select("tree_id", F.col("dst").alias("v"), F.col("src").alias("parent"), F.lit(depth).alias("depth")))
-        if now.isEmpty():
-            return out
-        out = out.unionByName(now)
-        if depth % 16 == 0:  # a union of few parts, however deep the trees are
-            out = materialise(out)
+
+    def run(table: pa.Table) -> pa.Table:
+        tree_id, order, parent, depth = _walked(table)
+        cols = [np.full(len(order), tree_id), order, [parent[v] for v in order], [depth[v] for v in order]]
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), *[pa.int32()] * 3), strict=True)], names=["tree_id", "v", "parent", "depth"])
+
+    return _grouped(trees).applyInArrow(run, "tree_id long, v int, parent int, depth int")
 
 
 def ancestors(trees: DataFrame) -> DataFrame:
-    """(tree_id, v, ancestor): every vertex with itself and all above it; the distance doubles from step to step."""
-    known = materialise(rooted(trees))
-    up = known.where("parent is not null").select("tree_id", "v", F.col("parent").alias("ancestor"))  # exactly 2^k steps up
-    all_ = known.select("tree_id", "v", F.col("v").alias("ancestor"))  # less than 2^k steps up
-    while not up.isEmpty():
-        far = up.select("tree_id", F.col("v").alias("ancestor"), F.col("ancestor").alias("top"))
-        all_ = materialise(all_.union(all_.join(far, ["tree_id", "ancestor"]).select("tree_id", "v", F.col("top").alias("ancestor"))))
-        up = materialise(up.join(far, ["tree_id", "ancestor"]).select("tree_id", "v", F.col("top").alias("ancestor")))
-    return all_
+    """(tree_id, v, ancestor): every vertex with itself and all above it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        tree_id, order, parent, depth = _walked(table)
+        above: list[int] = []
+        for v in order:
+            while v is not None:
+                above.append(v)
+                v = parent[v]
+        cols = [np.full(len(above), tree_id), np.repeat(order, [depth[v] + 1 for v in order]), above]
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["tree_id", "v", "ancestor"])
+
+    return _grouped(trees).applyInArrow(run, "tree_id long, v int, ancestor int")
 
 
 def _splits(by_leaves: bool):

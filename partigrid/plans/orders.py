@@ -7,13 +7,13 @@ from __future__ import annotations
 
 import random
 from collections import deque
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partigrid.functions.columns import endpoints
-from partigrid.session import materialise
 
 Point = tuple[int, int]
 PointEdge = tuple[Point, Point]
@@ -244,14 +244,30 @@ def frontier_widths(order: DataFrame) -> DataFrame:
 
 
 def farthest_pairs(edges: DataFrame) -> DataFrame:
-    """(a, b, length): vertex pairs of largest distance; breadth-first levels are joined a step at a time until none is new."""
-    both = materialise(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
-    now = both.select(F.col("src").alias("a"), F.col("src").alias("b"), F.lit(0).alias("length")).distinct()
-    seen, step = now, 0
-    while True:
-        step += 1
-        ahead = now.join(both, now.b == both.src).select("a", F.col("dst").alias("b")).distinct()
-        found = materialise(ahead.join(seen.select("a", "b"), ["a", "b"], "left_anti").withColumn("length", F.lit(step)))
-        if found.isEmpty():
-            return now
-        now, seen = found, materialise(seen.unionByName(found)) if step % 16 == 0 else seen.unionByName(found)
+    """(a, b, length): vertex pairs of largest distance. A base graph goes to all tasks, each searches from its vertices and
+    hands on those farthest from each."""
+    from partigrid.operators.frontier import MAX_EDGES
+
+    spark = edges.sparkSession
+    rows = edges.select("src", "dst").limit(MAX_EDGES + 1).collect()
+    if len(rows) > MAX_EDGES:
+        raise ValueError(f"a base graph of more than {MAX_EDGES} edges")
+    adj: dict[int, set[int]] = {}
+    for a, b in rows:
+        adj.setdefault(a, set()).add(b)
+        adj.setdefault(b, set()).add(a)
+    vertices = sorted(adj)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, int, int]] = []
+            for i in batch.column("id").to_pylist():
+                far = _distances(adj, vertices[i])
+                longest = max(far.values())
+                out += [(vertices[i], v, longest) for v, d in far.items() if d == longest]
+            cols = list(zip(*out, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()) for c in cols], names=["a", "b", "length"])
+
+    found = spark.range(len(vertices)).mapInArrow(run, "a int, b int, length int")
+    top = found.agg(F.max("length").alias("top"))
+    return found.join(F.broadcast(top), F.col("length") == F.col("top")).select("a", "b", "length")  # one row, broadcast
