@@ -440,12 +440,23 @@ class CachedTokenizer:
         return out
 
 
-_TOKENIZERS: dict[str, CachedTokenizer] = {}
+_KEPT: dict = {}
+
+
+def kept(kind: str, key, make: Callable):
+    """What ``make`` makes, once in a worker process; a worker keeps the things of one kind (an operator's) at a time."""
+    if _KEPT.get("kind") != kind:
+        _KEPT.clear()
+        _KEPT["kind"] = kind
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
 
 
 def tokenizer(name_or_path: str) -> CachedTokenizer:
     """The tokenizer of a file, or of a name that public_tokenizers knows; one per worker process."""
-    if name_or_path not in _TOKENIZERS:
+
+    def load() -> CachedTokenizer:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -454,5 +465,6 @@ def tokenizer(name_or_path: str) -> CachedTokenizer:
             import public_tokenizers
 
             path = public_tokenizers.path(path)
-        _TOKENIZERS[name_or_path] = CachedTokenizer(path)
-    return _TOKENIZERS[name_or_path]
+        return CachedTokenizer(path)
+
+    return kept("tokenizer", name_or_path, load)

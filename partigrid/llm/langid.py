@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from partigrid.llm.common import fresh, slices, small_batches
+from partigrid.llm.common import fresh, kept, slices, small_batches
 
 FIT_CHARS, FIT_DOCS, TOTAL_CHARS, TOTAL_DOCS = 60_000, 200, 2_000_000, 20_000
 #: Transitions of an automaton that are held as a table; texts below which the others go on one by one; characters of a slice;
@@ -201,17 +201,12 @@ class Parser:
         return [self.langs[b] if h else "und" for b, h in zip(best.tolist(), has, strict=True)], np.where(has, score, 0.0), low, accepts
 
 
-_PARSERS: dict[str, Parser] = {}
-
-
 def _predictor(shared, carried: list[str], names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, samples, held = shared.value
-        if key not in _PARSERS:
-            _PARSERS.clear()
-            _PARSERS[key] = Parser(samples, held)
+        parser = kept(f"parser {key}", key, lambda: Parser(samples, held))
         for b in slices(batches, "text", SLICE):
-            lang, score, cost, accepts = _PARSERS[key].predict([t or "" for t in b.column("text").to_pylist()])
+            lang, score, cost, accepts = parser.predict([t or "" for t in b.column("text").to_pylist()])
             new = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(cost, pa.float64()), pa.array(accepts, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in carried], *new], names=[*carried, *names])
 

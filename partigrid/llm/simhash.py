@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partigrid.llm.common import Repeats, fresh, one_row_each, remove_dir, slices, small_batches, stage, work_dir
+from partigrid.llm.common import Repeats, fresh, kept, one_row_each, remove_dir, slices, small_batches, stage, work_dir
 
 SEED, LEAF, FAN, LIMIT = 42, 32, 8, 3
 #: Sampled texts and common shingles that order keys; sets of a key whose pairs are all candidates at once; sets that each of
@@ -380,6 +380,7 @@ def _prefixes(words: int, common: np.ndarray, held: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest as xx
 
+        kept("sets", None, dict)  # what other operators keep in this worker goes
         repeats = Repeats()
         for b in slices(batches, "text", 8_000_000):
             sets = [_set_of(t or b"", words) for t in b.column("text").cast(pa.binary()).to_pylist()]
@@ -519,36 +520,42 @@ def _block_pairs(rest: DataFrame) -> DataFrame:
 
 
 def _sets(words: int, marked: np.ndarray):
-    """Rows whose mark is among ``marked`` bits, to their shingle sets and which of BITS bits these set."""
+    """Rows whose mark is among ``marked`` bits, to their shingle sets (each once in a task) and which of BITS bits these set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest as xx
 
+        kept("sets", None, dict)
+        repeats = Repeats()
         for b in batches:
             at = b.column("mark").to_numpy().view(np.uint64) & np.uint64(64 * len(marked) - 1)
             b = b.filter(pa.array((marked[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1))
             for c in slices(iter([b]), "text", 2_000_000):
                 sets = [_set_of(t or b"", words) for t in c.column("text").cast(pa.binary()).to_pylist()]
-                fps = np.array([xx(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
+                fps = np.array([xx(h.tobytes(), SEED) for h in sets], np.uint64)
+                first = np.flatnonzero(repeats.number(fps) == 0).tolist()
+                sets, fps = [sets[i] for i in first], fps[first].view(np.int64)
                 held = np.zeros((len(sets), BITS), np.uint8)
                 for i, h in enumerate(sets):
                     held[i, (h % np.uint64(BITS)).astype(np.int64)] = 1
                 bits = [x.tobytes() for x in np.packbits(held, axis=1, bitorder="little")]
-                cols = [pa.array(fps), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64())), pa.array(bits, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["fp", "shingles", "bits"])
+                cols = [pa.array(fps), pa.array([len(h) for h in sets], pa.int32()), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64())), pa.array(bits, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["fp", "n", "shingles", "bits"])
 
     return run
 
 
-def _sets_of(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(fp, shingles, bits) of wanted(fp, mark). Marks go to the rows as a table of bits: only texts that are wanted are cut again."""
+def _sets_of(rows: DataFrame, wanted: DataFrame, words: int, path: str) -> DataFrame:
+    """(fp, n, shingles, bits) of wanted(fp, mark), and of some others; a set may be there more than once.
+
+    Marks go to the rows as a table of bits: only texts that are wanted are cut again, and they are not shuffled.
+    """
     size = 1 << min(26, max(16, (8 * wanted.count()).bit_length()))
     at = F.col("mark").bitwiseAND(size - 1)
     got = wanted.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(mark & 63))")).alias("bits")).toArrow()
     marked = np.zeros(size // 64, np.uint64)
     marked[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
-    found = rows.select("mark", "text").mapInArrow(_sets(words, marked), "fp long, shingles array<long>, bits binary")
-    return found.join(wanted.select("fp"), "fp", "left_semi").dropDuplicates(["fp"])
+    return stage(rows.select("mark", "text"), path, _sets(words, marked), "fp long, n int, shingles array<long>, bits binary")
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -566,10 +573,11 @@ def _similar(pairs: DataFrame, sets: DataFrame, path: str) -> DataFrame:
 
     Bits and sizes drop most of the others before any set travels.
     """
-    short = lambda fp, n, bits: sets.select(F.col("fp").alias(fp), F.size("shingles").alias(n), F.col("bits").alias(bits))
+    bits = sets.select("fp", "n", "bits").dropDuplicates(["fp"])
+    short = lambda fp, n, of: bits.select(F.col("fp").alias(fp), F.col("n").alias(n), F.col("bits").alias(of))
     near = stage(pairs.join(short("b", "m", "y"), "b").join(short("a", "n", "x"), "a").select("a", "b", "n", "m", "x", "y"), f"{path}-near", _near, "a long, b long")
     asked = near.select(F.col("a").alias("fp")).union(near.select("b")).distinct()
-    sets = sets.select("fp", "shingles").join(asked, "fp", "left_semi")
+    sets = sets.select("fp", "shingles").join(asked, "fp", "left_semi").dropDuplicates(["fp"])
     a = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x"))
     b = sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
@@ -603,12 +611,12 @@ def similar_documents(docs: DataFrame, words: int = 5, id_col: str = "doc_id", t
     many = met.where("key is not null").select("key", F.col("a").alias("fp"), "n", "at")
     seen = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).union(many.select("fp")).distinct()
     wanted = stage(nodes.select("fp", "mark").join(seen, "fp", "left_semi"), f"{base}/wanted")
-    sets = stage(_sets_of(rows, wanted, words), f"{base}/sets")
+    sets = _sets_of(rows, wanted, words, f"{base}/sets")
     links = _similar(pairs, sets, f"{base}/links")
     if not many.isEmpty():
         roots = connected_components(links).withColumnRenamed("node", "fp")
         rest = stage(many.distinct().join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), f"{base}/many")
-        blocks = _block_pairs(rest.join(sets.select("fp", "bits"), "fp"))
+        blocks = _block_pairs(rest.join(sets.select("fp", "bits").dropDuplicates(["fp"]), "fp"))
         across = blocks.repartition(parts, "pair").sortWithinPartitions("pair").mapInArrow(_across, "a long, b long").distinct()
         links = links.union(_similar(stage(across, f"{base}/across"), sets, f"{base}/more"))
     for done in ("met", "sets"):
