@@ -116,7 +116,8 @@ class Model:
     def scores(self, texts: list[str], kinds: Kinds) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
-        return 1 / (1 + np.exp(-np.clip(self.logits(self.features(texts, kinds)) / self.temperature, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(self.logits(self.features(texts, kinds)) / self.temperature, -30, 30)))
+        return np.round(p, 9)  # a product's last digits depend on the texts beside
 
 
 def _train(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, epochs: int = 60) -> list[np.ndarray]:
