@@ -31,8 +31,9 @@ SEED, LEAF, FAN, LIMIT = 42, 32, 8, 3
 SAMPLE, MOST_COMMON, FEW, ENDS, BLOCK, BITS = 50_000, 200_000, 32, 4, 512, 1024
 #: Fingerprints of a block that one task takes; rows that it holds at a time.
 HOT, FLUSH = 500_000, 200_000
-#: Rows of a file of edges while components are sought; rows of keys that a task holds at a time.
-EDGES, HELD = 500_000, 500_000
+#: Rows of a file of edges while components are sought; rows of keys that a task holds at a time, and
+#: of which it makes pairs at a time.
+EDGES, HELD, CUT = 500_000, 200_000, 20_000
 _LOW, _LOW48 = np.uint64(0x0101010101010101), np.uint64((1 << 48) - 1)
 
 
@@ -409,13 +410,27 @@ def _met(key: np.ndarray, fp: np.ndarray, n: np.ndarray, at: np.ndarray, split:
     if split is not None:
         size = np.where(key == split, FEW + size, size)
     key, fp, n, at, run, size = (x[size > 1] for x in (key, fp, n, at, run, size))
-    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    def made(i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The distinct pairs of the sets at i and j."""
+        x, y = np.minimum(fp[i], fp[j]), np.maximum(fp[i], fp[j])
+        order = np.lexsort((y, x))
+        x, y = x[order], y[order]
+        new = np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]))) if len(x) else np.zeros(0, bool)
+        none = pa.nulls(int(new.sum()), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, pa.array(x[new]), pa.array(y[new]), none, none], names=names)
+
     few = np.flatnonzero(size <= FEW)
-    for d in range(1, min(FEW, len(few))):
-        i, j = few[:-d], few[d:]
-        hit = (run[i] == run[j]) & _may_link(n[i], at[i], n[j], at[j])
-        left.append(i[hit])
-        right.append(j[hit])
+    edges = np.flatnonzero(np.diff(run[few])) + 1
+    edges = [0, *edges[np.flatnonzero(np.diff(edges // CUT, prepend=0))].tolist(), len(few)]  # whole runs, about CUT rows at a time
+    for s, e in zip(edges, edges[1:], strict=False):
+        some, left, right = few[s:e], [], []
+        for d in range(1, min(FEW, len(some))):
+            i, j = some[:-d], some[d:]
+            hit = (run[i] == run[j]) & _may_link(n[i], at[i], n[j], at[j])
+            left.append(i[hit])
+            right.append(j[hit])
+        if left:
+            yield from made(np.concatenate(left), np.concatenate(right))
     many = np.flatnonzero(size > FEW)
     with np.errstate(over="ignore"):
         for s, z in zip(*(x.tolist() for x in _runs(run[many])), strict=True) if len(many) else ():
@@ -424,14 +439,7 @@ def _met(key: np.ndarray, fp: np.ndarray, n: np.ndarray, at: np.ndarray, split:
                 x = fp[i].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0x632BE59BD9B4E019 & (1 << 64) - 1)
                 j = np.full(z, i[np.argmin(x ^ (x >> np.uint64(29)))])
                 hit = (i != j) & _may_link(n[i], at[i], n[j], at[j])
-                left.append(i[hit])
-                right.append(j[hit])
-    i, j = np.concatenate(left), np.concatenate(right)
-    pairs = np.unique(np.stack((np.minimum(fp[i], fp[j]), np.maximum(fp[i], fp[j])), 1), axis=0)
-    for s in range(0, len(pairs), 100_000):
-        p = pairs[s : s + 100_000]
-        none = pa.nulls(len(p), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, pa.array(p[:, 0]), pa.array(p[:, 1]), none, none], names=names)
+                yield from made(i[hit], j[hit])
     for s in range(0, len(many), 100_000):
         i = many[s : s + 100_000]
         yield pa.RecordBatch.from_arrays([pa.array(key[i]), pa.array(fp[i]), pa.nulls(len(i), pa.int64()), pa.array(n[i]), pa.array(at[i])], names=names)

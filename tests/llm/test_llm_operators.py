@@ -359,7 +359,9 @@ def shingle_classes(texts):
     return [find(i) for i in range(len(texts))]
 
 
-def test_keys_of_more_rows_than_are_held_lose_no_link():
+@pytest.mark.parametrize("cut", [3, 50, 20_000])
+def test_keys_of_more_rows_than_are_held_lose_no_link(monkeypatch, cut):
+    monkeypatch.setattr(simhash, "CUT", cut)
     rng = np.random.default_rng(2)
     key = np.sort(np.concatenate((np.full(700, 5), np.full(33, 6), np.full(3, 7), rng.integers(8, 400, 300))))
     fp = np.concatenate([np.sort(rng.choice(10**9, n, replace=False)) for _, n in zip(*np.unique(key, return_counts=True), strict=True)])
