@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 import zlib
@@ -444,10 +447,16 @@ _KEPT: dict = {}
 
 
 def kept(kind: str, key, make: Callable):
-    """What ``make`` makes, once in a worker process; a worker keeps the things of one kind (an operator's) at a time."""
+    """What ``make`` makes, once in a worker process; a worker keeps the things of one kind (an operator's) at a time, and
+    gives back the memory of what it kept before."""
     if _KEPT.get("kind") != kind:
         _KEPT.clear()
         _KEPT["kind"] = kind
+        gc.collect()
+        if sys.platform == "linux":
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
     if key not in _KEPT:
         _KEPT[key] = make()
     return _KEPT[key]

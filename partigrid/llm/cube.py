@@ -20,6 +20,8 @@ words; repeated rows are drawn each; a source without words has target 0; an emp
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -119,15 +121,33 @@ _ROW = "doc_id long, text_hash long, source_id long, size long, p double"
 
 
 def _fly(seed: int):
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        source_id, group, last, step = (k.as_py() for k in key)
+    """Rows of whole groups, sorted by source and group, to the rows with their new probabilities; one group is held at a time."""
+
+    def flown(table: pa.Table) -> pa.RecordBatch:
+        source_id, group, last, step = (table.column(c)[0].as_py() for c in ("source_id", "group", "last", "step"))
         table = table.sort_by([("size", "descending"), ("draw", "ascending"), ("doc_id", "ascending"), ("text_hash", "ascending"), ("p", "ascending")])
         x, p = table.column("size").to_numpy().astype(float).tolist(), table.column("p").to_pylist()
         rng = np.random.default_rng([seed, source_id, group, step])
         p = flight(x, p, rng)
         if last:
             p = land(x, p, rng)
-        return table.select(["doc_id", "text_hash", "source_id", "size"]).append_column("p", pa.array(p, pa.float64()))
+        return table.select(["doc_id", "text_hash", "source_id", "size"]).append_column("p", pa.array(p, pa.float64())).combine_chunks().to_batches()[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now = None
+        for b in batches:
+            source, group = (b.column(c).to_numpy() for c in ("source_id", "group"))
+            cuts = [0, *(np.flatnonzero((np.diff(source) != 0) | (np.diff(group) != 0)) + 1).tolist(), b.num_rows]
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                if e > s:
+                    if held and (source[s], group[s]) != now:
+                        yield flown(pa.Table.from_batches(held))
+                        held = []
+                    now = (source[s], group[s])
+                    held.append(b.slice(s, e - s))
+        if held:
+            yield flown(pa.Table.from_batches(held))
 
     return run
 
@@ -167,8 +187,9 @@ def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: i
         draw = F.xxhash64("doc_id", "text_hash", "size", *(["number"] if not step else ["p"]), F.lit(seed), F.lit(step))
         dealt = open_.join(checked(counts), "source_id").withColumn("draw", draw)
         dealt = dealt.withColumn("group", F.pmod(F.shiftrightunsigned("draw", 20), F.col("groups")).cast("int"))
-        flown = dealt.groupBy("source_id", "group", (F.col("groups") == 1).alias("last"), F.lit(step).alias("step")).applyInArrow(_fly(seed), _ROW)
-        flown = stage(flown, f"{base}/round-{step}")
+        dealt = dealt.select("source_id", "group", (F.col("groups") == 1).alias("last"), F.lit(step).alias("step"), "doc_id", "text_hash", "size", "draw", "p")
+        dealt = dealt.repartition("source_id", "group").sortWithinPartitions("source_id", "group")
+        flown = stage(dealt, f"{base}/round-{step}", _fly(seed), _ROW)
         done = flown.where("p in (0.0, 1.0)")
         decided = done if decided is None else decided.union(done)
         open_, step = flown.where("p not in (0.0, 1.0)"), step + 1

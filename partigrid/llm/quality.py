@@ -18,6 +18,7 @@ both kinds every score is the share of ones (0.5 without labels); a null id is n
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from partigrid.llm.common import fresh, slices, small_batches
+from partigrid.llm.common import fresh, kept, slices, small_batches
 
 FIT_ROWS, FIT_BYTES, FORMS, SHAPES, DIM, HIDDEN, THRESHOLD = 4000, 24_000_000, 1500, 400, 128, 64, 0.7
 _RUN = re.compile(r"(.)\1+")
@@ -185,10 +186,10 @@ def fit(texts: list[str], labels: list[int], seed: int = 5) -> Model:
     return model
 
 
-def _scorer(shared, carried: list[str], name: str):
+def _scorer(shared, key: str, carried: list[str], name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        kinds = Kinds(model.vocabulary, model.n_forms)
+        kinds = kept(f"quality {key}", key, lambda: Kinds(model.vocabulary, model.n_forms))
         for b in slices(batches, "text"):
             s = model.scores([t or "" for t in b.column("text").to_pylist()], kinds)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in carried], pa.array(s, pa.float64())], names=[*carried, name])
@@ -219,7 +220,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, name: str = "score", carri
     name, carried = fresh(name, docs.columns), docs.columns if carried is None else carried
     shared = docs.sparkSession.sparkContext.broadcast(fit(*sample_labelled(docs, labels, ~held_out())))
     fields = [*[docs.schema[c] for c in carried], T.StructField(name, T.DoubleType())]
-    return docs.mapInArrow(_scorer(shared, carried, name), T.StructType(fields))
+    return docs.mapInArrow(_scorer(shared, uuid.uuid4().hex, carried, name), T.StructType(fields))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
