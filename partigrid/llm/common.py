@@ -443,6 +443,13 @@ class CachedTokenizer:
         return out
 
 
+def give_back() -> None:
+    """Memory that this process has freed goes back to the system, where that can be asked for."""
+    gc.collect()
+    if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+        trim(0)
+
+
 _KEPT: dict = {}
 
 
@@ -452,11 +459,7 @@ def kept(kind: str, key, make: Callable):
     if _KEPT.get("kind") != kind:
         _KEPT.clear()
         _KEPT["kind"] = kind
-        gc.collect()
-        if sys.platform == "linux":
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+        give_back()
     if key not in _KEPT:
         _KEPT[key] = make()
     return _KEPT[key]

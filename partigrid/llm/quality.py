@@ -30,9 +30,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from partigrid.llm.common import fresh, kept, slices, small_batches
+from partigrid.llm.common import fresh, give_back, kept, slices, small_batches
 
-FIT_ROWS, FIT_BYTES, FORMS, SHAPES, DIM, HIDDEN, THRESHOLD = 4000, 24_000_000, 1500, 400, 128, 64, 0.7
+FIT_ROWS, FIT_BYTES, FORMS, SHAPES, DIM, HIDDEN, THRESHOLD = 4000, 16_000_000, 1500, 400, 128, 64, 0.7
 _RUN = re.compile(r"(.)\1+")
 _MIXED = re.compile(r"[^\W\d_]+")
 REPEATS = ("#again", "#rare again", "#met again", "#line again")
@@ -219,6 +219,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, name: str = "score", carri
     in front if that is taken."""
     name, carried = fresh(name, docs.columns), docs.columns if carried is None else carried
     shared = docs.sparkSession.sparkContext.broadcast(fit(*sample_labelled(docs, labels, ~held_out())))
+    give_back()
     fields = [*[docs.schema[c] for c in carried], T.StructField(name, T.DoubleType())]
     return docs.mapInArrow(_scorer(shared, uuid.uuid4().hex, carried, name), T.StructType(fields))
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partigrid.llm.common import Repeats, fresh, kept, one_row_each, remove_dir, slices, small_batches, stage, work_dir
+from partigrid.llm.common import Repeats, fresh, give_back, kept, one_row_each, remove_dir, slices, small_batches, stage, work_dir
 
 SEED, LEAF, FAN, LIMIT = 42, 32, 8, 3
 #: Sampled texts and common shingles that order keys; sets of a key whose pairs are all candidates at once; sets that each of
@@ -613,6 +613,7 @@ def similar_documents(docs: DataFrame, words: int = 5, id_col: str = "doc_id", t
     held = coded.where("keys is not null").select("fp", "n", F.posexplode("keys").alias("at", "key")).select("key", "fp", "n", "at")
     held = held.repartition(max(parts, n_keys // (4 * HELD)), "key").sortWithinPartitions("key", "fp")
     met = stage(held, f"{base}/met", _meet(HELD), "key long, a long, b long, n long, at long")
+    give_back()
     coded = stage(coded.select("doc_id", "text_hash", "fp"), f"{base}/coded")
     remove_dir(f"{base}/prefixes")
     pairs = stage(met.where("key is null").select("a", "b").distinct(), f"{base}/pairs")
