@@ -1,4 +1,4 @@
-"""SimHash fingerprints and near-duplicate classes (operator 3); classes of similar shingle sets (pipeline).
+"""SimHash fingerprints and near-duplicate classes (operator 3); these checked by shingle sets, and widened (pipeline).
 
 Distinct fingerprints are searched with a Gray-order hierarchical index. Four rotated copies of each fingerprint bring each
 16-bit block to the front once; two fingerprints that differ in three bits or fewer agree in one block at least, so they
@@ -69,6 +69,7 @@ def simhash(data: bytes, words: int = 3) -> int:
 
 def _fingerprints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("sets", None, dict)  # what other operators keep in this worker goes
         for b in slices(batches, "text", 8_000_000):
             fps = np.array([simhash(t or b"", words) for t in b.column("text").cast(pa.binary()).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(fps.view(np.int64))], names=["doc_id", "text_hash", "fp"])
@@ -381,7 +382,7 @@ def _prefixes(words: int, common: np.ndarray, held: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest as xx
 
-        kept("sets", None, dict)  # what other operators keep in this worker goes
+        kept("sets", None, dict)
         repeats = Repeats()
         for b in slices(batches, "text", 8_000_000):
             sets = [_set_of(t or b"", words) for t in b.column("text").cast(pa.binary()).to_pylist()]
@@ -593,15 +594,34 @@ def _similar(pairs: DataFrame, sets: DataFrame, path: str) -> DataFrame:
     return stage(found, path)
 
 
-def similar_documents(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, fp, class, component_id) as near_duplicates, for texts that differ in more than a few shingles.
+def _alike(coded: DataFrame, found: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of the sets of coded(text_hash, fp) that one class of ``found`` holds: its least with each other."""
+    of = found.groupBy("text_hash").agg(F.min("class").alias("class"))
+    sets = coded.select("text_hash", "fp").distinct().join(of, "text_hash").select("class", "fp").distinct()
+    least = sets.groupBy("class").agg(F.min("fp").alias("a"))
+    return sets.join(least, "class").where("a <> fp").select("a", F.col("fp").alias("b")).distinct()
+
+
+def _apart(pairs: DataFrame, same: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) less those that links (a, b) of ``same`` to one set join already."""
+    to = lambda c: same.groupBy(F.col("b").alias(c)).agg(F.min("a").alias(f"root_{c}"))
+    both = pairs.join(to("a"), "a", "left").join(to("b"), "b", "left")
+    return both.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
+def similar_documents(docs: DataFrame, found: DataFrame | None = None, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_hash, fp, class, component_id) as near_duplicates, whose classes (``found``; sought here if None) it checks
+    and widens to texts that differ in more than a few shingles.
 
     Two texts are linked if 0.8 or more of their distinct shingles are in common (Jaccard similarity), counted exactly; ``fp``
-    is a hash of the set. Of two such sets each has one of the common shingles among its rarest fifth and one more, in any
-    order of all shingles, so the texts meet under those. Where at most FEW sets meet, all pairs are candidates. Where more
-    do, each is first compared with a few of them; then all that are still in different classes are, in pairs of blocks.
-    Places, sizes and bits only drop pairs that can't be similar enough. No pair is left out, whatever is frequent.
+    is a hash of the set. The classes of fingerprints are checked first, and what they join rightly is not compared again.
+    For texts whose fingerprints are further apart: of two such sets each has one of the common shingles among its rarest
+    fifth and one more, in any order of all shingles, so the texts meet under those. Where at most FEW sets meet, all pairs
+    are candidates. Where more do, each is first compared with a few of them; then all that are still in different classes
+    are, in pairs of blocks. Places, sizes and bits only drop pairs that can't be similar enough. No pair is left out,
+    whatever is frequent.
     """
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col) if found is None else found
     base = work_dir(docs.sparkSession, "similar")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -616,12 +636,14 @@ def similar_documents(docs: DataFrame, words: int = 5, id_col: str = "doc_id", t
     give_back()
     coded = stage(coded.select("doc_id", "text_hash", "fp"), f"{base}/coded")
     remove_dir(f"{base}/prefixes")
+    alike = stage(_alike(coded, found), f"{base}/alike")
     pairs = stage(met.where("key is null").select("a", "b").distinct(), f"{base}/pairs")
     many = met.where("key is not null").select("key", F.col("a").alias("fp"), "n", "at")
-    seen = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).union(many.select("fp")).distinct()
+    seen = alike.union(pairs).select(F.explode(F.array("a", "b")).alias("fp")).union(many.select("fp")).distinct()
     wanted = stage(nodes.select("fp", "mark").join(seen, "fp", "left_semi"), f"{base}/wanted")
     sets = _sets_of(rows, wanted, words, f"{base}/sets")
-    links = _similar(pairs, sets, f"{base}/links")
+    same = _similar(alike, sets, f"{base}/same")
+    links = same.union(_similar(_apart(pairs, same), sets, f"{base}/links"))
     if not many.isEmpty():
         roots = connected_components(links).withColumnRenamed("node", "fp")
         rest = stage(many.distinct().join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), f"{base}/many")

@@ -2,11 +2,12 @@
 
 import shutil
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from partigrid.llm import quality
+from partigrid.llm import quality, simhash
 
 DATA = "/root/testdata/sf0.01"
 
@@ -93,3 +94,42 @@ def test_clashing_columns_are_kept(spark):
     for _, f in corpus_pipeline.STAGES[:-1]:
         out = f(spark, docs, DATA)
         assert out.dtypes == docs.dtypes and out.count() > 0
+
+
+def test_near_duplicates_are_found_by_fingerprints_first(spark, monkeypatch):
+    """Classes of fingerprints are checked by shingles and join texts without the wider search; that one adds the others."""
+    rng = np.random.default_rng(11)
+
+    def edited(words, n):
+        at = set(rng.choice(len(words), n, replace=False).tolist())
+        return " ".join(f"x{rng.integers(10**9)}" if i in at else w for i, w in enumerate(words))
+
+    long = [edited([f"l{i}" for i in range(6000)], 1) for _ in range(12)]  # fingerprints alike, shingles alike
+    same = [" ".join(["v w x y z"] * 2000 + [f"r{i}x{k}" for k in range(60)]) for i in range(6)]  # shingles differ
+    far = [edited([f"f{i}" for i in range(400)], 3) for _ in range(6)]  # fingerprints differ
+    texts = [*long, *same, *far]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    coded = {r.doc_id: r["class"] for r in simhash.near_duplicates(docs).collect()}
+    assert len({coded[i] for i in range(12)}) == len({coded[i] for i in range(12, 18)}) == 1 and len({coded[i] for i in range(18, 24)}) > 1
+    similar = lambda i, j: 9 * len(shingles(texts[i]) & shingles(texts[j])) >= 4 * (len(shingles(texts[i])) + len(shingles(texts[j])))
+    assert similar(0, 11) and similar(18, 23) and not any(similar(12, j) for j in range(13, 18))
+    kept = lambda: sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, DATA).collect())
+    assert kept() == [0, *range(12, 18), 18]
+
+    def none(flush):
+        def run(batches):
+            for _ in batches:
+                pass
+            yield from ()
+
+        return run
+
+    monkeypatch.setattr(simhash, "_meet", none)
+    alone = kept()
+    assert alone[:7] == [0, *range(12, 18)] and len(alone) > 8
+
+
+def test_pairs_of_fingerprint_classes_are_not_compared_again(spark):
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (3, 4), (4, 5), (5, 6)], "a long, b long")
+    same = spark.createDataFrame([(1, 2), (1, 3), (0, 5), (2, 5)], "a long, b long")
+    assert sorted(map(tuple, simhash._apart(pairs, same).collect())) == [(3, 4), (4, 5), (5, 6)]
