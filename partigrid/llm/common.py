@@ -446,10 +446,18 @@ class CachedTokenizer:
 def give_back() -> None:
     """Memory that this process has freed goes back to the system, where that can be asked for."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
         trim(0)
 
 
+def let_go(spark: SparkSession) -> None:
+    """What the driver no longer refers to goes now, not when its heap happens to be full: executors drop the broadcasts and
+    shuffles of finished steps."""
+    give_back()
+    spark.sparkContext._jvm.System.gc()
+
+
 _KEPT: dict = {}
 
 

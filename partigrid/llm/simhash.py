@@ -7,7 +7,7 @@ many bits next to each other; leaves of neighbours and the nodes above them hold
 mask and a pattern), and a pair of nodes is left as soon as the differences on shared bits exceed the limit. Nodes whose
 members are already in one class are not compared again, so a dense ball of near copies costs about its size, and each task
 emits a spanning forest of its links instead of all pairs. Classes follow by alternating large-star and small-star steps
-over DataFrames that are written to the shared folder between steps.
+over DataFrames that are written to the shared folder between steps; few links are finished by one task.
 
 Defined cases: a null text is empty; a text without words has fingerprint zero and links like any other; a text with fewer
 words than a shingle gives its whole word sequence; repeated rows share a fingerprint, hence a class; a null document id
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partigrid.llm.common import Repeats, fresh, give_back, kept, one_row_each, remove_dir, slices, small_batches, stage, work_dir
+from partigrid.llm.common import Repeats, fresh, kept, let_go, one_row_each, remove_dir, slices, small_batches, stage, work_dir
 
 SEED, LEAF, FAN, LIMIT = 42, 32, 8, 3
 #: Sampled texts and common shingles that order keys; sets of a key whose pairs are all candidates at once; sets that each of
@@ -31,7 +31,7 @@ SEED, LEAF, FAN, LIMIT = 42, 32, 8, 3
 SAMPLE, MOST_COMMON, FEW, ENDS, BLOCK, BITS = 50_000, 200_000, 32, 4, 512, 1024
 #: Fingerprints of a block that one task takes; rows that it holds at a time.
 HOT, FLUSH = 500_000, 200_000
-#: Rows of a file of edges while components are sought; rows of keys that a task holds at a time, and
+#: Rows of a file of edges while components are sought, and edges that one task finishes; rows of keys that a task holds at a time, and
 #: of which it makes pairs at a time.
 EDGES, HELD, CUT = 500_000, 200_000, 20_000
 _LOW, _LOW48 = np.uint64(0x0101010101010101), np.uint64((1 << 48) - 1)
@@ -270,11 +270,34 @@ def _links(limit: int, flush: int):
     return run
 
 
+def _least_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All edges (a, b) of a graph, in one task, to each node but the smallest of its component (a) with that smallest (b)."""
+    held = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches]
+    if not held:
+        return
+    nodes, place = np.unique(np.concatenate([x for pair in zip(*held, strict=True) for x in pair]), return_inverse=True)
+    a, b = place.reshape(2, -1)
+    root = np.arange(len(nodes))
+    while len(a):
+        x, y = root[a], root[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (up := root[root]).tobytes() != root.tobytes():
+            root = up
+    own = np.flatnonzero(root != np.arange(len(nodes)))
+    for s in range(0, len(own), 50_000):
+        i = own[s : s + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[i]), pa.array(nodes[root[i]])], names=["a", "b"])
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for each node with an edge; root is the smallest node of its component.
 
     Alternating large-star and small-star steps; each is written to the shared folder, and the loop ends when a round
-    changes nothing. A node's neighbours are only ever aggregated and joined, never gathered in one row.
+    changes nothing. A node's neighbours are only ever aggregated and joined, never gathered in one row. EDGES edges or
+    fewer, which is a file's worth, are finished by one task: a round is some ten shuffles, whose tasks may take pages of
+    16 MB from their executor however few rows they get.
     """
     spark = edges.sparkSession
     base = work_dir(spark, "components")
@@ -287,7 +310,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     now = stage(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct(), f"{base}/0")
     was, step = signature(now), 0
-    while was[0]:
+    while was[0] > EDGES:
         both = now.union(now.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -300,6 +323,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if (is_now := signature(now)) == was:
             break
         was = is_now
+    if 0 < was[0] <= EDGES:
+        now = stage(now.coalesce(1), f"{base}/least", _least_nodes, "a long, b long")
+        remove_dir(f"{base}/{step}")
     roots = now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
     return roots.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
@@ -623,6 +649,7 @@ def similar_documents(docs: DataFrame, found: DataFrame | None = None, words: in
     """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col) if found is None else found
     base = work_dir(docs.sparkSession, "similar")
+    let_go(docs.sparkSession)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("text_hash", F.xxhash64("text")).withColumn("mark", F.xxhash64("text_hash", "doc_id"))
@@ -633,7 +660,7 @@ def similar_documents(docs: DataFrame, found: DataFrame | None = None, words: in
     held = coded.where("keys is not null").select("fp", "n", F.posexplode("keys").alias("at", "key")).select("key", "fp", "n", "at")
     held = held.repartition(max(parts, n_keys // (4 * HELD)), "key").sortWithinPartitions("key", "fp")
     met = stage(held, f"{base}/met", _meet(HELD), "key long, a long, b long, n long, at long")
-    give_back()
+    let_go(docs.sparkSession)
     coded = stage(coded.select("doc_id", "text_hash", "fp"), f"{base}/coded")
     remove_dir(f"{base}/prefixes")
     alike = stage(_alike(coded, found), f"{base}/alike")
@@ -652,6 +679,7 @@ def similar_documents(docs: DataFrame, found: DataFrame | None = None, words: in
         links = links.union(_similar(stage(across, f"{base}/across"), sets, f"{base}/more"))
     for done in ("met", "sets"):
         remove_dir(f"{base}/{done}")
+    let_go(docs.sparkSession)
     return _classes(coded, nodes.select("fp", "least"), links, base)
 
 

@@ -433,6 +433,27 @@ def test_components_of_chains_and_stars(spark):
     assert {found[i] for i in range(61)} == {0} and {found[i] for i in range(100, 151)} == {100} and 300 not in found
 
 
+@pytest.mark.parametrize("edges_at_once", [simhash.EDGES, 300])
+def test_few_edges_are_one_step(spark, monkeypatch, edges_at_once):
+    """Edges that fit in one file take one step behind the first; more go through rounds, and give the same."""
+    steps = []
+    monkeypatch.setattr(simhash, "EDGES", edges_at_once)
+    monkeypatch.setattr(simhash, "stage", lambda df, path, *a, f=simhash.stage: (steps.append(path), f(df, path, *a))[1])
+    rng = np.random.default_rng(7)
+    edges = [*rng.integers(-900, 900, (700, 2)).tolist(), *[[i, i + 1] for i in range(2000, 2090)], [5000, 5000], [-(2**63), 2**63 - 1]]
+    found = {r.node: r.root for r in simhash.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in range(len(want)):
+        before = dict(want)
+        for x, y in edges:
+            if x != y:
+                want[x] = want[y] = min(want[x], want[y])
+        if before == want:
+            break
+    assert found == want
+    assert len(steps) == 2 if edges_at_once > 300 else len(steps) > 2
+
+
 def test_quality_is_learned(spark, docs, no_docs):
     rows, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     scored = quality.score_quality(rows.select("doc_id", "text"), labels).join(labels, "doc_id").where(quality.held_out())
